@@ -1,0 +1,8 @@
+"""Streaming surface.
+
+The analysed workload is batch only: it has no stream source, watermark,
+windowed aggregation or stateful operator.  Nothing is built here on purpose;
+every operator in :mod:`sigframe.operators` is a plain DataFrame transform and
+therefore also runs unchanged inside ``foreachBatch`` of a Structured
+Streaming query if a caller wants micro-batch ingestion.
+"""
