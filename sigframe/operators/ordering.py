@@ -111,3 +111,20 @@ def block_carry(own_rows: DataFrame, keys: Sequence[str], aggs: dict[str, tuple[
     return per_block.select(
         *keys, BLK, *[getattr(F, kind)(F.col(name)).over(before).alias(name)
                       for name, (kind, _c) in aggs.items()])
+
+
+def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int,
+                    salt_buckets: int = 64, salt_of: Column | None = None) -> DataFrame:
+    """Exact first ``k`` rows per group by ``order`` (a total order), skew-safe.
+
+    Level 1 keeps <= k rows per (group, salt) — a hot group is spread over
+    ``salt_buckets`` tasks; level 2 ranks the <= k * salt_buckets survivors.
+    Adds ``rank`` (1-based).
+    """
+    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    salt = salt_of if salt_of is not None else F.xxhash64(*order_cols)
+    salted = df.withColumn("_salt", F.pmod(salt, F.lit(salt_buckets)))
+    w1 = Window.partitionBy(*keys, "_salt").orderBy(*order_cols)
+    pre = salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k).drop("_r1", "_salt")
+    w2 = Window.partitionBy(*keys).orderBy(*order_cols)
+    return pre.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k)
