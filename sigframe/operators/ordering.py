@@ -122,7 +122,7 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     Adds ``rank`` (1-based).
     """
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    salt = salt_of if salt_of is not None else F.xxhash64(*order_cols)
+    salt = salt_of if salt_of is not None else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     salted = df.withColumn("_salt", F.pmod(salt, F.lit(salt_buckets)))
     w1 = Window.partitionBy(*keys, "_salt").orderBy(*order_cols)
     pre = salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k).drop("_r1", "_salt")

@@ -77,3 +77,149 @@ LEFT JOIN (
   GROUP BY a.series_id, a.channel, l.k, s.n, s.v
 ) p ON p.series_id = st.series_id AND p.channel = st.channel
 GROUP BY st.series_id, st.channel, st.n, st.v"""
+
+
+# ---------------------------------------------------------------- quantiles
+from sigframe.operators.features.location import (  # noqa: E402
+    BENFORD, BEYOND_SIGMA_R, ENERGY_SEGMENTS, ENTROPY_BINS)
+from sigframe.operators.features.ordered import (  # noqa: E402
+    MASS_QUANTILES, N_ABS_MAX, PEAK_SUPPORTS, PERMUTATION_DIMS)
+from sigframe.operators.features.quantiles import QUANTILES, SYMMETRY_R  # noqa: E402
+
+
+def quantiles_sql(src: str = "series") -> str:
+    cols = [r("quantile_cont(x, 0.5)", "median")]
+    cols += [r(f"quantile_cont(x, {q})", cn("quantile", q=q)) for q in QUANTILES]
+    cols += [r(f"CAST(abs(avg(x) - quantile_cont(x, 0.5)) < {rr} * (max(x) - min(x)) AS DOUBLE)",
+               cn("symmetry_looking", r=rr)) for rr in SYMMETRY_R]
+    return f"SELECT {K},\n  " + ",\n  ".join(cols) + f"\nFROM {src} WHERE NOT isnan(x) GROUP BY {K}"
+
+
+# ----------------------------------------------------------------- location
+def _chunk_sql(t: str, n: str, segs: int) -> str:
+    q = f"floor({n} / {segs})"
+    rem = f"({n} - {q} * {segs})"
+    big = f"({rem} * ({q} + 1))"
+    return f"(CASE WHEN {t} < {big} THEN floor({t} / ({q} + 1)) ELSE {rem} + floor(({t} - {big}) / greatest({q}, 1)) END)"
+
+
+def _bin_sql(x: str, mn: str, mx: str, bins: int) -> str:
+    width = f"({mx} - {mn})"
+    raw = f"floor(({x} - {mn}) * ({float(bins)} / {width}))"
+    idx = f"least({raw}, {bins - 1})"
+    edge = lambda i: f"({mn} + ({i}) * ({width} / {bins}))"
+    idx = f"(CASE WHEN {x} < {edge(idx)} THEN {idx} - 1 ELSE {idx} END)"
+    return f"(CASE WHEN {x} >= {edge(idx + ' + 1')} AND {idx} <> {bins - 1} THEN {idx} + 1 ELSE {idx} END)"
+
+
+def _digit_sql(x: str) -> str:
+    a = f"abs({x})"
+    d = f"floor({a} / pow(10.0, floor(log10({a}))))"
+    return f"(CASE WHEN {a} = 0 THEN 0 WHEN {d} >= 10 THEN 1 WHEN {d} < 1 THEN 9 ELSE {d} END)"
+
+
+def location_sql(src: str = "series") -> str:
+    st = (f"SELECT {K}, count(x) AS n, avg(x) AS m, stddev_pop(x) AS s, max(x) AS mx, min(x) AS mn, "
+          f"sum(x * x) AS e FROM {src} GROUP BY {K}")
+    j = (f"SELECT a.*, st.n, st.m, st.s, st.mx, st.mn, st.e, {_chunk_sql('a.t', 'st.n', ENERGY_SEGMENTS)} AS chunk, "
+         f"{_digit_sql('a.x')} AS digit, CASE WHEN st.mx > st.mn THEN {_bin_sql('a.x', 'st.mn', 'st.mx', ENTROPY_BINS)} "
+         f"ELSE 0 END AS bin FROM {src} a JOIN ({st}) st USING ({K})")
+    cols = ["count_if(x > m) AS count_above_mean", "count_if(x < m) AS count_below_mean",
+            r("min(CASE WHEN x = mx THEN t END) / any_value(n)", "first_location_of_maximum"),
+            r("(max(CASE WHEN x = mx THEN t END) + 1) / any_value(n)", "last_location_of_maximum"),
+            r("min(CASE WHEN x = mn THEN t END) / any_value(n)", "first_location_of_minimum"),
+            r("(max(CASE WHEN x = mn THEN t END) + 1) / any_value(n)", "last_location_of_minimum")]
+    cols += [r(f"count_if(abs(x - m) > {rr} * s) / any_value(n)", cn("ratio_beyond_r_sigma", r=rr))
+             for rr in BEYOND_SIGMA_R]
+    cols += [r(f"coalesce(sum(CASE WHEN chunk = {i} THEN x * x END), 0) / nullif(any_value(e), 0)",
+               cn("energy_ratio_by_chunks", num_segments=ENERGY_SEGMENTS, segment_focus=i))
+             for i in range(ENERGY_SEGMENTS)]
+    cols += [f"count_if(digit = {d}) / any_value(n) AS p{d}" for d in range(1, 10)]
+    p = [f"p{d}" for d in range(1, 10)]
+    pbar = "((" + " + ".join(p) + ") / 9.0)"
+    bbar = sum(BENFORD) / 9.0
+    cov = " + ".join(f"({p[i]} - {pbar}) * {BENFORD[i] - bbar!r}" for i in range(9))
+    vp = " + ".join(f"({p[i]} - {pbar}) * ({p[i]} - {pbar})" for i in range(9))
+    vb = sum((b - bbar) ** 2 for b in BENFORD)
+    ent = (f"SELECT {K}, -sum(c / n * ln(c / n)) AS h FROM (SELECT {K}, bin, count(*) AS c, any_value(n) AS n "
+           f"FROM j GROUP BY {K}, bin) GROUP BY {K}")
+    keep = [c.split(" AS ")[-1] for c in cols if not c.split(" AS ")[-1].startswith("p")]
+    return f"""
+WITH j AS ({j}),
+base AS (SELECT {K}, {", ".join(cols)} FROM j GROUP BY {K})
+SELECT base.series_id, base.channel, {", ".join("base." + c for c in keep)},
+  {r(f"CASE WHEN ({vp}) > 0 THEN ({cov}) / sqrt(({vp}) * {vb!r}) END", "benford_correlation")},
+  {r("ent.h", cn("binned_entropy", max_bins=ENTROPY_BINS))}
+FROM base JOIN ({ent}) ent USING ({K})"""
+
+
+# -------------------------------------------------------------- reoccurrence
+def reoccurrence_sql(src: str = "series") -> str:
+    return f"""
+SELECT {K},
+  CAST(count(*) < sum(c) AS DOUBLE) AS has_duplicate,
+  CAST(arg_max(c, x) > 1 AS DOUBLE) AS has_duplicate_max,
+  CAST(arg_min(c, x) > 1 AS DOUBLE) AS has_duplicate_min,
+  {r("count_if(c > 1) / count(*)", "percentage_of_reoccurring_values_to_all_values")},
+  {r("coalesce(sum(CASE WHEN c > 1 THEN c END), 0) / sum(c)", "percentage_of_reoccurring_datapoints_to_all_datapoints")},
+  {r("coalesce(sum(CASE WHEN c > 1 THEN x END), 0)", "sum_of_reoccurring_values")},
+  {r("coalesce(sum(CASE WHEN c > 1 THEN x * c END), 0)", "sum_of_reoccurring_data_points")},
+  {r("count(*) / sum(c)", "ratio_value_number_to_time_series_length")}
+FROM (SELECT {K}, x, count(*) AS c FROM {src} WHERE x IS NOT NULL GROUP BY {K}, x) GROUP BY {K}"""
+
+
+# ------------------------------------------------------------------- ordered
+def ordered_sql(src: str = "series") -> str:
+    st = f"SELECT {K}, count(x) AS n, avg(x) AS m, sum(abs(x)) AS tot FROM {src} GROUP BY {K}"
+    strikes = []
+    for name, op in (("above", ">"), ("below", "<")):
+        strikes.append(f"""s_{name} AS (
+  SELECT {K}, max(len) AS longest FROM (
+    SELECT {K}, g, count(*) AS len FROM (
+      SELECT a.series_id, a.channel, a.t - row_number() OVER (PARTITION BY a.series_id, a.channel ORDER BY a.t) AS g
+      FROM {src} a JOIN st USING ({K}) WHERE a.x {op} st.m) GROUP BY {K}, g) GROUP BY {K})""")
+    h = max(PEAK_SUPPORTS)
+    peak_cols = []
+    for n in PEAK_SUPPORTS:
+        lw = f"(PARTITION BY {K} ORDER BY t ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+        rw = f"(PARTITION BY {K} ORDER BY t ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING)"
+        peak_cols.append(f"(count(x) OVER {lw} = {n} AND count(x) OVER {rw} = {n} AND x > max(x) OVER {lw} "
+                         f"AND x > max(x) OVER {rw}) AS p{n}")
+    peaks = (f"pk AS (SELECT {K}, " + ", ".join(f"count_if(p{n}) AS {cn('number_peaks', n=n)}" for n in PEAK_SUPPORTS)
+             + f" FROM (SELECT {K}, " + ", ".join(peak_cols) + f" FROM {src}) GROUP BY {K})")
+    mass = (f"ms AS (SELECT {K}, " + ", ".join(
+        r(f"CASE WHEN any_value(tot) <> 0 THEN (min(CASE WHEN run / tot >= {q} THEN t END) + 1) / any_value(n) END",
+          cn("index_mass_quantile", q=q)) for q in MASS_QUANTILES)
+        + f" FROM (SELECT a.*, st.n, st.tot, sum(abs(a.x)) OVER (PARTITION BY a.series_id, a.channel ORDER BY a.t "
+          f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM {src} a JOIN st USING ({K})) GROUP BY {K})")
+    hd = max(PERMUTATION_DIMS) - 1
+    leads = ", ".join(f"lead(x, {k}) OVER (PARTITION BY {K} ORDER BY t) AS x{k}" for k in range(1, hd + 1))
+    pats = []
+    for d in PERMUTATION_DIMS:
+        vals = ["x"] + [f"x{k}" for k in range(1, d)]
+        structs = ", ".join(f"{{'v': {v}, 'i': {i}}}" for i, v in enumerate(vals))
+        pats.append(f"SELECT {K}, {d} AS d, array_to_string(list_transform(list_sort([{structs}]), lambda s: s.i), '') AS pat "
+                    f"FROM lx WHERE x{d - 1} IS NOT NULL")
+    perm = f"""lx AS (SELECT {K}, x, {leads} FROM {src}),
+pc AS (SELECT {K}, d, pat, count(*) AS c FROM ({" UNION ALL ".join(pats)}) GROUP BY {K}, d, pat),
+pe AS (SELECT {K}, d, -sum(c / tot * ln(c / tot)) AS h FROM (
+         SELECT pc.*, sum(c) OVER (PARTITION BY {K}, d) AS tot FROM pc) GROUP BY {K}, d),
+pw AS (SELECT k.series_id, k.channel, {", ".join(r(f"max(CASE WHEN d = {d} THEN h END)", cn("permutation_entropy", dimension=d, tau=1)) for d in PERMUTATION_DIMS)}
+       FROM (SELECT DISTINCT {K} FROM {src}) k LEFT JOIN pe USING ({K}) GROUP BY k.series_id, k.channel)"""
+    nmax = (f"nm AS (SELECT st.series_id, st.channel, "
+            + r(f"CASE WHEN st.n > {N_ABS_MAX} THEN v END", cn("mean_n_absolute_max", number_of_maxima=N_ABS_MAX))
+            + f" FROM st JOIN (SELECT {K}, avg(a) AS v FROM (SELECT {K}, abs(x) AS a, row_number() OVER "
+              f"(PARTITION BY {K} ORDER BY abs(x) DESC, t) AS rk FROM {src}) WHERE rk <= {N_ABS_MAX} GROUP BY {K}) tk "
+              f"USING ({K}))")
+    ctes = ",\n".join([f"st AS ({st})", *strikes, peaks, mass, perm, nmax])
+    return f"""
+WITH {ctes}
+SELECT st.series_id, st.channel,
+  CAST(coalesce(s_above.longest, 0) AS BIGINT) AS longest_strike_above_mean,
+  CAST(coalesce(s_below.longest, 0) AS BIGINT) AS longest_strike_below_mean,
+  {", ".join("pk." + cn("number_peaks", n=n) for n in PEAK_SUPPORTS)},
+  {", ".join("ms." + cn("index_mass_quantile", q=q) for q in MASS_QUANTILES)},
+  {", ".join("pw." + cn("permutation_entropy", dimension=d, tau=1) for d in PERMUTATION_DIMS)},
+  nm.{cn("mean_n_absolute_max", number_of_maxima=N_ABS_MAX)}
+FROM st LEFT JOIN s_above USING ({K}) LEFT JOIN s_below USING ({K}) JOIN pk USING ({K}) JOIN ms USING ({K})
+JOIN pw USING ({K}) JOIN nm USING ({K})"""

@@ -79,3 +79,30 @@ def _equalised_long_sql() -> str:
 def q_equalised_features_long(spark, d):
     eq = S.equalise(events_series(spark, d))
     return to_long(distribution(eq))
+
+
+from sigframe.operators.features.location import location  # noqa: E402
+from sigframe.operators.features.ordered import ordered  # noqa: E402
+from sigframe.operators.features.quantiles import quantiles  # noqa: E402
+from sigframe.operators.features.reoccurrence import reoccurrence  # noqa: E402
+
+
+@register("features_quantiles", "F-1 F-4 F-25", with_ctes(SERIES_CTE, FO.quantiles_sql()))
+def q_features_quantiles(spark, d):
+    return quantiles(events_series(spark, d))
+
+
+@register("features_location", "F-18 F-20 F-24 F-29 F-31 F-37", with_ctes(SERIES_CTE, FO.location_sql()))
+def q_features_location(spark, d):
+    return location(events_series(spark, d))
+
+
+@register("features_reoccurrence", "F-21 F-22", with_ctes(SERIES_CTE, FO.reoccurrence_sql()))
+def q_features_reoccurrence(spark, d):
+    return reoccurrence(events_series(spark, d))
+
+
+@register("features_ordered", "F-19 F-27 F-28 F-37",
+          with_ctes(SERIES_CTE, FO.ordered_sql()))
+def q_features_ordered(spark, d):
+    return ordered(events_series(spark, d))
