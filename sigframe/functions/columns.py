@@ -31,8 +31,8 @@ def safe_div(num, den) -> Column:
 
 def normal_two_sided_p(z) -> Column:
     """Two-sided normal tail ``P(|Z| >= |z|)`` via A&S 7.1.26 (erf is missing in SQL)."""
-    x = F.abs(_col(z)) / math.sqrt(2.0)
-    t = 1.0 / (1.0 + AS_P * x)
+    x = F.abs(_col(z)) / F.lit(2.0 ** 0.5)
+    t = F.lit(1.0) / (F.lit(1.0) + F.lit(AS_P) * x)
     poly = F.lit(0.0)
     for a in reversed(AS_A):
         poly = (poly + a) * t

@@ -23,24 +23,30 @@ QUANTILES = [0.1, 0.2, 0.3, 0.4, 0.6, 0.7, 0.8, 0.9]
 SYMMETRY_R = [round(0.05 * i, 2) for i in range(20)]
 
 
-def quantile_table(series: DataFrame, qs: Sequence[float]) -> DataFrame:
-    """Long ``(series_id, channel, q, value)`` of exact interpolated quantiles."""
-    clean = series.filter(F.col("x").isNotNull() & ~F.isnan("x")).select(*KEY, "t", "x")
-    ranked = dense_index(clean, KEY, ["x", "t"], out="r")
-    n = clean.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
-    want = n.select(*KEY, "_n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
+def quantile_table(df: DataFrame, qs: Sequence[float], keys: Sequence[str] = tuple(KEY),
+                   value: str = "x", tie: str = "t") -> DataFrame:
+    """Long ``(keys..., q, value)`` of exact interpolated quantiles of ``value``.
+
+    ``tie`` completes the rank order (a unique column inside each key group).
+    """
+    keys = list(keys)
+    clean = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(tie).alias("_tie"),
+                                                                         F.col(value).alias("_v"))
+    ranked = dense_index(clean, keys, ["_v", "_tie"], out="_r")
+    n = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    want = n.select(*keys, "_n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
     pos = F.col("q") * (F.col("_n") - 1)
     want = want.withColumn("_lo", F.floor(pos).cast("bigint")).withColumn("_frac", pos - F.floor(pos))
     want = want.withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1))
-    picks = want.select(*KEY, "q", "_frac", F.explode(F.array(
+    picks = want.select(*keys, "q", "_frac", F.explode(F.array(
         F.struct(F.col("_lo").alias("r"), F.lit(0).alias("role")),
         F.struct(F.col("_hi").alias("r"), F.lit(1).alias("role")))).alias("p"))
-    picks = picks.select(*KEY, "q", "_frac", F.col("p.r").alias("r"), F.col("p.role").alias("role"))
-    got = picks.join(ranked.select(*KEY, "r", "x"), [*KEY, "r"])
-    vals = got.groupBy(*KEY, "q").agg(
-        F.max(F.when(F.col("role") == 0, F.col("x"))).alias("_a"),
-        F.max(F.when(F.col("role") == 1, F.col("x"))).alias("_b"), F.max("_frac").alias("_f"))
-    return vals.select(*KEY, "q", (F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a"))).alias("value"))
+    picks = picks.select(*keys, "q", "_frac", F.col("p.r").alias("_r"), F.col("p.role").alias("role"))
+    got = picks.join(ranked.select(*keys, "_r", "_v"), [*keys, "_r"])
+    vals = got.groupBy(*keys, "q").agg(
+        F.max(F.when(F.col("role") == 0, F.col("_v"))).alias("_a"),
+        F.max(F.when(F.col("role") == 1, F.col("_v"))).alias("_b"), F.max("_frac").alias("_f"))
+    return vals.select(*keys, "q", (F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a"))).alias("value"))
 
 
 def quantiles(series: DataFrame) -> DataFrame:

@@ -223,3 +223,106 @@ SELECT st.series_id, st.channel,
   nm.{cn("mean_n_absolute_max", number_of_maxima=N_ABS_MAX)}
 FROM st LEFT JOIN s_above USING ({K}) LEFT JOIN s_below USING ({K}) JOIN pk USING ({K}) JOIN ms USING ({K})
 JOIN pw USING ({K}) JOIN nm USING ({K})"""
+
+
+# --------------------------------------------------------------------- trend
+import math  # noqa: E402
+
+from sigframe.operators.features.spectral import CWT_COEFFS, CWT_WIDTHS, FFT_COEFFS  # noqa: E402
+from sigframe.operators.features.trend import AGG_CHUNKS, AGG_FUNCS, CHANGE_Q  # noqa: E402
+from sigframe.plans.oracle import normal_p_sql, rs  # noqa: E402
+
+
+def _reg_sql(y: str, x: str, n: str) -> dict[str, str]:
+    r_ = (f"(CASE WHEN var_pop({y}) > 0 AND var_pop({x}) > 0 THEN covar_pop({y}, {x}) / "
+          f"sqrt(var_pop({y}) * var_pop({x})) END)")
+    df = f"({n} - 2)"
+    tstat = f"({r_} * sqrt({df} / ((1 - {r_}) * (1 + {r_}))))"
+    return {
+        "slope": f"regr_slope({y}, {x})", "intercept": f"regr_intercept({y}, {x})", "rvalue": r_,
+        "stderr": f"(CASE WHEN {df} > 0 THEN sqrt((1 - {r_} * {r_}) * var_pop({y}) / var_pop({x}) / {df}) END)",
+        "pvalue": f"(CASE WHEN {df} > 0 THEN CASE WHEN abs({r_}) < 1 THEN {normal_p_sql(tstat)} ELSE 0.0 END END)",
+    }
+
+
+def trend_sql(src: str = "series") -> str:
+    reg = _reg_sql("x", "CAST(t AS DOUBLE)", "count(x)")
+    lt = f"lt AS (SELECT {K}, " + ", ".join(r(reg[a], cn("linear_trend", attr=a)) for a in
+                                             ("pvalue", "rvalue", "intercept", "slope", "stderr")) + \
+         f" FROM {src} GROUP BY {K})"
+    alts, names = [], []
+    for c in AGG_CHUNKS:
+        cols = []
+        for f in AGG_FUNCS:
+            rg = _reg_sql(f'"{f}"', "CAST(ch AS DOUBLE)", "count(*)")
+            for a in ("rvalue", "intercept", "slope", "stderr"):
+                nm = cn("agg_linear_trend", attr=a, chunk_len=c, f_agg=f)
+                names.append(f"a{c}.{nm}")
+                cols.append(r(f"CASE WHEN count(*) > 1 THEN {rg[a]} END", nm))
+        alts.append(f"a{c} AS (SELECT {K}, {', '.join(cols)} FROM (SELECT {K}, floor(t / {c}) AS ch, max(x) AS \"max\", "
+                    f"min(x) AS \"min\", avg(x) AS \"mean\", var_pop(x) AS \"var\" FROM {src} GROUP BY {K}, ch) "
+                    f"GROUP BY {K})")
+    d, l_ = "(x - l)", "l"
+    sxx, syy, sxy = f"regr_sxx({d}, {l_})", f"regr_syy({d}, {l_})", f"regr_sxy({d}, {l_})"
+    resid = f"(({syy} - {sxy} * {sxy} / {sxx}) / (count(*) - 2))"
+    stat = (f"CASE WHEN count(*) > 2 AND {sxx} > 0 AND {resid} > 0 THEN ({sxy} / {sxx}) / sqrt({resid} / {sxx}) END")
+    dfq = (f"dfu AS (SELECT {K}, {r(stat, 'augmented_dickey_fuller__attr_teststat')} FROM (SELECT {K}, x, "
+           f"lag(x) OVER (PARTITION BY {K} ORDER BY t) AS l FROM {src}) WHERE l IS NOT NULL GROUP BY {K})")
+    lt_names = [f"lt.{cn('linear_trend', attr=a)}" for a in ("pvalue", "rvalue", "intercept", "slope", "stderr")]
+    joins = " ".join(f"JOIN a{c} USING ({K})" for c in AGG_CHUNKS)
+    return (f"WITH {lt}, {', '.join(alts)}, {dfq}\nSELECT lt.series_id, lt.channel, {', '.join(lt_names + names)}, "
+            f"dfu.augmented_dickey_fuller__attr_teststat FROM lt {joins} LEFT JOIN dfu USING ({K})")
+
+
+def change_quantiles_sql(src: str = "series") -> str:
+    qcols = ", ".join(f"quantile_cont(x, {q}) AS q{i}" for i, q in enumerate(CHANGE_Q))
+    cols = []
+    for i, ql in enumerate(CHANGE_Q):
+        for k, qh in enumerate(CHANGE_Q):
+            if ql >= qh:
+                continue
+            inside = f"(q{i} < q{k} AND x >= q{i} AND x <= q{k} AND x1 >= q{i} AND x1 <= q{k})"
+            for isabs in (False, True):
+                d = "abs(x1 - x)" if isabs else "(x1 - x)"
+                for f in ("mean", "var"):
+                    fn = "avg" if f == "mean" else "var_pop"
+                    cols.append(r(f"coalesce({fn}(CASE WHEN {inside} THEN {d} END), 0)",
+                                  cn("change_quantiles", f_agg=f, isabs=isabs, qh=qh, ql=ql)))
+    names = [c.split(" AS ")[-1] for c in cols]
+    return f"""
+WITH ed AS (SELECT {K}, {qcols} FROM {src} WHERE NOT isnan(x) GROUP BY {K}),
+cq AS (SELECT {K}, {", ".join(cols)} FROM (
+  SELECT a.*, ed.* EXCLUDE (series_id, channel), lead(a.x) OVER (PARTITION BY a.series_id, a.channel ORDER BY a.t) AS x1
+  FROM {src} a LEFT JOIN ed USING ({K})) WHERE x1 IS NOT NULL GROUP BY {K})
+SELECT k.series_id, k.channel, {", ".join(f"coalesce(cq.{n}, 0.0) AS {n}" for n in names)}
+FROM (SELECT DISTINCT {K} FROM {src}) k LEFT JOIN cq USING ({K})"""
+
+
+def fft_sql(src: str = "series") -> str:
+    two_pi = repr(2 * math.pi)
+    arg = f"({two_pi} * ((k.coeff * a.t) % nn.n) / nn.n)"
+    return f"""
+SELECT series_id, channel, coeff, {r('re', 'real')}, {r('im', 'imag')}, {r('sqrt(re * re + im * im)', 'abs')},
+  {r(f"degrees(atan2({rs('im')}, {rs('re')}))", 'angle')}
+FROM (SELECT a.series_id, a.channel, k.coeff, sum(a.x * cos({arg})) AS re, -sum(a.x * sin({arg})) AS im
+      FROM {src} a JOIN (SELECT {K}, count(x) AS n FROM {src} GROUP BY {K}) nn USING ({K})
+      CROSS JOIN range(0, {FFT_COEFFS}) k(coeff)
+      WHERE k.coeff <= floor(nn.n / 2) GROUP BY a.series_id, a.channel, k.coeff)"""
+
+
+def cwt_sql(src: str = "series") -> str:
+    widths = ", ".join(f"({w})" for w in CWT_WIDTHS)
+    a = "CAST(w AS DOUBLE)"
+    amp = f"(2.0 / (sqrt({a} * 3.0) * {math.pi ** 0.25!r}))"
+    v = "(m - (L - 1) / 2.0)"
+    ricker = f"({amp} * (1 - {v} * {v} / ({a} * {a})) * exp(-{v} * {v} / (2 * {a} * {a})))"
+    return f"""
+SELECT series_id, channel, w, coeff, {r(f'sum(x * {ricker})', 'value')}
+FROM (SELECT b.*, c.coeff, c.coeff + h - b.t AS m FROM (
+        SELECT a.series_id, a.channel, a.t, a.x, nn.n, CAST(ww.w AS BIGINT) AS w, least(ww.w * 10, nn.n) AS L,
+               floor((least(ww.w * 10, nn.n) - 1) / 2) AS h
+        FROM {src} a JOIN (SELECT {K}, count(x) AS n FROM {src} GROUP BY {K}) nn USING ({K})
+        CROSS JOIN (VALUES {widths}) ww(w)) b
+      CROSS JOIN range(0, {CWT_COEFFS}) c(coeff)
+      WHERE coeff < n AND coeff + h - t >= 0 AND coeff + h - t < L)
+GROUP BY series_id, channel, w, coeff"""

@@ -57,3 +57,15 @@ def with_ctes(ctes: str, body: str) -> str:
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
+
+
+def normal_p_sql(z: str) -> str:
+    """SQL twin of ``functions.columns.normal_two_sided_p`` (A&S 7.1.26)."""
+    from sigframe.functions.columns import AS_A, AS_P
+
+    x = f"(abs({z}) / {2.0 ** 0.5!r})"
+    t = f"(1.0 / (1.0 + {AS_P!r} * {x}))"
+    poly = "0.0"
+    for a in reversed(AS_A):
+        poly = f"(({poly} + {a!r}) * {t})"
+    return f"({poly} * exp(-{x} * {x}))"

@@ -106,3 +106,27 @@ def q_features_reoccurrence(spark, d):
           with_ctes(SERIES_CTE, FO.ordered_sql()))
 def q_features_ordered(spark, d):
     return ordered(events_series(spark, d))
+
+
+from sigframe.operators.features.spectral import cwt_coefficients, fft_coefficients  # noqa: E402
+from sigframe.operators.features.trend import change_quantiles, trend  # noqa: E402
+
+
+@register("features_trend", "F-14 F-15 F-16", with_ctes(SERIES_CTE, FO.trend_sql()))
+def q_features_trend(spark, d):
+    return trend(events_series(spark, d))
+
+
+@register("features_change_quantiles", "F-9", with_ctes(SERIES_CTE, FO.change_quantiles_sql()))
+def q_features_change_quantiles(spark, d):
+    return change_quantiles(events_series(spark, d))
+
+
+@register("features_fft", "F-32", with_ctes(SERIES_CTE, FO.fft_sql()))
+def q_features_fft(spark, d):
+    return fft_coefficients(events_series(spark, d))
+
+
+@register("features_cwt", "F-35", with_ctes(SERIES_CTE, FO.cwt_sql()))
+def q_features_cwt(spark, d):
+    return cwt_coefficients(events_series(spark, d))
