@@ -66,3 +66,42 @@ def autocorrelation(series: DataFrame) -> DataFrame:
                      zero_or("_median").alias(column_name("agg_autocorrelation", f_agg="median", maxlag=AGG_MAXLAG)),
                      zero_or("_var").alias(column_name("agg_autocorrelation", f_agg="var", maxlag=AGG_MAXLAG)))
     return sums.select(*KEY, *cols).join(agg, KEY)
+
+
+# Lag grids of the partial autocorrelation and AR calculators.
+PACF_LAGS = list(range(10))
+AR_ORDER = 10
+
+
+def _durbin_levinson(rho):
+    """Spark SQL higher-order expression: Durbin–Levinson over ``rho`` (array of
+    rho_1..rho_K) -> struct(phi: final AR coefficients, pacf: phi_kk per k)."""
+    phikk = ("((element_at(rho, k) - aggregate(filter(sequence(1, k), j -> j < k), 0D, "
+             "(s, j) -> s + element_at(acc.phi, j) * element_at(rho, k - j))) / "
+             "(1D - aggregate(filter(sequence(1, k), j -> j < k), 0D, "
+             "(s, j) -> s + element_at(acc.phi, j) * element_at(rho, j))))")
+    step = (f"named_struct('phi', concat(transform(acc.phi, (p, i) -> p - {phikk} * element_at(acc.phi, k - 1 - i)), "
+            f"array({phikk})), 'pacf', concat(acc.pacf, array({phikk})))")
+    init = "cast(named_struct('phi', array(), 'pacf', array()) as struct<phi: array<double>, pacf: array<double>>)"
+    return F.expr(f"aggregate(sequence(1, size(rho)), {init}, (acc, k) -> {step})".replace("rho", rho))
+
+
+def partial_autocorrelation(series: DataFrame) -> DataFrame:
+    """F-12 partial autocorrelation (lags 0-9) and F-13 AR coefficients
+    (re-aimed: Yule–Walker solution of order 10 from the same recursion;
+    coeff 0 is the intercept ``mean * (1 - sum(phi))``)."""
+    max_lag = max(max(PACF_LAGS), AR_ORDER)
+    sums = _lagged_sums(series, max_lag)
+    rho = F.array(*[_acf(k) for k in range(1, max_lag + 1)])
+    dl = sums.select(*KEY, (F.col("_s") / F.col("_n")).alias("_m"), rho.alias("_rho")).withColumn(
+        "_dl", _durbin_levinson("_rho"))
+    n_pacf = max(PACF_LAGS)
+    cols = [F.lit(1.0).alias(column_name("partial_autocorrelation", lag=0))]
+    cols += [F.element_at(F.slice("_dl.pacf", 1, n_pacf), k).alias(column_name("partial_autocorrelation", lag=k))
+             for k in range(1, n_pacf + 1)]
+    phi = F.col("_dl.phi")
+    cols.append((F.col("_m") * (1 - F.aggregate(phi, F.lit(0.0), lambda s, p: s + p))).alias(
+        column_name("ar_coefficient", coeff=0, k=AR_ORDER)))
+    cols += [F.element_at(phi, c).alias(column_name("ar_coefficient", coeff=c, k=AR_ORDER))
+             for c in range(1, AR_ORDER + 1)]
+    return dl.select(*KEY, *cols)

@@ -27,11 +27,17 @@ def feature_name(calc: str, **params) -> str:
     return "__".join(parts)
 
 
+# column name -> feature text, filled as families name their columns
+FEATURE_TEXT: dict[str, str] = {}
+
+
 def column_name(calc: str, **params) -> str:
     """Column-safe twin of :func:`feature_name` (used for wide family outputs)."""
-    name = feature_name(calc, **params)
+    text = feature_name(calc, **params)
+    name = text
     for a, b in (('"', ""), (".", "p"), ("-", "m"), (" ", "")):
         name = name.replace(a, b)
+    FEATURE_TEXT[name] = text
     return name
 
 
@@ -44,7 +50,7 @@ def to_long(wide: DataFrame, names: dict[str, str] | None = None,
     """
     keys = list(keys)
     cols = [c for c in wide.columns if c not in keys]
-    names = names or {}
+    names = names if names is not None else FEATURE_TEXT
     entries = F.array(*[F.struct(F.lit(names.get(c, c)).alias("calc"),
                                  F.col(c).cast("double").alias("value")) for c in cols])
     return wide.select(*keys, F.inline(entries)).select(

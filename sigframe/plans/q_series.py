@@ -63,16 +63,42 @@ def q_features_autocorrelation(spark, d):
     return autocorrelation(events_series(spark, d))
 
 
-def long_sql(ctes: str, family_sql: str) -> str:
-    """Oracle for ``naming.to_long``: unpivot a family, keep NULLs."""
+def names_values(cols) -> str:
+    """SQL VALUES list mapping family column names to feature text."""
+    from sigframe.operators.features.naming import FEATURE_TEXT
+
+    rows = ", ".join(f"('{c}', '{FEATURE_TEXT.get(c, c)}')" for c in cols)
+    return f"(VALUES {rows}) nm(calc, txt)"
+
+
+def long_sql(ctes: str, family_sql: str, cols) -> str:
+    """Oracle for ``naming.to_long``: unpivot a family, keep NULLs, map names."""
     body = f"""
-SELECT series_id, channel || '__' || calc AS feature, {rs('value')} AS value
-FROM fam UNPIVOT INCLUDE NULLS (value FOR calc IN (COLUMNS(* EXCLUDE (series_id, channel))))"""
+SELECT series_id, channel || '__' || coalesce(nm.txt, u.calc) AS feature, {rs('value')} AS value
+FROM (SELECT * FROM fam UNPIVOT INCLUDE NULLS (value FOR calc IN (COLUMNS(* EXCLUDE (series_id, channel))))) u
+LEFT JOIN {names_values(cols)} USING (calc)"""
     return with_ctes(f"{ctes},\nfam AS ({family_sql})", body)
 
 
+def long_ctes(family_sql: str, cols, src_name: str = "flong") -> str:
+    """CTE fragment defining ``src_name(series_id, feature, value)`` (unrounded)."""
+    return f"""fam AS ({family_sql}),
+{src_name} AS (
+  SELECT series_id, channel || '__' || coalesce(nm.txt, u.calc) AS feature, CAST(value AS DOUBLE) AS value
+  FROM (SELECT * FROM fam UNPIVOT INCLUDE NULLS (value FOR calc IN (COLUMNS(* EXCLUDE (series_id, channel))))) u
+  LEFT JOIN {names_values(cols)} USING (calc))"""
+
+
+def family_columns(family_sql: str) -> list[str]:
+    """Output column names of a family oracle (aliases after AS)."""
+    import re
+
+    return [m for m in re.findall(r' AS "?([A-Za-z0-9_]+)"?', family_sql)]
+
+
 def _equalised_long_sql() -> str:
-    return long_sql(EQUALISED_CTE, FO.distribution_sql("eq"))
+    sql = FO.distribution_sql("eq")
+    return long_sql(EQUALISED_CTE, sql, family_columns(sql))
 
 
 @register("equalised_features_long", "W-2 F-1 F-2 F-39", _equalised_long_sql())
