@@ -11,7 +11,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 # Abramowitz & Stegun 7.1.26 rational approximation of erf
 # (max abs error 1.5e-7); public constants of the formula.
@@ -71,6 +71,8 @@ def round_doubles(df: DataFrame, digits: int = 8) -> DataFrame:
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
             out.append(round_sig(F.col(f"`{f.name}`"), digits).alias(f.name))
+        elif isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, (DoubleType, FloatType)):
+            out.append(F.transform(F.col(f"`{f.name}`"), lambda v: round_sig(v, digits)).alias(f.name))
         else:
             out.append(F.col(f"`{f.name}`"))
     return df.select(*out)
