@@ -93,22 +93,25 @@ def write_runs(catalog: Catalog, name: str, series: DataFrame) -> None:
 
 def kv_rows(series: DataFrame, dataset: str, atlas: str, prefix: str = "HCP_",
             cell_points: int = 4096) -> DataFrame:
-    """S-9: key-value export rows ``(rowkey, qualifier, value)`` per subject.
+    """S-9: key-value export rows ``(rowkey, qualifier, value)`` per subject run
+    (row key ``<prefix><subject>_<target>``).
 
     Person, dataset and atlas cells as in the source layout; the region data
     is JSON ``{t: x}`` split into cells of at most ``cell_points`` points
     (qualifier ``data:roi:<channel>:<block>``) so no cell, and no task, has to
     hold a whole subject.  The store client itself is not part of the engine.
     """
-    rowkey = F.concat(F.lit(prefix), F.col("subject").cast("string"))
+    rowkey = F.concat(F.lit(prefix), F.col("subject").cast("string"), F.lit("_"), F.col("target").cast("string"))
     blk = F.floor(F.col("t") / F.lit(cell_points)).cast("bigint")
-    roi = series.groupBy("subject", "channel", blk.alias("blk")).agg(
-        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(
-            F.struct(F.col("t").alias("k"), F.col("x").alias("v")))))).alias("value"))
+    entries = F.array_sort(F.collect_list(F.struct(F.col("t").alias("k"), F.col("x").alias("v"))))
+    body = F.array_join(F.transform(entries, lambda e: F.concat(
+        F.lit('"'), e["k"].cast("string"), F.lit('":'), e["v"].cast("string"))), ",")
+    roi = series.groupBy("subject", "target", "channel", blk.alias("blk")).agg(
+        F.concat(F.lit("{"), body, F.lit("}")).alias("value"))
     roi = roi.select(rowkey.alias("rowkey"),
                      F.concat_ws(":", F.lit("data:roi"), F.col("channel"), F.col("blk").cast("string"))
                      .alias("qualifier"), "value")
-    people = series.select("subject").distinct()
+    people = series.select("subject", "target").distinct()
     cells = F.array(
         F.struct(F.lit("data:person").alias("qualifier"), F.col("subject").cast("string").alias("value")),
         F.struct(F.lit("data:dataset").alias("qualifier"), F.lit(dataset).alias("value")),
