@@ -27,6 +27,7 @@ from sigframe.session import cut_lineage
 
 # Rows per block of a series.  Large enough that test-sized series are one
 # block; small enough that a block always fits one task at any scale.
+# Read at call time, so tests can shrink it to exercise multi-block plans.
 DEFAULT_BLOCK = 1 << 20
 
 BLK = "_blk"
@@ -67,13 +68,16 @@ def dense_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     ).drop("_pid", "_pos", "_first", "_off")
 
 
-def blocked(df: DataFrame, t: str = "t", halo: int = 0, block: int = DEFAULT_BLOCK) -> DataFrame:
+def blocked(df: DataFrame, t: str = "t", halo: int = 0, block: int | None = None) -> DataFrame:
     """Add ``_blk`` (block of ``t``) and ``_halo`` (copy from a neighbour block).
 
     Rows of the last ``halo`` positions of a block are copied into the next
     block and rows of the first ``halo`` positions into the previous one.
     Window results must be read from rows with ``_halo = false`` only.
     """
+    import sigframe.operators.ordering as _self
+
+    block = block or _self.DEFAULT_BLOCK
     if halo * 2 >= block:
         raise ValueError("block must exceed twice the halo")
     b = F.floor(F.col(t) / F.lit(block)).cast("bigint")
