@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,23 +89,48 @@ def euclidean(a: Column | str, b: Column | str) -> Column:
     return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda s, v: s + v))
 
 
+def _pair_distance():
+    """Arrow-batched distance of two array columns (numpy over the batch; the
+    per-element sum runs in index order, like the sequential SQL fold)."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("double")
+    def dist(a: pd.Series, b: pd.Series) -> pd.Series:
+        if len(a) == 0:
+            return pd.Series([], dtype="float64")
+        xa, xb = np.stack(a.to_numpy()), np.stack(b.to_numpy())
+        acc = np.zeros(len(a))
+        for j in range(xa.shape[1]):
+            d = xa[:, j] - xb[:, j]
+            acc = acc + d * d
+        return pd.Series(np.sqrt(acc))
+
+    return dist
+
+
 def knn_cv(matrix: DataFrame, k: int = KNN_K, n_folds: int = N_FOLDS, rings: int = RINGS) -> DataFrame:
-    """M-4 exact k-NN under k-fold CV: ``(fold, id, y, yhat)``."""
-    # bounded driver values: one pivot vector and the distance span (two numbers)
+    """M-4 exact k-NN under k-fold CV: ``(fold, id, y, yhat)``.
+
+    Rings are equi-depth (ranked distance to the pivot), so every ring — and
+    every join partition on the ring key — holds the same number of rows.
+    """
+    dist = _pair_distance()
+    # bounded driver values: one pivot vector and the ring bounds (rings + 1 numbers)
     pivot_vec = matrix.orderBy("id").select("features").first()[0]
     pivot = F.array(*[F.lit(float(v)) for v in pivot_vec])
     rows = matrix.select("id", F.col("target").alias("y"), "fold", "features",
                          euclidean("features", pivot).alias("dp"))
-    lo, hi = rows.agg(F.min("dp"), F.max("dp")).first()
-    lo, width = F.lit(lo), F.lit(max((hi - lo) / rings, 1e-12))
-    rows = rows.withColumn("ring", F.floor((F.col("dp") - lo) / width).cast("bigint"))
+    bounds = rows.agg(F.percentile("dp", [i / rings for i in range(rings + 1)])).first()[0]
+    lower = F.array(*[F.lit(float(b)) for b in bounds[:-1]])
+    ring_of = lambda v: (F.size(F.filter(lower, lambda b: b <= v)) - 1).cast("bigint")
+    rows = rows.withColumn("ring", F.greatest(ring_of(F.col("dp")), F.lit(0).cast("bigint")))
     train = rows.select(F.col("id").alias("tid"), F.col("y").alias("ty"), F.col("fold").alias("tfold"),
                         F.col("features").alias("tf"), "ring")
     test = rows.select("id", "y", "fold", "features", "dp", F.col("ring").alias("qring"))
 
     def neighbours(q: DataFrame) -> DataFrame:
         pairs = q.join(train, "ring").filter(F.col("tfold") != F.col("fold"))
-        return pairs.withColumn("dist", round_sig(euclidean("features", "tf")))
+        return pairs.withColumn("dist", round_sig(dist("features", "tf")))
 
     # phase 1: radius bound from the k-th nearest candidate of the adjacent rings
     near = neighbours(test.withColumn("ring", F.explode(F.sequence(F.col("qring") - 1, F.col("qring") + 1))))
@@ -112,11 +139,11 @@ def knn_cv(matrix: DataFrame, k: int = KNN_K, n_folds: int = N_FOLDS, rings: int
     bound = test.join(kth, "id", "left")
     big = F.lit(float("inf"))
     radius = F.coalesce(F.col("R"), big)
-    first = F.when(radius == big, F.lit(0)).otherwise(F.floor((F.col("dp") - radius - lo) / width)).cast("bigint")
-    last = F.when(radius == big, F.lit(rings)).otherwise(F.floor((F.col("dp") + radius - lo) / width)).cast("bigint")
-    # one extra ring on each side absorbs the rounding of distances
-    covered = bound.withColumn("ring", F.explode(F.sequence(F.greatest(first - 1, F.lit(0).cast("bigint")),
-                                                          F.least(last + 1, F.lit(rings).cast("bigint")))))
+    # covering rings of [dp - R, dp + R]; one extra ring each side absorbs distance rounding
+    first = F.when(radius == big, F.lit(0).cast("bigint")).otherwise(ring_of(F.col("dp") - radius) - 1)
+    last = F.when(radius == big, F.lit(rings).cast("bigint")).otherwise(ring_of(F.col("dp") + radius) + 1)
+    covered = bound.withColumn("ring", F.explode(F.sequence(F.greatest(first, F.lit(0).cast("bigint")),
+                                                          F.least(last, F.lit(rings - 1).cast("bigint")))))
     # phase 2: exact neighbours among the covering rings
     cand = neighbours(covered.withColumn("_rad", radius).drop("R")).filter(F.col("dist") <= F.col("_rad"))
     top = cand.withColumn("_r", F.row_number().over(wk)).filter(F.col("_r") <= k)
