@@ -24,9 +24,9 @@ def distribution_sql(src: str = "series") -> str:
         r("CAST(var_pop(x) > stddev_pop(x) AS DOUBLE)", "variance_larger_than_standard_deviation"),
         r("count_if(x > 0) / count(x)", "count_above__t_0"),
         r("count_if(x < 0) / count(x)", "count_below__t_0"),
-        "count_if(x >= -1 AND x < 1) AS range_count__max_1__min_m1",
+        "CAST(count_if(x >= -1 AND x < 1) AS BIGINT) AS range_count__max_1__min_m1",
     ]
-    cols += [f"count_if(x = {v}) AS {cn('value_count', value=v)}" for v in VALUE_COUNT_VALUES]
+    cols += [f"CAST(count_if(x = {v}) AS BIGINT) AS {cn('value_count', value=v)}" for v in VALUE_COUNT_VALUES]
     cols += [r(f"CAST(stddev_pop(x) > {rr} * (max(x) - min(x)) AS DOUBLE)", cn("large_standard_deviation", r=rr))
              for rr in LARGE_STD_R]
     return f"SELECT {K},\n  " + ",\n  ".join(cols) + f"\nFROM {src} GROUP BY {K}"
@@ -45,7 +45,7 @@ def changes_sql(src: str = "series") -> str:
         r(cid, "cid_ce__normalize_False"),
         r(f"CASE WHEN stddev_pop(x) <> 0 THEN {cid} / stddev_pop(x) ELSE 0 END", "cid_ce__normalize_True"),
     ]
-    cols += [f"count_if(x1 IS NOT NULL AND ((x > {m}) <> (x1 > {m}))) AS {cn('number_crossing_m', m=m)}"
+    cols += [f"CAST(count_if(x1 IS NOT NULL AND ((x > {m}) <> (x1 > {m}))) AS BIGINT) AS {cn('number_crossing_m', m=m)}"
              for m in CROSSING_M]
     for lag in C3_LAGS:
         xl, x2l = f"x{lag}", f"x{2 * lag}"
@@ -124,7 +124,7 @@ def location_sql(src: str = "series") -> str:
     j = (f"SELECT a.*, st.n, st.m, st.s, st.mx, st.mn, st.e, {_chunk_sql('a.t', 'st.n', ENERGY_SEGMENTS)} AS chunk, "
          f"{_digit_sql('a.x')} AS digit, CASE WHEN st.mx > st.mn THEN {_bin_sql('a.x', 'st.mn', 'st.mx', ENTROPY_BINS)} "
          f"ELSE 0 END AS bin FROM {src} a JOIN ({st}) st USING ({K})")
-    cols = ["count_if(x > m) AS count_above_mean", "count_if(x < m) AS count_below_mean",
+    cols = ["CAST(count_if(x > m) AS BIGINT) AS count_above_mean", "CAST(count_if(x < m) AS BIGINT) AS count_below_mean",
             r("min(CASE WHEN x = mx THEN t END) / any_value(n)", "first_location_of_maximum"),
             r("(max(CASE WHEN x = mx THEN t END) + 1) / any_value(n)", "last_location_of_maximum"),
             r("min(CASE WHEN x = mn THEN t END) / any_value(n)", "first_location_of_minimum"),
@@ -185,7 +185,7 @@ def ordered_sql(src: str = "series") -> str:
         rw = f"(PARTITION BY {K} ORDER BY t ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING)"
         peak_cols.append(f"(count(x) OVER {lw} = {n} AND count(x) OVER {rw} = {n} AND x > max(x) OVER {lw} "
                          f"AND x > max(x) OVER {rw}) AS p{n}")
-    peaks = (f"pk AS (SELECT {K}, " + ", ".join(f"count_if(p{n}) AS {cn('number_peaks', n=n)}" for n in PEAK_SUPPORTS)
+    peaks = (f"pk AS (SELECT {K}, " + ", ".join(f"CAST(count_if(p{n}) AS BIGINT) AS {cn('number_peaks', n=n)}" for n in PEAK_SUPPORTS)
              + f" FROM (SELECT {K}, " + ", ".join(peak_cols) + f" FROM {src}) GROUP BY {K})")
     mass = (f"ms AS (SELECT {K}, " + ", ".join(
         r(f"CASE WHEN any_value(tot) <> 0 THEN (min(CASE WHEN run / tot >= {q} THEN t END) + 1) / any_value(n) END",
