@@ -105,3 +105,15 @@ def change_quantiles(series: DataFrame) -> DataFrame:
 
 def trend(series: DataFrame) -> DataFrame:
     return linear_trend(series).join(agg_linear_trend(series), KEY).join(dickey_fuller(series), KEY, "left")
+
+
+def linear_trend_timewise(series_ts: DataFrame) -> DataFrame:
+    """F-17: linear trend of x over hours since the series' first time stamp
+    (input carries ``ts``)."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    first = series_ts.groupBy(*KEY).agg(F.min(us).alias("_t0"))
+    hours = (us - F.col("_t0")) / F.lit(3600.0 * 1e6)
+    j = series_ts.join(first, KEY).withColumn("_h", hours)
+    reg = _regression(F.col("x"), F.col("_h"), F.count("x"))
+    return j.groupBy(*KEY).agg(*[reg[a].alias(column_name("linear_trend_timewise", attr=a))
+                                 for a in ("pvalue", "rvalue", "intercept", "slope", "stderr")])

@@ -153,6 +153,15 @@ def knn_cv(matrix: DataFrame, k: int = KNN_K, n_folds: int = N_FOLDS, rings: int
         "fold", "id", "y", F.col("ty").alias("yhat"))
 
 
+# X-4: classifier registry (name -> factory(seed, fast) returning an ML estimator)
+CLASSIFIERS: dict[str, object] = {}
+
+
+def register_classifier(name: str, factory) -> None:
+    """Add or replace a classifier factory ``factory(seed, fast) -> Estimator``."""
+    CLASSIFIERS[name] = factory
+
+
 def ml_estimator(name: str, seed: int = 42, fast: bool = False):
     """M-6..M-8 and ML naive Bayes with the reference presets (Spark limits noted)."""
     from pyspark.ml.classification import GBTClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
@@ -168,6 +177,8 @@ def ml_estimator(name: str, seed: int = 42, fast: bool = False):
                                                   minInstancesPerNode=4, seed=seed), parallelism=4)
     if name == "GaussianNB":
         return NaiveBayes(modelType="gaussian")
+    if name in CLASSIFIERS:
+        return CLASSIFIERS[name](seed, fast)
     raise ValueError(f"unknown classifier {name}")
 
 

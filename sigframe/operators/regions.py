@@ -63,3 +63,34 @@ def region_time_series(voxels: DataFrame, atlas: DataFrame, clean: bool = False,
     if standardize:
         out = standardise_regions(out)
     return out
+
+
+def region_series_multi(voxels: DataFrame, atlases: DataFrame) -> DataFrame:
+    """J-2 / U-5: every scan reduced with every atlas in one job —
+    ``atlases(atlas, voxel, label)``; output ``(atlas, scan_id, label, t, x)``."""
+    labelled = voxels.join(atlases.filter(F.col("label") != 0), "voxel")
+    return labelled.groupBy("atlas", "scan_id", "label", "t").agg(F.avg("x").alias("x"))
+
+
+# Atlas names of the source configuration and their output tables.
+ATLAS_CATALOG = [
+    ("atlas_harvard_oxford", "cort-maxprob-thr25-2mm", "atlas_harvard_oxford_standardize"),
+    ("atlas_craddock", "destrieux_2009", "atlas_craddock_standardize"),
+    ("atlas_aal", "aal", "atlas_aal_standardize"),
+]
+
+
+def atlas_catalog(spark, extra: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """S-11: atlas dimension ``(atlas, maps, output_table)``."""
+    return spark.createDataFrame(ATLAS_CATALOG + list(extra or []), "atlas string, maps string, output_table string")
+
+
+def lookup_atlases(names: DataFrame, catalog: DataFrame, strict: bool = True) -> DataFrame:
+    """S-11: resolve requested atlas names; unknown names raise when ``strict``
+    and are dropped otherwise (inner join)."""
+    if not strict:
+        return names.join(F.broadcast(catalog), "atlas")  # bounded: one row per atlas
+    j = names.join(F.broadcast(catalog), "atlas", "left")
+    ok = F.when(F.col("maps").isNull(), F.raise_error(F.concat(F.lit("there is no atlas "), F.col("atlas")))) \
+        .otherwise(F.lit(True))
+    return j.filter(ok)

@@ -138,3 +138,49 @@ def benjamini_yekutieli(pvalues: DataFrame, level: float = FDR_LEVEL) -> DataFra
 def select_relevant(features: DataFrame, relevance: DataFrame) -> DataFrame:
     """V-8: keep the features marked relevant."""
     return features.join(relevance.filter("relevant").select("feature"), "feature", "left_semi")
+
+
+def _upper_normal_tail(z):
+    """P(Z >= z) from the two-sided tail helper."""
+    p2 = normal_two_sided_p(z)
+    return F.when(z >= 0, p2 / 2).otherwise(1 - p2 / 2)
+
+
+def anova(features: DataFrame, targets: DataFrame) -> DataFrame:
+    """V-4: one-way ANOVA F across target classes per feature; p-value by the
+    Wilson–Hilferty normal approximation of the F tail (documented)."""
+    pts = canonical(features).join(targets.select("series_id", "target"), "series_id")
+    per = pts.groupBy("feature", "target").agg(F.count("value").alias("nk"), F.sum("value").alias("sk"),
+                                               (F.var_pop("value") * F.count("value")).alias("ssw"))
+    g = per.groupBy("feature").agg(F.sum("nk").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("sk").alias("s"),
+                                   F.sum("ssw").alias("ssw"),
+                                   F.sum(F.col("sk") * F.col("sk") / F.col("nk")).alias("_q"))
+    n, k = F.col("n").cast("double"), F.col("k").cast("double")
+    ssb = F.col("_q") - F.col("s") * F.col("s") / n
+    d1, d2 = k - 1, n - k
+    fstat = F.when((d1 > 0) & (d2 > 0) & (F.col("ssw") > 0), (ssb / d1) / (F.col("ssw") / d2))
+    c = F.pow(fstat, 1.0 / 3.0)
+    z = ((1 - 2 / (9 * d2)) * c - (1 - 2 / (9 * d1))) / F.sqrt(2 / (9 * d2) * c * c + 2 / (9 * d1))
+    return g.select("feature", fstat.alias("statistic"), F.when(fstat.isNotNull(), _upper_normal_tail(z)).alias("p_value"))
+
+
+def mann_whitney(features: DataFrame, binary_targets: DataFrame) -> DataFrame:
+    """V-5: two-sided Mann–Whitney U of each feature between target 1 and 0
+    (average ranks for ties, tie-corrected normal approximation with continuity)."""
+    pts = canonical(features).join(binary_targets.select("series_id", "target"), "series_id")
+    per_v = pts.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"),
+                                                F.count_if(F.col("target") == 1).alias("c1"))
+    before = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    per_v = per_v.withColumn("_below", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    avg_rank = F.col("_below") + (F.col("c") + 1) / 2.0
+    g = per_v.groupBy("feature").agg(F.sum(F.col("c1") * avg_rank).alias("r1"), F.sum("c").alias("n"),
+                                     F.sum("c1").alias("n1"),
+                                     F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("tie"))
+    n, n1 = F.col("n").cast("double"), F.col("n1").cast("double")
+    n0 = n - n1
+    u1 = F.col("r1") - n1 * (n1 + 1) / 2
+    u = F.greatest(u1, n1 * n0 - u1)
+    sigma = F.sqrt(n1 * n0 / 12 * ((n + 1) - F.col("tie") / (n * (n - 1))))
+    z = (u - n1 * n0 / 2 - 0.5) / sigma
+    p = F.when((n1 > 0) & (n0 > 0) & (sigma > 0), F.least(normal_two_sided_p(z), F.lit(1.0)))
+    return g.select("feature", u1.alias("statistic"), p.alias("p_value"))

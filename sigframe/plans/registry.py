@@ -44,6 +44,6 @@ def register(name: str, ops: str, sql: str | None = None):
 
 def all_queries() -> dict[str, Query]:
     # import side effects register the query families
-    from sigframe.plans import q_catalogue, q_extra, q_models, q_regions, q_selection, q_series  # noqa: F401
+    from sigframe.plans import q_catalogue, q_extra, q_models, q_more, q_regions, q_selection, q_series  # noqa: F401
 
     return REGISTRY

@@ -101,3 +101,22 @@ def matrix_from_embeddings(embeddings: DataFrame) -> DataFrame:
     """Feature matrix ``(id, target, features array<double>)``."""
     return embeddings.select(F.col("vec_id").alias("id"), F.col("label").cast("int").alias("target"),
                              F.transform("embedding", lambda v: v.cast("double")).alias("features"))
+
+
+def atlases_from_part(part: DataFrame) -> DataFrame:
+    """Two label maps over the same voxels: ``brand`` (brand number) and
+    ``size`` (part size); ``atlas(atlas, voxel, label)``."""
+    brand = atlas_from_part(part).withColumn("atlas", F.lit("brand"))
+    size = part.select(F.col("p_partkey").alias("voxel"), F.col("p_size").cast("int").alias("label")).withColumn(
+        "atlas", F.lit("size"))
+    return brand.unionByName(size).select("atlas", "voxel", "label")
+
+
+def series_with_time(events: DataFrame) -> DataFrame:
+    """``series`` plus the event time stamp ``ts`` (for time-aware features)."""
+    wide = wide_events(events)
+    indexed = dense_index(wide, ["subject", "target"], ["ts", "event_id"])
+    return indexed.select(
+        series_id("subject", "target"), "subject", "target", "t", "ts",
+        F.stack(F.lit(2), F.lit("x_0"), "x_0", F.lit("x_1"), "x_1").alias("channel", "x"),
+    ).select("series_id", "subject", "target", "channel", "t", "ts", "x")
