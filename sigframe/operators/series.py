@@ -21,19 +21,23 @@ def _finite(x):
     return F.when(~F.isnan(x), x)
 
 
-def point_counts(series: DataFrame, channel: str = "x_0") -> DataFrame:
-    """A-1: non-null, non-NaN point count of one channel per series (partial agg)."""
+def point_counts(series: DataFrame, channel: str | None = "x_0") -> DataFrame:
+    """A-1: non-null, non-NaN point count per series of one channel (partial
+    agg); with ``channel=None`` per (series, channel) over all channels."""
+    if channel is None:
+        return series.groupBy("series_id", "subject", "target", "channel").agg(
+            F.count(_finite(F.col("x"))).alias("n_points"))
     return (series.filter(F.col("channel") == channel)
             .groupBy("series_id", "subject", "target")
             .agg(F.count(_finite(F.col("x"))).alias("n_points")))
 
 
-def min_length(series: DataFrame, channel: str = "x_0") -> DataFrame:
+def min_length(series: DataFrame, channel: str | None = "x_0") -> DataFrame:
     """A-2: one-row table with the smallest A-1 count."""
     return point_counts(series, channel).agg(F.min("n_points").alias("min_length"))
 
 
-def equalise(series: DataFrame, channel: str = "x_0") -> DataFrame:
+def equalise(series: DataFrame, channel: str | None = "x_0") -> DataFrame:
     """W-2: keep the first ``min_length`` positions of every series, all channels.
 
     Two aggregate passes (per-series counts, then a one-row minimum) feed a
