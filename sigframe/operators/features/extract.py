@@ -17,13 +17,13 @@ from sigframe.operators.features.naming import feature_name, to_long
 from sigframe.operators.features.ordered import ordered
 from sigframe.operators.features.quantiles import quantiles
 from sigframe.operators.features.reoccurrence import reoccurrence
-from sigframe.operators.features.spectral import CWT_WIDTHS, cwt_coefficients, fft_coefficients
+from sigframe.operators.features.spectral import CWT_WIDTHS, cwt_coefficients, fft_coefficients, welch_density
 from sigframe.operators.features.trend import change_quantiles, trend
 
 WIDE_FAMILIES = {
     "distribution": distribution, "quantiles": quantiles, "changes": changes, "autocorrelation": autocorrelation,
     "partial_autocorrelation": partial_autocorrelation, "location": location, "reoccurrence": reoccurrence,
-    "ordered": ordered, "trend": trend, "change_quantiles": change_quantiles,
+    "ordered": ordered, "trend": trend, "change_quantiles": change_quantiles, "welch": welch_density,
 }
 LONG_FAMILIES = ("fft", "cwt")
 MINIMAL = ("distribution",)

@@ -326,3 +326,28 @@ FROM (SELECT b.*, c.coeff, c.coeff + h - b.t AS m FROM (
       CROSS JOIN range(0, {CWT_COEFFS}) c(coeff)
       WHERE coeff < n AND coeff + h - t >= 0 AND coeff + h - t < L)
 GROUP BY series_id, channel, w, coeff"""
+
+
+def welch_sql(src: str = "series") -> str:
+    from sigframe.operators.features.spectral import WELCH_COEFFS, WELCH_MAX_SEGMENT
+
+    two_pi = repr(2 * math.pi)
+    lg = f"least(nn.n, {WELCH_MAX_SEGMENT})"
+    coeffs = ", ".join(f"({c})" for c in WELCH_COEFFS)
+    cols = ", ".join(r(f"max(CASE WHEN coeff = {c} THEN v END)", cn("spkt_welch_density", coeff=c)) for c in WELCH_COEFFS)
+    return f"""
+WITH wj AS (SELECT a.*, {lg} AS L, {lg} - floor({lg} / 2) AS step,
+                   floor((nn.n - floor({lg} / 2)) / ({lg} - floor({lg} / 2))) AS S
+            FROM {src} a JOIN (SELECT {K}, count(x) AS n FROM {src} GROUP BY {K}) nn USING ({K})),
+wsg AS (SELECT wj.*, u.seg FROM wj, unnest([floor(t / step) - 1, floor(t / step)]) AS u(seg)
+        WHERE u.seg >= 0 AND u.seg < S AND t - u.seg * step < L),
+wr AS (SELECT wsg.*, t - seg * step AS jj, c.coeff FROM wsg CROSS JOIN (VALUES {coeffs}) c(coeff)),
+wv AS (SELECT *, 0.5 - 0.5 * cos({two_pi} * jj / L) AS w, {two_pi} * ((jj * coeff) % L) / L AS arg FROM wr),
+wp AS (SELECT {K}, seg, coeff, sum(x * w * cos(arg)) AS xc, sum(x * w * sin(arg)) AS xs, sum(x) AS sx,
+              sum(w * cos(arg)) AS wc, sum(w * sin(arg)) AS ws, sum(w * w) AS w2, any_value(L) AS L
+       FROM wv GROUP BY {K}, seg, coeff),
+wd AS (SELECT {K}, coeff, avg(CASE WHEN w2 > 0 AND coeff <= floor(L / 2) THEN
+          ((xc - sx / L * wc) * (xc - sx / L * wc) + (xs - sx / L * ws) * (xs - sx / L * ws)) / w2
+          * CASE WHEN coeff = 0 OR (L % 2 = 0 AND coeff = floor(L / 2)) THEN 1.0 ELSE 2.0 END END) AS v
+       FROM wp GROUP BY {K}, coeff)
+SELECT {K}, {cols} FROM wd GROUP BY {K}"""

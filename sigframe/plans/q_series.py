@@ -156,3 +156,11 @@ def q_features_fft(spark, d):
 @register("features_cwt", "F-35", with_ctes(SERIES_CTE, FO.cwt_sql()))
 def q_features_cwt(spark, d):
     return cwt_coefficients(events_series(spark, d))
+
+
+from sigframe.operators.features.spectral import welch_density  # noqa: E402
+
+
+@register("features_welch", "F-34", with_ctes(SERIES_CTE, FO.welch_sql()))
+def q_features_welch(spark, d):
+    return welch_density(events_series(spark, d))

@@ -127,3 +127,36 @@ def test_pacf_matches_durbin_levinson(spark):
     ref = _pacf_numpy(xs, 9)
     for k in range(10):
         assert r[f"partial_autocorrelation__lag_{k}"] == pytest.approx(ref[k], abs=1e-9)
+
+
+def _welch_numpy(x, coeffs=(2, 5, 8)):
+    x = np.asarray(x, float)
+    n = len(x)
+    L = min(n, 256)
+    step = L - L // 2
+    S = (n - L // 2) // step
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(L) / L)
+    acc = np.zeros(L // 2 + 1)
+    for s in range(S):
+        seg = x[s * step: s * step + L]
+        y = (seg - seg.mean()) * w
+        p = np.abs(np.fft.rfft(y)) ** 2 / np.sum(w * w)
+        if L % 2:
+            p[1:] *= 2
+        else:
+            p[1:-1] *= 2
+        acc += p
+    acc /= S
+    return [acc[c] if c < len(acc) else None for c in coeffs]
+
+
+def test_welch_matches_numpy(spark):
+    from sigframe.operators.features.spectral import welch_density
+
+    for n in (600, 40, 11):
+        xs = [float((t * 37) % 101 - 50) + 10 * math.sin(t / 5.0) for t in range(n)]
+        r = welch_density(_frame(spark, xs)).collect()[0]
+        ref = _welch_numpy(xs)
+        for c, v in zip((2, 5, 8), ref):
+            got = r[f"spkt_welch_density__coeff_{c}"]
+            assert (got is None and v is None) or got == pytest.approx(v, rel=1e-9)
