@@ -90,10 +90,15 @@ def permutation_entropy(series: DataFrame) -> DataFrame:
     rows = []
     for d in PERMUTATION_DIMS:
         vals = [F.col("x")] + [F.col(f"_x{k}") for k in range(1, d)]
-        pattern = F.transform(F.array_sort(F.array(*[F.struct(v.alias("v"), F.lit(i).alias("i"))
-                                                      for i, v in enumerate(vals)])), lambda s: s["i"])
+        # ordinal pattern as an integer: rank of each value (ties by position)
+        # in base d; plain comparisons keep it inside whole-stage codegen
+        code = F.lit(0).cast("bigint")
+        for i in range(d):
+            rank = sum(((vals[j] < vals[i]) | ((vals[j] == vals[i]) & F.lit(j < i))).cast("bigint")
+                       for j in range(d) if j != i)
+            code = code + rank * F.lit(d ** i)
         rows.append(F.when(F.col(f"_x{d - 1}").isNotNull(),
-                           F.struct(F.lit(d).alias("d"), F.array_join(pattern, "").alias("pat"))))
+                           F.struct(F.lit(d).alias("d"), code.alias("pat"))))
     pats = own.select(*KEY, F.explode(F.filter(F.array(*rows), lambda e: e.isNotNull())).alias("e"))
     counts = pats.groupBy(*KEY, F.col("e.d").alias("d"), F.col("e.pat").alias("pat")).agg(
         F.count(F.lit(1)).alias("c"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigframe.functions.columns import normal_two_sided_p, round_sig
+from sigframe.session import cut_lineage
 
 FDR_LEVEL = 0.05
 MAX_CLASSES = 1000
@@ -112,7 +113,8 @@ def ks_binary(features: DataFrame, targets: DataFrame, classes: list | None = No
 def feature_pvalues(features: DataFrame, targets: DataFrame) -> DataFrame:
     """V-1..V-3: ``(feature, kind, statistic, p_value)`` for non-constant features."""
     classes = target_classes(targets)
-    features = canonical(features)
+    # the canonical feature table feeds four passes: materialise it once
+    features = cut_lineage(canonical(features))
     kinds = feature_kinds(features)
     real = features.join(kinds.filter(F.col("kind") == "real").select("feature"), "feature", "left_semi")
     binary = features.join(kinds.filter(F.col("kind") == "binary").select("feature"), "feature", "left_semi")

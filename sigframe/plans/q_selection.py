@@ -71,12 +71,20 @@ rel AS (SELECT th.*, coalesce(rank < (SELECT min(rank) FROM th WHERE NOT (p_valu
                               true) AS relevant FROM th)"""
 
 
-def _features(spark, d):
-    return impute(extract(events_series(spark, d), MINIMAL))
+def _features(spark, d, series=None):
+    series = series if series is not None else events_series(spark, d)
+    return impute(extract(series, MINIMAL))
 
 
-def _targets(spark, d):
-    return events_series(spark, d).select("series_id", F.col("target").cast("double").alias("target")).distinct()
+def _targets(spark, d, series=None):
+    series = series if series is not None else events_series(spark, d)
+    return series.select("series_id", F.col("target").cast("double").alias("target")).distinct()
+
+
+def _features_targets(spark, d):
+    """Features and targets from one series build (one dense index)."""
+    s = events_series(spark, d)
+    return _features(spark, d, s), _targets(spark, d, s)
 
 
 @register("features_imputed", "F-38 F-39 V-9",
@@ -101,20 +109,20 @@ def q_selection_kinds(spark, d):
           with_ctes(PVALUES_CTE, f"SELECT feature, kind, {r('statistic', 'statistic')}, {r('p_value', 'p_value')} "
                                  "FROM pv"))
 def q_selection_pvalues(spark, d):
-    return V.feature_pvalues(_features(spark, d), _targets(spark, d))
+    return V.feature_pvalues(*_features_targets(spark, d))
 
 
 @register("selection_relevance", "V-7",
           with_ctes(PVALUES_CTE, f"SELECT feature, kind, {r('statistic', 'statistic')}, {r('p_value', 'p_value')}, "
                                  f"rank, {r('threshold', 'threshold')}, relevant FROM rel"))
 def q_selection_relevance(spark, d):
-    return V.benjamini_yekutieli(V.feature_pvalues(_features(spark, d), _targets(spark, d)))
+    return V.benjamini_yekutieli(V.feature_pvalues(*_features_targets(spark, d)))
 
 
 @register("selection_apply", "V-8",
           with_ctes(PVALUES_CTE, f"SELECT series_id, feature, {r('value', 'value')} FROM imp "
                                  "WHERE feature IN (SELECT feature FROM rel WHERE relevant)"))
 def q_selection_apply(spark, d):
-    feats = _features(spark, d)
-    rel = V.benjamini_yekutieli(V.feature_pvalues(feats, _targets(spark, d)))
+    feats, targets = _features_targets(spark, d)
+    rel = V.benjamini_yekutieli(V.feature_pvalues(feats, targets))
     return V.select_relevant(feats, rel)

@@ -59,6 +59,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the shared checkpoint folder (reliable, not local)."""
+    """Materialise ``df`` into the shared checkpoint folder (reliable, not local).
+
+    The frame is persisted first so the checkpoint write reads the cached
+    partitions instead of recomputing the plan a second time; the cache is
+    released once the checkpoint files exist.
+    """
+    from pyspark import StorageLevel
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
