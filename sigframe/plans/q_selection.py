@@ -31,8 +31,8 @@ kinds AS (SELECT feature, count(DISTINCT {rs('value')}) AS n_distinct FROM imp G
 def _ks_p_sql(d: str, na: str, nb: str) -> str:
     en = f"({na} * {nb} / ({na} + {nb}))"
     lam = f"((sqrt({en}) + 0.12 + 0.11 / sqrt({en})) * {d})"
-    terms = " + ".join(f"({(-1) ** (j - 1)} * exp({-2.0 * j * j!r} * {lam} * {lam}))" for j in range(1, 101))
-    return f"least(greatest(2 * ({terms}), 0.0), 1.0)"
+    terms = " + ".join(f"({(-1) ** (j - 1)} * exp({-2.0 * j * j!r} * {lam} * {lam}))" for j in range(1, V.KS_TERMS + 1))
+    return f"CASE WHEN {lam} < {V.KS_LAMBDA_MIN} THEN 1.0 ELSE least(greatest(2 * ({terms}), 0.0), 1.0) END"
 
 
 PVALUES_CTE = FEATURES_CTE + f""",
