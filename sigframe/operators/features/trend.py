@@ -29,7 +29,8 @@ def _regression(y, x, n):
     vy, vx = F.var_pop(y), F.var_pop(x)
     r = F.when((vy > 0) & (vx > 0), F.covar_pop(y, x) / F.sqrt(vy * vx))
     df = n - 2
-    stderr = F.when(df > 0, F.sqrt((1 - r * r) * F.var_pop(y) / F.var_pop(x) / df))
+    # 1 - r^2 is clamped at 0: |r| can exceed 1 by rounding for collinear points
+    stderr = F.when(df > 0, F.sqrt(F.greatest(1 - r * r, F.lit(0.0)) * F.var_pop(y) / F.var_pop(x) / df))
     tstat = r * F.sqrt(df / ((1 - r) * (1 + r)))
     pvalue = F.when(df > 0, F.when(F.abs(r) < 1, normal_two_sided_p(tstat)).otherwise(F.lit(0.0)))
     return {"slope": F.regr_slope(y, x), "intercept": F.regr_intercept(y, x), "rvalue": r,
@@ -110,9 +111,9 @@ def trend(series: DataFrame) -> DataFrame:
 def linear_trend_timewise(series_ts: DataFrame) -> DataFrame:
     """F-17: linear trend of x over hours since the series' first time stamp
     (input carries ``ts``)."""
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    first = series_ts.groupBy(*KEY).agg(F.min(us).alias("_t0"))
-    hours = (us - F.col("_t0")) / F.lit(3600.0 * 1e6)
+    # time differences on the stamps themselves (no session time-zone involved)
+    first = series_ts.groupBy(*KEY).agg(F.min("ts").alias("_t0"))
+    hours = F.timestamp_diff("MICROSECOND", F.col("_t0"), F.col("ts")).cast("double") / F.lit(3600.0 * 1e6)
     j = series_ts.join(first, KEY).withColumn("_h", hours)
     reg = _regression(F.col("x"), F.col("_h"), F.count("x"))
     return j.groupBy(*KEY).agg(*[reg[a].alias(column_name("linear_trend_timewise", attr=a))

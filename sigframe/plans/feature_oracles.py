@@ -240,7 +240,7 @@ def _reg_sql(y: str, x: str, n: str) -> dict[str, str]:
     tstat = f"({r_} * sqrt({df} / ((1 - {r_}) * (1 + {r_}))))"
     return {
         "slope": f"regr_slope({y}, {x})", "intercept": f"regr_intercept({y}, {x})", "rvalue": r_,
-        "stderr": f"(CASE WHEN {df} > 0 THEN sqrt((1 - {r_} * {r_}) * var_pop({y}) / var_pop({x}) / {df}) END)",
+        "stderr": f"(CASE WHEN {df} > 0 THEN sqrt(greatest(1 - {r_} * {r_}, 0.0) * var_pop({y}) / var_pop({x}) / {df}) END)",
         "pvalue": f"(CASE WHEN {df} > 0 THEN CASE WHEN abs({r_}) < 1 THEN {normal_p_sql(tstat)} ELSE 0.0 END END)",
     }
 
