@@ -351,3 +351,36 @@ wd AS (SELECT {K}, coeff, avg(CASE WHEN w2 > 0 AND coeff <= floor(L / 2) THEN
           * CASE WHEN coeff = 0 OR (L % 2 = 0 AND coeff = floor(L / 2)) THEN 1.0 ELSE 2.0 END END) AS v
        FROM wp GROUP BY {K}, coeff)
 SELECT {K}, {cols} FROM wd GROUP BY {K}"""
+
+
+def pacf_sql(src: str = "series") -> str:
+    """Durbin–Levinson as a recursive CTE over the adjusted autocorrelations."""
+    from sigframe.operators.features.autocorr import AR_ORDER, PACF_LAGS
+
+    kmax = max(max(PACF_LAGS), AR_ORDER)
+    rho = "[" + ", ".join(f"max(CASE WHEN k = {k} THEN acf END)" for k in range(1, kmax + 1)) + "]"
+    kk = ("(rh.rho[d.k + 1] - list_sum(list_transform(range(1, d.k + 1), lambda j: d.phi[j] * rh.rho[d.k + 1 - j])))"
+          " / (1 - list_sum(list_transform(range(1, d.k + 1), lambda j: d.phi[j] * rh.rho[j])))")
+    pacf_cols = [r("1.0", cn("partial_autocorrelation", lag=0))]
+    pacf_cols += [r(f"pacf[{k}]", cn("partial_autocorrelation", lag=k)) for k in range(1, max(PACF_LAGS) + 1)]
+    ar_cols = [r("m * (1 - list_sum(phi))", cn("ar_coefficient", coeff=0, k=AR_ORDER))]
+    ar_cols += [r(f"phi[{c}]", cn("ar_coefficient", coeff=c, k=AR_ORDER)) for c in range(1, AR_ORDER + 1)]
+    return f"""
+WITH RECURSIVE st AS (SELECT {K}, count(x) AS n, avg(x) AS m, var_pop(x) AS v FROM {src} GROUP BY {K}),
+ac AS (SELECT a.series_id, a.channel, l.k,
+              CASE WHEN s.v >= {VAR_EPS} AND s.n > l.k THEN sum((a.x - s.m) * (b.x - s.m)) / ((s.n - l.k) * s.v) END AS acf
+       FROM {src} a CROSS JOIN range(1, {kmax + 1}) l(k)
+       JOIN {src} b ON b.series_id = a.series_id AND b.channel = a.channel AND b.t = a.t - l.k
+       JOIN st s ON s.series_id = a.series_id AND s.channel = a.channel
+       GROUP BY a.series_id, a.channel, l.k, s.n, s.v),
+rh AS (SELECT st.series_id, st.channel, st.m, CAST({rho} AS DOUBLE[]) AS rho
+       FROM st LEFT JOIN ac USING ({K}) GROUP BY st.series_id, st.channel, st.m),
+dl(series_id, channel, k, phi, pacf) AS (
+  SELECT series_id, channel, 1, CAST([rho[1]] AS DOUBLE[]), CAST([rho[1]] AS DOUBLE[]) FROM rh
+  UNION ALL
+  SELECT d.series_id, d.channel, d.k + 1,
+         list_concat(list_transform(range(1, d.k + 1), lambda j: d.phi[j] - {kk} * d.phi[d.k + 1 - j]), [{kk}]),
+         list_concat(d.pacf, [{kk}])
+  FROM dl d JOIN rh ON rh.series_id = d.series_id AND rh.channel = d.channel WHERE d.k < {kmax})
+SELECT dl.series_id, dl.channel, {", ".join(pacf_cols)}, {", ".join(ar_cols)}
+FROM dl JOIN rh USING ({K}) WHERE dl.k = {kmax}"""

@@ -54,6 +54,8 @@ def r(expr: str, alias: str) -> str:
 def with_ctes(ctes: str, body: str) -> str:
     """Prefix ``body`` with the CTE list; a body with its own WITH is merged."""
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

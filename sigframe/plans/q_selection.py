@@ -93,7 +93,7 @@ def q_features_imputed(spark, d):
     return _features(spark, d)
 
 
-@register("features_partial_autocorrelation", "F-12 F-13")
+@register("features_partial_autocorrelation", "F-12 F-13", with_ctes(SERIES_CTE, FO.pacf_sql()))
 def q_features_pacf(spark, d):
     return partial_autocorrelation(events_series(spark, d))
 
