@@ -45,22 +45,27 @@ def linear_trend(series: DataFrame) -> DataFrame:
 
 
 def agg_linear_trend(series: DataFrame) -> DataFrame:
-    parts = []
-    for c in AGG_CHUNKS:
-        chunk = F.floor(F.col("t") / c).cast("bigint")
-        per = series.groupBy(*KEY, chunk.alias("_c")).agg(
-            F.max("x").alias("max"), F.min("x").alias("min"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
-        aggs = []
-        m = F.count(F.lit(1))
+    """Regressions over chunk aggregates for every chunk length in one pass:
+    points are expanded to one row per chunk length (3x), aggregated per
+    (series, channel, length, chunk), regressed per (series, channel, length)."""
+    c = F.explode(F.array(*[F.lit(v).cast("bigint") for v in AGG_CHUNKS])).alias("_len")
+    rows = series.select(*KEY, "t", "x", c)
+    per = rows.groupBy(*KEY, "_len", F.floor(F.col("t") / F.col("_len")).cast("bigint").alias("_c")).agg(
+        F.max("x").alias("max"), F.min("x").alias("min"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
+    m = F.count(F.lit(1))
+    aggs = []
+    for f in AGG_FUNCS:
+        reg = _regression(F.col(f), F.col("_c").cast("double"), m)
+        for a in ("rvalue", "intercept", "slope", "stderr"):
+            aggs.append(F.when(m > 1, reg[a]).alias(f"{f}_{a}"))
+    fits = per.groupBy(*KEY, "_len").agg(*aggs)
+    cols = []
+    for length in AGG_CHUNKS:
         for f in AGG_FUNCS:
-            reg = _regression(F.col(f), F.col("_c").cast("double"), m)
             for a in ("rvalue", "intercept", "slope", "stderr"):
-                aggs.append(F.when(m > 1, reg[a]).alias(column_name("agg_linear_trend", attr=a, chunk_len=c, f_agg=f)))
-        parts.append(per.groupBy(*KEY).agg(*aggs))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, KEY)
-    return out
+                cols.append(F.max(F.when(F.col("_len") == length, F.col(f"{f}_{a}"))).alias(
+                    column_name("agg_linear_trend", attr=a, chunk_len=length, f_agg=f)))
+    return fits.groupBy(*KEY).agg(*cols)
 
 
 def dickey_fuller(series: DataFrame) -> DataFrame:

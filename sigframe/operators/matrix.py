@@ -7,11 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigframe.functions.columns import sanitize_name
-from sigframe.operators.ordering import dense_index
 
 FILL = -1.0
 # Bookkeeping columns that are never features.
@@ -52,8 +51,14 @@ def label_report(label_rows: DataFrame) -> DataFrame:
 
 
 def feature_index(features: DataFrame) -> DataFrame:
-    """Dense 0-based feature positions in name order (range-partitioned index)."""
-    return dense_index(features.select("feature").distinct(), [], ["feature"], out="idx")
+    """Dense 0-based feature positions in name order.
+
+    Runs on the distinct feature-name table, whose size is bounded by the
+    calculator grid times the channel count (not by the data), so a single
+    ordered window is enough here.
+    """
+    names = features.select("feature").distinct()
+    return names.withColumn("idx", (F.row_number().over(Window.orderBy("feature")) - 1).cast("bigint"))
 
 
 def assemble(features: DataFrame, index: DataFrame | None = None) -> DataFrame:
