@@ -17,7 +17,6 @@ NOTES = {
     "S-6": "`operators.catalogue.resting_members` — test `test_resting_members`",
     "U-2": "`list_archives` with two globs (union) — test",
     "U-3": "driver-side schema op; covered by `series_drop_channels` (P-8)",
-    "R-6": "**not built** — import-only in the source; needs all region pairs per time point",
     "F-33": "**not built** — needs the full spectrum (n/2 coefficients per point: quadratic per series)",
     "F-36": "**not built** — template-pair counting is quadratic per series",
     "X-1": "re-aimed: the grouped pandas map is replaced by DataFrame operators (`plans.flows.resting_regions`)",

@@ -71,3 +71,20 @@ def test_number_series_and_wide(spark):
     keys = spark.createDataFrame([(5, 1), (3, 2), (5, 0), (3, 2)], "subject long, target int")
     got = sorted(tuple(r) for r in S.number_series(keys).collect())
     assert got == [(3, 2, 0), (5, 0, 1), (5, 1, 2)]
+
+
+def test_connectivity_multi_block_matches_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(40, 4))
+    data[:, 1] += 0.8 * data[:, 0]
+    rows = [(1, lab, t, float(data[t, lab])) for t in range(40) for lab in range(4) if not (lab == 3 and t % 7 == 0)]
+    reg = spark.createDataFrame(rows, "scan_id long, label int, t int, x double")
+    got = {(r["label_a"], r["label_b"]): r for r in R.connectivity(reg, block=8).collect()}
+    ref = np.corrcoef(data[:, :3].T)
+    assert got[(0, 1)]["corr"] == pytest.approx(ref[0, 1], abs=1e-12)
+    assert got[(1, 2)]["n"] == 40
+    common = [t for t in range(40) if t % 7 != 0]
+    assert got[(0, 3)]["n"] == len(common)
+    assert got[(0, 3)]["corr"] == pytest.approx(np.corrcoef(data[common, 0], data[common, 3])[0, 1], abs=1e-12)
