@@ -173,10 +173,10 @@ def ml_estimator(name: str, seed: int = 42, fast: bool = False):
                                       featureSubsetStrategy="log2", seed=seed)
     if name == "BoostedTreesA":  # lr 0.05, depth 4, 320 rounds; min child weight ~ minInstancesPerNode
         return OneVsRest(classifier=GBTClassifier(stepSize=0.05, maxDepth=4, maxIter=2 if fast else 320,
-                                                  minInstancesPerNode=4, seed=seed), parallelism=4)
+                                                  minInstancesPerNode=4, seed=seed), parallelism=8)
     if name == "BoostedTreesB":  # lr 0.1, depth 4, 80 rounds
         return OneVsRest(classifier=GBTClassifier(stepSize=0.1, maxDepth=4, maxIter=2 if fast else 80,
-                                                  minInstancesPerNode=4, seed=seed), parallelism=4)
+                                                  minInstancesPerNode=4, seed=seed), parallelism=8)
     if name == "GaussianNB":
         return NaiveBayes(modelType="gaussian")
     if name in CLASSIFIERS:
@@ -193,7 +193,10 @@ def to_ml(matrix: DataFrame) -> DataFrame:
 
 def ml_cv(matrix: DataFrame, name: str, n_folds: int = N_FOLDS, fast: bool = False) -> DataFrame:
     """M-9 with an ML estimator: one fit per fold, predictions ``(fold, id, y, yhat)``."""
-    data = to_ml(matrix)
+    # the vector table feeds every fold's fit: materialise it once
+    from sigframe.session import cut_lineage
+
+    data = cut_lineage(to_ml(matrix))
     out = None
     for f in range(n_folds):
         est = ml_estimator(name, fast=fast)
