@@ -94,3 +94,15 @@ def test_confusion_and_class_metrics(spark):
     assert cm == {(0, 0): 1, (1, 0): 1, (2, 2): 2}
     per = {r["c"]: r for r in A.class_metrics(pred).collect()}
     assert per[1]["recall"] == 0.0 and per[0]["precision"] == pytest.approx(0.5)
+
+
+def test_ml_cv_beats_majority_and_is_repeatable(spark):
+    df = _points(spark)
+    a = M.ml_cv(df, "RandomForestClassifier", fast=True)
+    b = M.ml_cv(df, "RandomForestClassifier", fast=True)
+    ra = sorted(tuple(r) for r in a.collect())
+    assert ra == sorted(tuple(r) for r in b.collect())
+    acc = sum(r[2] == r[3] for r in ra) / len(ra)
+    assert acc > 0.5  # three balanced classes: majority baseline is about 1/3
+    nb = M.ml_cv(df, "GaussianNB")
+    assert nb.count() == df.count()
