@@ -165,7 +165,7 @@ def register_classifier(name: str, factory) -> None:
 
 
 def ml_estimator(name: str, seed: int = 42, fast: bool = False):
-    """M-6..M-8 and ML naive Bayes with the reference presets (Spark limits noted)."""
+    """M-6..M-8 and ML naive Bayes with the source presets (Spark limits noted)."""
     from pyspark.ml.classification import GBTClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
 
     if name == "RandomForestClassifier":  # depth 32 exceeds Spark's limit of 30

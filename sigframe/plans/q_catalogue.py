@@ -10,7 +10,7 @@ from sigframe.plans.registry import register
 from sigframe.sources.standins import archive_paths, event_classes, scan_paths
 from sigframe.sources.tables import load, manifest
 
-# The reference's caps (subjects, pairs, archives per subject).
+# The source workload's caps (subjects, pairs, archives per subject).
 SUBJECT_CAP = 200
 PAIR_CAP = 200
 ARCHIVES_PER_SUBJECT = 2
