@@ -34,10 +34,6 @@ BLK = "_blk"
 HALO = "_halo"
 
 
-def _shuffle_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def dense_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                 out: str = "t", partitions: int | None = None) -> DataFrame:
     """Add ``out`` = 0-based position of each row inside ``keys`` ordered by ``order``.
@@ -48,13 +44,17 @@ def dense_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     """
     keys = list(keys)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    n = partitions or _shuffle_partitions(df)
+    # Without an explicit count the range exchange follows
+    # spark.sql.shuffle.partitions and AQE may coalesce small neighbours
+    # (adjacent ranges stay ordered), so slice sizes track the data volume.
+    cols = [*[F.col(k) for k in keys], *order_cols]
+    exchanged = df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)
     # Range bounds come from sampling, so the tagged slices are materialised
     # once (reliable checkpoint) and both the summary and the join-back read
     # the same partition ids and positions.
     ranged = cut_lineage(
-        df.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols)
-        .sortWithinPartitions(*[F.col(k) for k in keys], *order_cols)
+        exchanged
+        .sortWithinPartitions(*cols)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_pos", F.monotonically_increasing_id())
     )
