@@ -56,3 +56,28 @@ def test_model_save_load_predict(spark, tmp_path):
     assert a == b
     assert sum(r["prediction"] == t for r, (_, t, _) in zip(a, data)) >= 36
     assert F is not None
+
+
+def test_kv_rows_manifest_and_atlas_lookup(spark):
+    import json
+
+    import pytest
+
+    from sigframe.operators import regions as R
+    from sigframe.sources.tables import kv_rows, manifest
+
+    series = spark.createDataFrame([(7, 1, "x_0", t, float(t) / 2) for t in range(5)],
+                                   "subject long, target int, channel string, t long, x double")
+    rows = {(r["rowkey"], r["qualifier"]): r["value"] for r in kv_rows(series, "HCP", "brand", cell_points=3).collect()}
+    assert rows[("HCP_7_1", "data:person")] == "7" and rows[("HCP_7_1", "data:atlas")] == "brand"
+    assert json.loads(rows[("HCP_7_1", "data:roi:x_0:0")]) == {"0": 0.0, "1": 0.5, "2": 1.0}
+    assert json.loads(rows[("HCP_7_1", "data:roi:x_0:1")]) == {"3": 1.5, "4": 2.0}
+    files = spark.createDataFrame([("a", "/a/2"), ("a", "/a/1"), ("b", "/b/9")], "archive string, path string")
+    assert sorted(tuple(r) for r in manifest(files).collect()) == [("a", "/a/1", 0), ("a", "/a/2", 1), ("b", "/b/9", 0)]
+    cat = R.atlas_catalog(spark)
+    ok = R.lookup_atlases(spark.createDataFrame([("atlas_aal",)], "atlas string"), cat).collect()
+    assert ok[0]["output_table"] == "atlas_aal_standardize"
+    lenient = R.lookup_atlases(spark.createDataFrame([("nope",)], "atlas string"), cat, strict=False)
+    assert lenient.count() == 0
+    with pytest.raises(Exception):
+        R.lookup_atlases(spark.createDataFrame([("nope",)], "atlas string"), cat).collect()
