@@ -93,7 +93,7 @@ def family_columns(family_sql: str) -> list[str]:
     """Output column names of a family oracle (aliases after AS)."""
     import re
 
-    return [m for m in re.findall(r' AS "?([A-Za-z0-9_]+)"?', family_sql)]
+    return list(dict.fromkeys(re.findall(r' AS "?([A-Za-z0-9_]+)"?', family_sql)))
 
 
 def _equalised_long_sql() -> str:
@@ -164,3 +164,58 @@ from sigframe.operators.features.spectral import welch_density  # noqa: E402
 @register("features_welch", "F-34", with_ctes(SERIES_CTE, FO.welch_sql()))
 def q_features_welch(spark, d):
     return welch_density(events_series(spark, d))
+
+
+def _all_long_sql() -> str:
+    """Union of every family oracle in long form (F-39 names)."""
+    wide = {
+        "distribution": FO.distribution_sql(), "quantiles": FO.quantiles_sql(), "changes": FO.changes_sql(),
+        "autocorrelation": FO.autocorrelation_sql(), "partial_autocorrelation": FO.pacf_sql(),
+        "location": FO.location_sql(), "reoccurrence": FO.reoccurrence_sql(), "ordered": FO.ordered_sql(),
+        "trend": FO.trend_sql(), "change_quantiles": FO.change_quantiles_sql(), "welch": FO.welch_sql(),
+    }
+    ctes, parts = [], []
+    for i, (name, sql) in enumerate(wide.items()):
+        cols = family_columns(sql)
+        body = sql.strip()
+        if body.upper().startswith("WITH RECURSIVE "):
+            body = body[len("WITH RECURSIVE "):]
+            # hoist the family's own CTEs under unique names
+            inner = body
+            for cte in ("st", "ac", "rh", "dl"):
+                inner = re.sub(rf"\b{cte}\b", f"{cte}{i}", inner)
+            head, _, tail = inner.rpartition("\nSELECT ")
+            ctes.append(head)
+            body = "SELECT " + tail
+        elif body.upper().startswith("WITH "):
+            inner = body[len("WITH "):]
+            names = re.findall(r"(?:^|,\s*\n?)([a-z_][a-z0-9_]*) AS \(", inner)
+            for cte in sorted(set(names), key=len, reverse=True):
+                inner = re.sub(rf"\b{cte}\b", f"{cte}_{i}", inner)
+            head, _, tail = inner.rpartition("\nSELECT ")
+            ctes.append(head)
+            body = "SELECT " + tail
+        ctes.append(f"fam{i} AS ({body})")
+        parts.append(f"""SELECT series_id, channel || '__' || coalesce(nm.txt, u.calc) AS feature, {rs('value')} AS value
+FROM (SELECT * FROM fam{i} UNPIVOT INCLUDE NULLS (value FOR calc IN (COLUMNS(* EXCLUDE (series_id, channel))))) u
+LEFT JOIN {names_values(cols)} USING (calc)""")
+    parts.append(f"""SELECT series_id, channel || '__fft_coefficient__attr_"' || attr || '"__coeff_' || CAST(coeff AS VARCHAR)
+  AS feature, {rs('value')} AS value FROM (SELECT * FROM ({FO.fft_sql().strip()}) UNPIVOT INCLUDE NULLS
+  (value FOR attr IN ("real", "imag", "abs", "angle")))""")
+    widths = "(" + ", ".join(str(w) for w in CWT_WIDTHS_) + ")"
+    parts.append(f"""SELECT series_id, channel || '__cwt_coefficients__coeff_' || CAST(coeff AS VARCHAR) || '__w_'
+  || CAST(w AS VARCHAR) || '__widths_{widths}' AS feature, {rs('value')} AS value FROM ({FO.cwt_sql().strip()})""")
+    recursive = any(FO.pacf_sql().strip().upper().startswith("WITH RECURSIVE") for _ in [0])
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return head + SERIES_CTE + ",\n" + ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(parts)
+
+
+import re  # noqa: E402
+
+from sigframe.operators.features.extract import COMPREHENSIVE, extract  # noqa: E402
+from sigframe.operators.features.spectral import CWT_WIDTHS as CWT_WIDTHS_  # noqa: E402
+
+
+@register("features_all_long", "F-39 V-9", _all_long_sql())
+def q_features_all_long(spark, d):
+    return extract(events_series(spark, d), COMPREHENSIVE)
