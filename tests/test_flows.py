@@ -23,3 +23,15 @@ def test_region_features_models_end_to_end(spark, tmp_path):
     assert {r["classifier"] for r in got} == {"GaussianNB", "KNeighborsClassifier"}
     assert all(0 <= r["accuracy"] <= 1 and r["accuracy"] == r["f1"] for r in got)
     assert cat.read_table("events_model").count() == 2
+
+
+def test_resting_regions_written_per_run(spark, tmp_path):
+    li, part = load(spark, SF, "lineitem"), load(spark, SF, "part")
+    runs = li.select(F.col("l_suppkey").alias("scan_id")).distinct().select(
+        "scan_id", F.col("scan_id").alias("subject"),
+        F.when(F.col("scan_id") % 2 == 0, "REST1").otherwise("REST2").alias("run"))
+    cat = Catalog(spark, str(tmp_path / "rest"))
+    out = flows.resting_regions(voxels_from_lineitem(li), atlas_from_part(part), runs, cat, "cleaned")
+    back = cat.read_table("cleaned")
+    assert back.count() == out.count() > 0
+    assert {r["run"] for r in back.select("run").distinct().collect()} <= {"REST1", "REST2"}
