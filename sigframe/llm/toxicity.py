@@ -2,9 +2,10 @@
 
 P(grade >= k) = sigmoid(w . x - theta_k) with one weight vector for all ordered
 thresholds theta_1 <= theta_2 <= ...; the expected severity is the sum of these
-probabilities over k.  x counts, for hashed features (a word, its character
-5-grams), the distinct words of the text that have them, so a text's score is a
-sum of word scores.
+probabilities over k.  x counts, for hashed features (a word, its first five
+letters), the distinct words of the text that have them, so a text's score is a
+sum of word scores.  Only features that speak for severity are kept: a long
+clean text then gathers nothing, and a toxic passage is not outweighed by it.
 """
 
 from __future__ import annotations
@@ -30,12 +31,11 @@ class Model:
     thresholds: np.ndarray
 
 
-def features(word: str, bits: int, gram: int = 5) -> list[int]:
+def features(word: str, bits: int, prefix: int = 5) -> list[int]:
     """Hashed features of one word."""
     mask = (1 << bits) - 1
-    marked = f"<{word}>"
-    return [zlib.crc32(b"w" + word.encode()) & mask] + [
-        zlib.crc32(marked[i:i + gram].encode()) & mask for i in range(len(marked) - gram + 1)]
+    own = zlib.crc32(b"w" + word.encode()) & mask
+    return [own, zlib.crc32(b"p" + word[:prefix].encode()) & mask] if len(word) > prefix else [own]
 
 
 def words(text: str | None) -> set[str]:
@@ -47,12 +47,13 @@ def _above(z: np.ndarray, theta: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z[:, None] - theta[None, :], -30, 30)))
 
 
-def fit_rows(rows: list[tuple[set[str], int]], bits: int = 18, keep: int = 4096, steps: int = 300,
-             ridge: float = 2e-3, rate: float = 0.15) -> Model:
-    """Fit on word sets with grades 0, 1, 2, ...: features are screened by the
-    difference of their smoothed log rates between grade 0 and above, then the
-    shared weights and the thresholds follow the likelihood of the cumulative
-    links (Adam, ridge on the weights).  Without rows, or with one grade only,
+def fit_rows(rows: list[tuple[set[str], int]], bits: int = 20, keep: int = 8192, least: float = 10.8, ratio: float = 8.0,
+             steps: int = 400, lasso: float = 1e-3, rate: float = 0.1) -> Model:
+    """Fit on word sets with grades 0, 1, 2, ...: features that are more frequent
+    above grade 0, ``ratio`` times or more, are screened by their likelihood ratio
+    (G squared of at least ``least``, the ``keep`` highest), then the shared weights, none negative, and
+    the thresholds follow the likelihood of the cumulative links (Adam; ``lasso``
+    drops words that only repeat what others already tell).  Without rows, or with one grade only,
     every weight is 0 and every text has grade 0."""
     top = max([g for _, g in rows], default=0)
     if top == 0 or min(g for _, g in rows) > 0:
@@ -72,11 +73,14 @@ def fit_rows(rows: list[tuple[set[str], int]], bits: int = 18, keep: int = 4096,
     has_row, has_col = has >> bits, has & ((1 << bits) - 1)
     n_bad = np.bincount(has_col[bad[has_row]], minlength=1 << bits)
     n_all = np.bincount(has_col, minlength=1 << bits)
-    ratio = np.log((n_bad + 0.5) / (bad.sum() + 1)) - np.log((n_all - n_bad + 0.5) / ((~bad).sum() + 1))
-    ratio[n_all < 3] = 0
-    weight = np.abs(ratio) * np.sqrt(n_all)
-    chosen = np.argsort(-weight, kind="stable")[:keep]
-    chosen = chosen[weight[chosen] > 0]
+    n_good = n_all - n_bad
+    r_bad, r_all = n_bad / bad.sum(), n_all / len(rows)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g2 = 2 * (np.where(n_bad > 0, n_bad * np.log(r_bad / r_all), 0)
+                  + np.where(n_good > 0, n_good * np.log(n_good / (~bad).sum() / r_all), 0))
+    g2 = np.where((n_bad >= 3) & (r_bad >= ratio * n_good / (~bad).sum()), g2, 0)
+    chosen = np.argsort(-g2, kind="stable")[:keep]
+    chosen = chosen[g2[chosen] >= least]
     slot = np.full(1 << bits, -1)
     slot[chosen] = np.arange(len(chosen))
     held = slot[cols_a] >= 0
@@ -90,17 +94,17 @@ def fit_rows(rows: list[tuple[set[str], int]], bits: int = 18, keep: int = 4096,
     for step in range(1, steps + 1):
         z = np.bincount(r, weights=w[c], minlength=len(rows))
         err = weigh * (_above(z, theta) - above) / len(rows)
-        grad = np.concatenate([np.bincount(c, weights=err.sum(axis=1)[r], minlength=len(w)) + ridge * w,
+        grad = np.concatenate([np.bincount(c, weights=err.sum(axis=1)[r], minlength=len(w)) + lasso,
                                -err.sum(axis=0)])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-9)
-        w, theta = w - move[:len(w)], np.sort(theta - move[len(w):])
+        w, theta = np.maximum(w - move[:len(w)], 0), np.sort(theta - move[len(w):])
     full = np.zeros(1 << bits)
     full[chosen] = w
     return Model(full, theta)
 
 
-def dose_grades(rows: list[tuple[set[str], int]], toxic: np.ndarray, grades: int, bits: int) -> np.ndarray:
+def dose_grades(rows: list[tuple[set[str], int]], toxic: np.ndarray, grades: int) -> np.ndarray:
     """Severity grades from binary labels: 0 if not toxic, else 1 to ``grades``
     by the number of distinct words the text has that stand out in toxic texts,
     cut at the quantiles of that number."""
@@ -121,11 +125,12 @@ def dose_grades(rows: list[tuple[set[str], int]], toxic: np.ndarray, grades: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        rows_per_class: int = 1500, grades: int = 3, bits: int = 18, max_row_bytes: int = 65_536) -> Model:
+        toxic_rows: int = 1500, clean_rows: int = 4500, grades: int = 3, bits: int = 20, max_row_bytes: int = 65_536) -> Model:
     """Fit on a bounded sample of labelled documents.
 
-    Bounds: at most ``rows_per_class`` documents of either label, none over
-    ``max_row_bytes``, taken in the order of a hash of the id, so reruns agree.
+    Bounds: about ``toxic_rows`` and ``clean_rows`` documents of either label,
+    at most twice as many together, none over ``max_row_bytes``, taken in the
+    order of a hash of the id, so reruns agree.
     Documents labelled both ways count as toxic; null ids, labels and texts are
     left out.  Labels above 1 are severity grades as they are; binary labels get
     theirs from ``dose_grades``.
@@ -134,16 +139,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     n = {r["bad"]: r["count"] for r in lab.groupBy((F.col("y") > 0).alias("bad")).count().collect()}
     h = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    cut = F.when(F.col("y") > 0, F.lit(_cut(rows_per_class, n.get(True, 0)))).otherwise(
-        F.lit(_cut(rows_per_class, n.get(False, 0))))
+    cut = F.when(F.col("y") > 0, F.lit(_cut(toxic_rows, n.get(True, 0)))).otherwise(
+        F.lit(_cut(clean_rows, n.get(False, 0))))
     picked = lab.withColumn("h", h).where(F.col("h") < cut)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(
         F.col("text").isNotNull() & (F.octet_length("text") <= max_row_bytes))
-    got = texts.join(picked, "id").select("h", "y", "text").orderBy("h", "text").limit(4 * rows_per_class + 400).collect()
+    got = texts.join(picked, "id").select("h", "y", "text").orderBy("h", "text").limit(2 * (toxic_rows + clean_rows)).collect()
     sample = [(words(r["text"]), int(r["y"])) for r in got]
     y = np.array([g for _, g in sample], dtype=int)
     if len(y) and y.max() == 1:
-        y = dose_grades(sample, y > 0, grades, bits)
+        y = dose_grades(sample, y > 0, grades)
     return fit_rows([(ws, int(g)) for (ws, _), g in zip(sample, y, strict=True)], bits=bits)
 
 
