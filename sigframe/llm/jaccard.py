@@ -6,17 +6,19 @@ candidate pair is dropped when the L1 distance of two small histograms of the
 shingle hashes, which their symmetric difference cannot be under, is already too
 much, and else verified on whole sets.
 
-Linked classes are found in two rounds, both exact.  First every class is
-verified against one other that it meets most often; what that links is
-contracted, so a group of copies of any size costs a pair a member.  Then all
-pairs that still lie in different components are filtered and verified.
+Links are found component by component, and exactly.  First every class is
+verified against one other that it meets most often, and what that links is
+contracted, so that a group of copies costs a pair a member.  Then all pairs
+that still lie in different components are filtered, and verified in rounds: two
+in which every class tries its best connected partner, each followed by a
+contraction, and a last one with every pair that is left.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import pairwise
 
 import numpy as np
@@ -28,7 +30,8 @@ from sigframe.llm.common import components, written
 from sigframe.llm.segments import signatures
 from sigframe.llm.shingles import shingle_sets
 
-LANES = 128
+#: Rounds of best partners before all remaining pairs are verified.
+ROUNDS = 2
 #: Signatures that a map task gathers before it deals them out, and that a bucket holds, about.
 FLUSH = BUCKET = 1 << 20
 #: Members of one signature in one flush from which they pass by the buckets.
@@ -44,9 +47,44 @@ def _print(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _lanes(n: int) -> int:
+    """Lanes of a histogram: a power of two, two to four tokens a lane."""
+    return 1 << min(12, max(5, n.bit_length() - 2))
+
+
 def _histogram(tokens: np.ndarray) -> bytes:
-    lane = (tokens >> np.uint64(64 - 7)).astype(np.int64)
-    return np.minimum(np.bincount(lane, minlength=LANES), 255).astype(np.uint8).tobytes()
+    lanes = _lanes(len(tokens))
+    lane = (tokens >> np.uint64(65 - lanes.bit_length())).astype(np.int64)
+    return np.minimum(np.bincount(lane, minlength=lanes), 255).astype(np.uint8).tobytes()
+
+
+class _Histograms:
+    """Histograms of many sets; two are compared at the lanes of the coarser."""
+
+    def __init__(self, n: np.ndarray, hist: Sequence[bytes]):
+        self.n, self.lanes = n, np.array([len(h) for h in hist])
+        self.row = np.zeros((2, len(n)), dtype=np.int64)  # at own lanes, and at half of them
+        self.at: dict[int, np.ndarray] = {}
+        for lanes in np.unique(self.lanes).tolist():
+            own = np.flatnonzero(self.lanes == lanes)
+            m = np.frombuffer(b"".join(hist[k] for k in own), np.uint8).reshape(-1, lanes).astype(np.int16)
+            for halved, x in ((0, m), (1, m.reshape(len(own), -1, 2).sum(axis=2, dtype=np.int16))):
+                have = self.at.get(x.shape[1], np.zeros((0, x.shape[1]), np.int16))
+                self.row[halved, own] = np.arange(len(own)) + len(have)
+                self.at[x.shape[1]] = np.concatenate([have, x])
+
+    def near(self, i: np.ndarray, j: np.ndarray, p: int, q: int) -> np.ndarray:
+        """Whether sizes and histograms allow a link of rows i and j."""
+        ok = q * np.minimum(self.n[i], self.n[j]) >= p * np.maximum(self.n[i], self.n[j])
+        low = np.minimum(self.lanes[i], self.lanes[j])
+        ok &= np.maximum(self.lanes[i], self.lanes[j]) <= 2 * low  # sizes within the ratio differ by one level
+        for lanes in np.unique(low[ok]).tolist():
+            k = np.flatnonzero(ok & (low == lanes))
+            m, a, b = self.at[lanes], i[k], j[k]
+            gap = np.abs(m[self.row[(self.lanes[a] > lanes).astype(int), a]]
+                         - m[self.row[(self.lanes[b] > lanes).astype(int), b]]).sum(axis=1, dtype=np.int64)
+            ok[k] = (q + p) * gap <= (q - p) * (self.n[a] + self.n[b])
+        return ok
 
 
 def _described(docs: DataFrame, k: int) -> DataFrame:
@@ -149,10 +187,12 @@ def _sets(docs: DataFrame, classes: DataFrame, fps: DataFrame, k: int) -> DataFr
     return written(texts.mapInPandas(run, "fp long, tokens binary"))
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, p: int, q: int) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that are linked, on whole sets."""
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    sets = _sets(docs, classes, ends, k)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -168,19 +208,14 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, p:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
-def _near(n: np.ndarray, hist: np.ndarray, i: np.ndarray, j: np.ndarray, p: int, q: int) -> np.ndarray:
-    """Whether sizes and histograms allow a link of rows i and j."""
-    return (q + p) * np.abs(hist[i] - hist[j]).sum(axis=1, dtype=np.int64) <= (q - p) * (n[i] + n[j])
-
-
 def _allowed(pairs: DataFrame, classes: DataFrame, p: int, q: int) -> DataFrame:
     """The pairs (a, b) whose histograms allow a link."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                both = np.frombuffer(b"".join([*b["ha"], *b["hb"]]), np.uint8).reshape(-1, LANES).astype(np.int16)
-                n, i = np.concatenate([b["na"], b["nb"]]), np.arange(len(b))
-                yield b.loc[_near(n, both, i, i + len(b), p, q), ["a", "b"]]
+                both = _Histograms(np.concatenate([b["na"], b["nb"]]), [*b["ha"], *b["hb"]])
+                i = np.arange(len(b))
+                yield b.loc[both.near(i, i + len(b), p, q), ["a", "b"]]
 
     one = classes.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("hist").alias("ha"))
     two = classes.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("hist").alias("hb"))
@@ -212,8 +247,10 @@ def _apart(members: DataFrame, comp: DataFrame, classes: DataFrame, p: int, q: i
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["sig", "fp"], kind="stable")
-        hist = np.frombuffer(b"".join(rows["hist"]), np.uint8).reshape(-1, LANES).astype(np.int16)
         sig, fp, comp, n, block = (rows[c].to_numpy() for c in ("sig", "fp", "comp", "n", "block"))
+        sets, at_row = np.unique(fp, return_index=True)
+        row = np.searchsorted(sets, fp)
+        hists = _Histograms(n[at_row], [rows["hist"].iloc[k] for k in at_row])
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         size = np.diff(first, append=len(sig))
         whole = rows["i"].iloc[0] == rows["j"].iloc[0]
@@ -230,10 +267,10 @@ def _apart(members: DataFrame, comp: DataFrame, classes: DataFrame, p: int, q: i
                     waiting.append((np.full(len(j), at), j))
                     held += len(j)
                 if held >= 100_000:
-                    out.append(_passed(waiting, fp, n, hist, p, q))
+                    out.append(_passed(waiting, fp, row, hists, p, q))
                     waiting, held = [], 0
         if waiting:
-            out.append(_passed(waiting, fp, n, hist, p, q))
+            out.append(_passed(waiting, fp, row, hists, p, q))
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -241,13 +278,30 @@ def _apart(members: DataFrame, comp: DataFrame, classes: DataFrame, p: int, q: i
     return keyed.groupBy("s", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
-def _passed(waiting: list, fp: np.ndarray, n: np.ndarray, hist: np.ndarray, p: int, q: int) -> np.ndarray:
+def _passed(waiting: list, fp: np.ndarray, row: np.ndarray, hists: _Histograms, p: int, q: int) -> np.ndarray:
     i, j = np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting])
-    ok = _near(n, hist, i, j, p, q)
+    ok = hists.near(row[i], row[j], p, q)
     a, b = fp[i[ok]], fp[j[ok]]
     return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
 
+def _best(pairs: DataFrame) -> DataFrame:
+    """For every class the one of its ``pairs`` whose other class has the most."""
+    both = pairs.union(pairs.select("b", "a"))
+    most = both.groupBy("b").agg(F.count(F.lit(1)).alias("many"))
+    best = both.join(most, "b").groupBy("a").agg(F.max(F.struct("many", "b")).alias("m")).select("a", "m.b")
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose classes lie in different components."""
+    def of(end: str) -> DataFrame:
+        return comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(
+        F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """``(id, th, n, fp, component)``, a row per row of ``docs``: its id, a hash
     of its text, the size and fingerprint of its shingle set, and the smallest
@@ -266,11 +320,17 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     met = members.join(leaders, "sig").where("fp != leader").groupBy("fp", "leader").count()
     first = met.groupBy("fp").agg(F.max(F.struct("count", -F.col("leader"), "leader")).alias("best"))
     first = written(_allowed(first.select(F.col("fp").alias("a"), F.col("best.leader").alias("b")), classes, p, q))
-    links = written(_verified(rows, classes, first, k, p, q))
+    links = written(_verified(first, _sets(rows, classes, _ends(first), k), p, q))
     comp = written(components(links))
     rest = written(_apart(members, comp, classes, p, q))
-    more = written(_verified(rows, classes, rest, k, p, q))
-    comp = written(components(links.union(more)))
+    sets = _sets(rows, classes, _ends(rest), k)
+    for turn in range(ROUNDS + 1):
+        if rest.isEmpty():
+            break
+        tried = written(_best(rest)) if turn < ROUNDS else rest
+        links = written(links.union(_verified(tried, sets, p, q)))
+        comp = written(components(links))
+        rest = written(_between(rest.join(tried, ["a", "b"], "left_anti"), comp)) if turn < ROUNDS else rest
     return seen.join(comp, F.col("fp") == F.col("node"), "left").select(
         "id", "th", "n", "fp", F.coalesce("component", "fp").alias("component"))
 
