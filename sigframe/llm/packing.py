@@ -33,8 +33,10 @@ SCHEMA = ("start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 
 
 def cut_points(length: int, document_ends: np.ndarray, sentence_ends: np.ndarray, window: int = 2048,
-               sentence_penalty: int = 8, token_penalty: int = 24, grid: int = 32) -> list[int]:
-    """Window ends of least padding and truncation for a stream of ``length`` ids."""
+               sentence_penalty: int = 8, token_penalty: int = 24, grid: int = 32, last: bool = True) -> list[int]:
+    """Window ends of least padding and truncation for a stream of ``length``
+    ids; if the stream goes on (not ``last``), the end of the cheapest path that
+    leaves less than a window open."""
     if length == 0:
         return []
     own = np.union1d(np.union1d(document_ends, sentence_ends), [length])
@@ -61,6 +63,8 @@ def cut_points(length: int, document_ends: np.ndarray, sentence_ends: np.ndarray
             queue.pop()
         queue.append(j)
     ends, j = [], len(p) - 1
+    if not last:
+        j = min((k for k in range(len(p)) if p[k] > length - window), key=lambda k: (g[k] - p[k], -k))
     while j:
         ends.append(p[j])
         j = back[j]
@@ -85,9 +89,8 @@ class _Stream:
                                                  "offset", "ids")}
         ids = np.concatenate([d[3] for d in self.docs]) if self.docs else np.zeros(0, np.uint32)
         bounds = np.cumsum([len(d[3]) for d in self.docs])
-        ends = cut_points(len(ids), bounds, np.flatnonzero(self.ends_sentence[ids]) + 1, **self.plan)
-        if not last:
-            ends = ends[:-1]  # the last window may still grow
+        ends = cut_points(len(ids), bounds, np.flatnonzero(self.ends_sentence[ids]) + 1, last=last,
+                          **self.plan)
         k, at = 0, 0
         for end in ends:
             offset = 0
