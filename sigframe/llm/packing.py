@@ -147,9 +147,10 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         for b in batches:
             for doc_id, text in zip(b["id"], b["text"], strict=True):
                 s.add(doc_id, np.append(enc.ids(text), np.uint32(end_id)))
-                if s.size >= block_tokens:
-                    yield pd.DataFrame(s.flush(last=False))
-        yield pd.DataFrame(s.flush(last=True))
+                if s.size >= block_tokens and (out := s.flush(last=False))["id"]:
+                    yield pd.DataFrame(out)
+        if (out := s.flush(last=True))["id"]:
+            yield pd.DataFrame(out)
 
     rows = docs
     if order_by:
