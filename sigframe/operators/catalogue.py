@@ -30,12 +30,6 @@ def task_dimension(spark, classes: dict[str, int] = TASK_CLASSES) -> DataFrame:
     return spark.createDataFrame(sorted(classes.items(), key=lambda kv: kv[1]), "task string, target int")
 
 
-def archive_filter(paths: DataFrame, tasks: Sequence[str], col: str = "path") -> DataFrame:
-    """S-3: keep archives whose file name holds a task word and ends in ``.zip``."""
-    name = F.element_at(F.split(F.col(col), "/"), -1)
-    return paths.filter(name.rlike("(" + "|".join(tasks) + r").*\.zip$"))
-
-
 def with_subject(paths: DataFrame, col: str = "path") -> DataFrame:
     """P-1: first six-digit run anywhere in the path (NULL when there is none)."""
     return paths.withColumn("subject", F.nullif(F.regexp_extract(col, SUBJECT_RE, 0), F.lit("")))

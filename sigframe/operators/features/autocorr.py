@@ -1,9 +1,10 @@
 """Autocorrelation features: F-10 autocorrelation (lags 0-9) and F-11
 agg_autocorrelation (mean / median / var over lags 1..min(40, n-1)).
 
-Lagged products come from block/halo windows; the mean is folded in after
-aggregation (sum of (x_t - m)(x_{t-l} - m) = P - m(A + B) + (n-l) m^2), so
-no per-point join with the series mean is needed.
+Values are centred on their series' mean first, so that products of a small
+signal on a large offset do not cancel.  Lagged products come from block/halo
+windows; what the rounded mean leaves is folded in after aggregation (sum of
+(x_t - m)(x_{t-l} - m) = P - m(A + B) + (n-l) m^2).
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ AGG_VAR_EPS = 1e-10
 
 
 def _lagged_sums(series: DataFrame, max_lag: int) -> DataFrame:
+    centre = series.groupBy(*KEY).agg(F.avg("x").alias("_c"))
+    series = series.join(centre, KEY).withColumn("x", F.col("x") - F.col("_c")).drop("_c")
     b = blocked(series, halo=max_lag)
     w = block_window(KEY)
     b = b.select(*KEY, "x", HALO, *[F.lag("x", k).over(w).alias(f"_l{k}") for k in range(1, max_lag + 1)])
@@ -33,7 +36,7 @@ def _lagged_sums(series: DataFrame, max_lag: int) -> DataFrame:
         lk = F.col(f"_l{k}")
         aggs += [F.sum(x * lk).alias(f"_p{k}"), F.sum(F.when(lk.isNotNull(), x)).alias(f"_a{k}"),
                  F.sum(lk).alias(f"_b{k}")]
-    return own.groupBy(*KEY).agg(*aggs)
+    return own.groupBy(*KEY).agg(*aggs).join(centre, KEY)
 
 
 def _acf(k: int):
@@ -93,7 +96,7 @@ def partial_autocorrelation(series: DataFrame) -> DataFrame:
     max_lag = max(max(PACF_LAGS), AR_ORDER)
     sums = _lagged_sums(series, max_lag)
     rho = F.array(*[_acf(k) for k in range(1, max_lag + 1)])
-    dl = sums.select(*KEY, (F.col("_s") / F.col("_n")).alias("_m"), rho.alias("_rho")).withColumn(
+    dl = sums.select(*KEY, (F.col("_c") + F.col("_s") / F.col("_n")).alias("_m"), rho.alias("_rho")).withColumn(
         "_dl", _durbin_levinson("_rho"))
     n_pacf = max(PACF_LAGS)
     cols = [F.lit(1.0).alias(column_name("partial_autocorrelation", lag=0))]

@@ -1,7 +1,7 @@
 """Metrics over prediction tables ``(dataset, classifier, fold, id, y, yhat)``:
 A-8 accuracy and micro precision / recall / F1 (equal for single-label
 multiclass — kept as separate columns), A-7 mean over folds, A-9 confusion
-counts, A-10 log loss, A-11 per-class and macro metrics, P-16 long metric
+counts, A-10 log loss, A-11 per-class metrics, P-16 long metric
 table, M-14 classifier ranking per metric.
 """
 
@@ -17,15 +17,24 @@ METRICS = ["accuracy", "precision", "recall", "f1"]
 
 
 def fold_metrics(pred: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
-    """A-8 per fold: micro metrics from TP / FP / FN sums."""
-    hit = (F.col("y") == F.col("yhat")).cast("long")
-    g = pred.groupBy(*group, "fold").agg(F.sum(hit).alias("tp"), F.count(F.lit(1)).alias("n"))
-    tp, n = F.col("tp"), F.col("n")
-    fp = n - tp  # every wrong prediction is one FP (predicted class) and one FN (true class)
-    prec = tp / (tp + fp)
-    rec = tp / (tp + fp)
+    """A-8 per fold: micro metrics from TP / FP / FN, each summed over classes.
+
+    A prediction counts for its predicted class (TP or FP) and for its true
+    class (TP or FN); a null prediction is no FP, but an FN of its class."""
+    hit = F.coalesce(F.col("y") == F.col("yhat"), F.lit(False)).cast("long")
+    sides = F.array(F.struct(F.col("y").cast("double").alias("c"), hit.alias("tp"), (1 - hit).alias("fn"),
+                             F.lit(0).cast("long").alias("fp"), F.lit(1).cast("long").alias("n")),
+                    F.struct(F.col("yhat").cast("double").alias("c"), F.lit(0).cast("long").alias("tp"),
+                             F.lit(0).cast("long").alias("fn"), (1 - hit).alias("fp"), F.lit(0).cast("long").alias("n")))
+    classes = pred.select(*group, "fold", F.inline(sides)).groupBy(*group, "fold", "c").agg(
+        *[F.sum(x).alias(x) for x in ("tp", "fn", "fp", "n")])
+    named = lambda x: F.sum(F.when(F.col("c").isNotNull(), F.col(x)).otherwise(0)).alias(x)
+    g = classes.groupBy(*group, "fold").agg(named("tp"), named("fn"), named("fp"), F.sum("n").alias("n"))
+    tp = F.col("tp")
+    prec = F.when(tp + F.col("fp") > 0, tp / (tp + F.col("fp"))).otherwise(F.lit(0.0))
+    rec = F.when(tp + F.col("fn") > 0, tp / (tp + F.col("fn"))).otherwise(F.lit(0.0))
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
-    return g.select(*group, "fold", (tp / n).alias("accuracy"), prec.alias("precision"), rec.alias("recall"),
+    return g.select(*group, "fold", (tp / F.col("n")).alias("accuracy"), prec.alias("precision"), rec.alias("recall"),
                     f1.alias("f1"))
 
 
@@ -57,12 +66,6 @@ def class_metrics(pred: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
     return j.select(*group, "c", prec.alias("precision"), rec.alias("recall"), f1.alias("f1"))
 
 
-def macro_metrics(pred: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
-    return class_metrics(pred, group).groupBy(*group).agg(
-        F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"),
-        F.avg("f1").alias("macro_f1"))
-
-
 def metric_long(scores: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
     """P-16: ``(dataset, classifier, metric, value)``."""
     return scores.unpivot(list(group), METRICS, "metric", "value")

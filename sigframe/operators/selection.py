@@ -128,17 +128,17 @@ def feature_pvalues(features: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def benjamini_yekutieli(pvalues: DataFrame, level: float = FDR_LEVEL) -> DataFrame:
-    """V-7: rank by p; threshold ``level * k / (m * H_k)``; relevant = ranks before
-    the first p-value above its threshold.  Runs on the per-feature table."""
+    """V-7: rank by p; threshold ``level * k / (m * (1 + 1/2 + ... + 1/m))`` at rank
+    k of m; relevant are all ranks up to the largest that meets its threshold.
+    Runs on the per-feature table; null p-values rank last and are not relevant."""
     w = Window.orderBy(F.col("p_value").asc_nulls_last(), "feature")
+    all_ranks = Window.partitionBy()
     ranked = pvalues.withColumn("rank", F.row_number().over(w))
-    ranked = ranked.withColumn("_h", F.sum(1.0 / F.col("rank")).over(
-        w.rowsBetween(Window.unboundedPreceding, 0)))
-    m = F.count(F.lit(1)).over(Window.partitionBy())
-    ranked = ranked.withColumn("threshold", F.lit(level) * F.col("rank") / (m * F.col("_h")))
-    fail = F.min(F.when(~(F.col("p_value") <= F.col("threshold")) | F.col("p_value").isNull(), F.col("rank"))).over(
-        Window.partitionBy())
-    return ranked.withColumn("relevant", F.coalesce(F.col("rank") < fail, F.lit(True))).drop("_h")
+    ranked = ranked.withColumns({"_h": F.sum(1.0 / F.col("rank")).over(all_ranks),
+                                 "_m": F.count(F.lit(1)).over(all_ranks)})
+    ranked = ranked.withColumn("threshold", F.lit(level) * F.col("rank") / (F.col("_m") * F.col("_h")))
+    last = F.max(F.when(F.col("p_value") <= F.col("threshold"), F.col("rank"))).over(all_ranks)
+    return ranked.withColumn("relevant", F.coalesce(F.col("rank") <= last, F.lit(False))).drop("_h", "_m")
 
 
 def select_relevant(features: DataFrame, relevance: DataFrame) -> DataFrame:

@@ -55,10 +55,13 @@ kv AS (SELECT fold, id, y, ty, count(*) AS v FROM kt GROUP BY 1, 2, 3, 4),
 knn AS (SELECT 'embeddings' AS dataset, 'KNeighborsClassifier' AS classifier, fold, id, y, ty AS yhat FROM (
           SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC, ty) AS rr FROM kv) WHERE rr = 1)"""
 
-SCORES_SQL = """SELECT dataset, classifier, fold, count_if(y = yhat) / count(*) AS accuracy,
-  count_if(y = yhat) / count(*) AS precision, count_if(y = yhat) / count(*) AS recall,
-  CASE WHEN count_if(y = yhat) > 0 THEN count_if(y = yhat) / count(*) ELSE 0 END AS f1
-FROM {src} GROUP BY dataset, classifier, fold"""
+SCORES_SQL = """SELECT dataset, classifier, fold, tp / n AS accuracy, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall,
+  CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1
+FROM (SELECT dataset, classifier, fold, sum(hit) AS tp, sum(given - hit) AS fp, sum(had - hit) AS fn, sum(had) AS n
+      FROM (SELECT dataset, classifier, fold, c, sum(had) AS had, sum(given) AS given, sum(hit) AS hit
+            FROM (SELECT dataset, classifier, fold, y AS c, 1 AS had, 0 AS given, CAST(y = yhat AS INTEGER) AS hit FROM {src}
+                  UNION ALL SELECT dataset, classifier, fold, yhat, 0, 1, 0 FROM {src}) GROUP BY 1, 2, 3, 4)
+      GROUP BY 1, 2, 3)"""
 
 
 def _matrix(spark, d):

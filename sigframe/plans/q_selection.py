@@ -63,12 +63,9 @@ ks AS (SELECT feature, 'binary' AS kind, d AS statistic,
               CASE WHEN d > 0 THEN {_ks_p_sql('d', 'na', 'nb')} ELSE 1.0 END AS p_value FROM bd),
 pv AS (SELECT * FROM kendall UNION ALL SELECT * FROM ks),
 rk AS (SELECT *, CAST(row_number() OVER (ORDER BY p_value ASC NULLS LAST, feature) AS INTEGER) AS rank FROM pv),
-hk AS (SELECT *, sum(1.0 / rank) OVER (ORDER BY p_value ASC NULLS LAST, feature
-                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h,
-              count(*) OVER () AS m FROM rk),
+hk AS (SELECT *, (SELECT sum(1.0 / rank) FROM rk) AS h, (SELECT count(*) FROM rk) AS m FROM rk),
 th AS (SELECT feature, kind, statistic, p_value, rank, 0.05 * rank / (m * h) AS threshold FROM hk),
-rel AS (SELECT th.*, coalesce(rank < (SELECT min(rank) FROM th WHERE NOT (p_value <= threshold) OR p_value IS NULL),
-                              true) AS relevant FROM th)"""
+rel AS (SELECT th.*, coalesce(rank <= (SELECT max(rank) FROM th WHERE p_value <= threshold), false) AS relevant FROM th)"""
 
 
 def _features(spark, d, series=None):

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sigframe.functions.columns import round_doubles
 from sigframe.plans.oracle import DIGITS
+from sigframe.session import ship_package
 
 
 @dataclass(frozen=True)
@@ -24,6 +25,7 @@ class Query:
     ops: tuple[str, ...]
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
         return round_doubles(self.build(spark, sf_dir), DIGITS)
 
 

@@ -36,8 +36,35 @@ def test_kendall_matches_pairwise(spark):
 def test_by_procedure(spark):
     pv = spark.createDataFrame([("a", 0.0001), ("b", 0.001), ("c", 0.2), ("d", 0.04)], "feature string, p_value double")
     rel = {r["feature"]: r["relevant"] for r in V.benjamini_yekutieli(pv).collect()}
-    # thresholds 0.05*k/(4*H_k): 0.0125, 0.01667, 0.02045, 0.024 -> a, b pass; d (0.04) fails
+    # thresholds 0.05 * k / (4 * (1 + 1/2 + 1/3 + 1/4)): 0.006, 0.012, 0.018, 0.024
     assert rel == {"a": True, "b": True, "d": False, "c": False}
+    # the first misses 0.0167, but the second meets 0.0333: both are relevant
+    pv = spark.createDataFrame([("a", 0.03), ("b", 0.03), ("n", None)], "feature string, p_value double").where("feature <> 'n'")
+    assert {r["feature"]: r["relevant"] for r in V.benjamini_yekutieli(pv).collect()} == {"a": True, "b": True}
+
+
+def test_fold_metrics_count_false_negatives_apart(spark):
+    from sigframe.operators import metrics
+
+    p = spark.createDataFrame([("d", "k", 0, 1, 1), ("d", "k", 0, 1, 2), ("d", "k", 0, 2, None), ("d", "k", 0, 3, 3)],
+                              "dataset string, classifier string, fold int, y int, yhat int")
+    r = metrics.fold_metrics(p).first()
+    assert (r["accuracy"], r["precision"], r["recall"]) == pytest.approx((2 / 4, 2 / 3, 2 / 4))
+
+
+def test_autocorrelation_on_a_large_offset(spark):
+    from sigframe.operators.features.autocorr import autocorrelation
+    from sigframe.operators.features.naming import column_name
+
+    rnd = random.Random(9)
+    xs = [1e8 + rnd.gauss(0, 1) for _ in range(400)]
+    df = spark.createDataFrame([(1, "c", t, x) for t, x in enumerate(xs)], "series_id long, channel string, t long, x double")
+    row = autocorrelation(df).first()
+    m = math.fsum(xs) / len(xs)
+    v = math.fsum((x - m) ** 2 for x in xs) / len(xs)
+    for k in (1, 5):
+        want = math.fsum((a - m) * (b - m) for a, b in zip(xs, xs[k:], strict=False)) / ((len(xs) - k) * v)
+        assert row[column_name("autocorrelation", lag=k)] == pytest.approx(want, abs=1e-6)
 
 
 def test_kinds(spark):
