@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigframe.session import ensure_checkpoint_dir
+from sigframe.session import ensure_checkpoint_dir, ship_package
 from sigframe.sources.tables import load
 
 #: Words of a text: runs of anything but space, tab, LF, VT, FF, CR.
@@ -18,6 +18,7 @@ _scratch: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return load(spark, sf_dir, name)
 
 
