@@ -7,6 +7,7 @@ records through their concurrent-to identifiers into one nested row per capture.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import math
 from collections.abc import Iterator
@@ -52,7 +53,8 @@ def roles(pages: DataFrame, least: int = 100) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, least: int = 100, archive_bytes: int = 16 << 20,
                    date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url",
                    html_col: str = "html") -> None:
-    """Write the pages as archives of about ``archive_bytes`` under ``path``.
+    """Write the pages as gzip archives of about ``archive_bytes`` (before
+    compression) under ``path``.
 
     The payload is the html in UTF-8.  Of equal payloads of at least ``least``
     bytes, the one of the smallest id is a response, the others are revisits
@@ -95,11 +97,14 @@ def write_archives(pages: DataFrame, path: str, least: int = 100, archive_bytes:
         ("WARC-Date", when), ("WARC-Target-URI", uri), ("WARC-Concurrent-To", response_id),
         ("Content-Type", F.lit("application/warc-fields"))],
         F.coalesce(F.concat(F.lit("pageId: "), F.col("page_id").cast("string"), F.lit(CRLF)), F.lit("")))
-    p.select(F.concat_ws(BETWEEN, request, response, metadata)).write.option("lineSep", BETWEEN).text(path)
+    p.select(F.concat_ws(BETWEEN, request, response, metadata)).write.option("lineSep", BETWEEN).option(
+        "compression", "gzip").text(path)
 
 
 def _parse(data: bytes, with_payload: bool) -> Iterator[tuple]:
     """Records of one archive, block lengths taken from Content-Length."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     view, at = memoryview(data), 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
@@ -131,7 +136,7 @@ def _parse(data: bytes, with_payload: bool) -> Iterator[tuple]:
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """A row per record of the archives under ``path`` (uncompressed, each
+    """A row per record of the archives under ``path`` (gzip or plain, each
     within a task's memory: the writer bounds them).  Payload lengths and
     digests of responses are computed from the bytes read and checked."""
     names = [x.split()[0] for x in RECORD.split(", ")]
