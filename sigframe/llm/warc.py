@@ -71,8 +71,8 @@ def write_archives(pages: DataFrame, path: str, least: int = 100, archive_bytes:
                      F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
     total = p.agg(F.sum(F.octet_length("payload").cast("long") + 1500)).first()[0] or 0
     n = max(1, math.ceil(total / archive_bytes))
-    own = p.withColumn("digest", F.sha2("payload", 256)).repartition(n, F.coalesce("page_id", F.lit(-1)), "digest")
-    revisits = roles(p, least).repartition(n, F.coalesce("page_id", F.lit(-1)), "digest")
+    own = p.withColumn("digest", F.sha2("payload", 256)).repartition(n, "page_id", "digest")
+    revisits = roles(p, least).repartition(n, "page_id", "digest")
     p = own.join(revisits, (own["page_id"] == revisits["page_id"]) & (own["digest"] == revisits["digest"]),
                  "left").select(own["page_id"], "url", "payload", own["digest"], "first")
     seen, digest, when = F.col("first").isNotNull(), F.concat(F.lit("sha256:"), F.col("digest")), F.lit(date)
