@@ -51,7 +51,8 @@ def fit_rows(rows: list[tuple[set[str], int]], bits: int = 20, keep: int = 8192,
              steps: int = 400, lasso: float = 1e-3, rate: float = 0.1) -> Model:
     """Fit on word sets with grades 0, 1, 2, ...: features that are more frequent
     above grade 0, ``ratio`` times or more, are screened by their likelihood ratio
-    (G squared of at least ``least``, the ``keep`` highest), then the shared weights, none negative, and
+    (G squared of at least ``least``, the ``keep`` highest; no threshold under
+    0.5, so that a text without such a feature is grade 0), then the shared weights, none negative, and
     the thresholds follow the likelihood of the cumulative links (Adam; ``lasso``
     drops words that only repeat what others already tell).  Without rows, or with one grade only,
     every weight is 0 and every text has grade 0."""
@@ -98,7 +99,7 @@ def fit_rows(rows: list[tuple[set[str], int]], bits: int = 20, keep: int = 8192,
                                -err.sum(axis=0)])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-9)
-        w, theta = np.maximum(w - move[:len(w)], 0), np.sort(theta - move[len(w):])
+        w, theta = np.maximum(w - move[:len(w)], 0), np.sort(np.maximum(theta - move[len(w):], 0.5))
     full = np.zeros(1 << bits)
     full[chosen] = w
     return Model(full, theta)
