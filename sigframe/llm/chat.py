@@ -65,27 +65,65 @@ def problem(value: Any, schema: Mapping[str, Any], at: str = "$") -> str | None:
     return None
 
 
+def chains(single: DataFrame) -> DataFrame:
+    """``(call_id, anchor, steps)`` for calls that need exactly one other
+    (``call_id, needs``): the first call up the chain that does not, and how many
+    steps away it is.  Calls on or behind a cycle have no row.
+
+    Pointer jumping: each round joins the pointers with themselves and doubles
+    the steps they span, so a chain of n calls takes log2(n) rounds, and what
+    still moves after log2 of all calls goes round in a cycle."""
+    step = Step(single.select("call_id", F.col("needs").alias("anchor"), F.lit(1).cast("long").alias("steps"),
+                              F.lit(False).alias("done")))
+    for _ in range(step.df.count().bit_length() + 1):
+        up = step.df.select(F.col("call_id").alias("anchor"), F.col("anchor").alias("up"), F.col("steps").alias("more"))
+        moved = step.df.where("not done").join(up, "anchor", "left").select(
+            "call_id", F.coalesce("up", "anchor").alias("anchor"),
+            (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("up").isNull().alias("done"))
+        nxt = Step(step.df.where("done").unionByName(moved))
+        step.drop()
+        step = nxt
+        if step.df.where("not done").isEmpty():
+            break
+    return step.df.where("done").drop("done")
+
+
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(call_id, level)`` by Kahn's rounds: level 0 depends on nothing, others
-    are one above the highest they depend on; calls on or behind a cycle have no
-    row.  As many rounds as the longest chain, each one join of the last level
-    with the dependencies, written to the shared folder."""
-    left = Step(edges.groupBy("call_id").agg(F.count(F.lit(1)).alias("open")))
-    edges = written(edges)
-    level = Step(calls.join(left.df, "call_id", "left_anti").select("call_id", F.lit(0).cast("long").alias("level")))
-    out, n = level.df, 0
-    while not level.df.isEmpty():
-        n += 1
-        met = edges.join(level.df.select(F.col("call_id").alias("needs")), "needs").groupBy("call_id").agg(
-            F.count(F.lit(1)).alias("met"))
+    """``(call_id, level)`` in topological order: level 0 depends on nothing,
+    others are one above the highest they depend on; calls on or behind a cycle
+    have no row.
+
+    Calls that need one other are chains, which ``chains`` shortens to their
+    anchor.  Kahn's rounds place the calls that need several, each one join of
+    the calls placed last with the dependencies, written to the shared folder;
+    there are as many as such calls follow each other."""
+    needed = edges.groupBy("call_id").agg(F.count(F.lit(1)).alias("open"))
+    edges = written(edges.join(needed, "call_id"))
+    chain = written(chains(edges.where("open = 1")))
+    several = edges.where("open > 1").join(
+        chain.select(F.col("call_id").alias("needs"), "anchor", "steps"), "needs", "left").select(
+        "call_id", F.coalesce("anchor", "needs").alias("anchor"),
+        (F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
+    several = written(several)
+    left = Step(several.groupBy("call_id").agg(F.count(F.lit(1)).alias("open"), F.lit(0).cast("long").alias("level")))
+    last = Step(calls.join(edges, "call_id", "left_anti").select("call_id", F.lit(0).cast("long").alias("level")))
+    out = last.df
+    while not left.df.isEmpty():
+        met = several.join(last.df.select(F.col("call_id").alias("anchor"), "level"), "anchor").groupBy("call_id").agg(
+            F.count(F.lit(1)).alias("met"), F.max(F.col("level") + F.col("steps")).alias("above"))
         state = Step(left.df.join(met, "call_id", "left").select(
-            "call_id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")))
+            "call_id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open"),
+            F.greatest("level", "above").alias("level")))
+        last = Step(state.df.where("open = 0").select("call_id", "level"))
         left.drop()
-        level = Step(state.df.where("open = 0").select("call_id", F.lit(n).cast("long").alias("level")))
         left = Step(state.df.where("open > 0"))
         state.drop()
-        out = out.unionByName(level.df)
-    return out
+        if last.df.isEmpty():  # the rest is on or behind a cycle
+            break
+        out = out.unionByName(last.df)
+    behind = chain.join(out.select(F.col("call_id").alias("anchor"), "level"), "anchor").select(
+        "call_id", (F.col("level") + F.col("steps")).alias("level"))
+    return out.unionByName(behind)
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, Any]]) -> DataFrame:

@@ -394,6 +394,20 @@ def test_tool_calls(spark):
     assert chat.link_calls(calls.limit(0), results.limit(0), {}).count() == 0
 
 
+def test_levels_equal_longest_paths(spark):
+    rng = np.random.default_rng(8)
+    needs = {n: {n - 1} for n in range(1, 60)}  # a chain
+    needs |= {n: set(rng.choice(n, size=int(rng.integers(1, 4))).tolist()) for n in range(60, 160)}
+    needs |= {200: {202}, 201: {200}, 202: {201}, 203: {202, 5}, 204: {203}, 205: {205}, 206: {205}}  # cycles
+    want: dict[int, int] = {0: 0}
+    for n in range(1, 160):
+        want[n] = 1 + max(want[m] for m in needs[n])
+    calls = spark.createDataFrame([(str(n),) for n in [0, *needs]], "call_id string")
+    edges = spark.createDataFrame([(str(n), str(m)) for n, ms in needs.items() for m in ms], "call_id string, needs string")
+    got = {int(r["call_id"]): r["level"] for r in chat.levels(calls, edges).collect()}
+    assert got == want
+
+
 # 9 ------------------------------------------------------------------------------------------
 
 def test_ordinal_regression_learns_grades():
