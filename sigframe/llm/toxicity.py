@@ -142,10 +142,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     h = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     cut = F.when(F.col("y") > 0, F.lit(_cut(toxic_rows, n.get(True, 0)))).otherwise(
         F.lit(_cut(clean_rows, n.get(False, 0))))
-    picked = lab.withColumn("h", h).where(F.col("h") < cut)
+    most = 2 * (toxic_rows + clean_rows)
+    picked = lab.withColumn("h", h).where(F.col("h") < cut).orderBy("h", "id").limit(most)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(
         F.col("text").isNotNull() & (F.octet_length("text") <= max_row_bytes))
-    got = texts.join(picked, "id").select("h", "y", "text").orderBy("h", "text").limit(2 * (toxic_rows + clean_rows)).collect()
+    # at most ``most`` ids go to the texts, which then need no shuffle
+    got = texts.join(F.broadcast(picked), "id").select("h", "y", "text").orderBy("h", "text").limit(most).collect()
     sample = [(words(r["text"]), int(r["y"])) for r in got]
     y = np.array([g for _, g in sample], dtype=int)
     if len(y) and y.max() == 1:
