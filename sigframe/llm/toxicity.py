@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,20 +61,23 @@ def fit_rows(rows: list[tuple[set[str], int]], bits: int = 20, keep: int = 8192,
     if top == 0 or min(g for _, g in rows) > 0:
         return Model(np.zeros(1 << bits), np.full(max(1, top), 30.0))
     known: dict[str, list[int]] = {}
-    at, cols = [], []
+    at, cols = array("q"), array("q")
     for k, (ws, _) in enumerate(rows):
         for w in ws:
             f = known.get(w)
             if f is None:
                 f = known[w] = features(w, bits)
-            at += [k] * len(f)
-            cols += f
-    at_a, cols_a, grade = np.array(at), np.array(cols), np.array([g for _, g in rows])
+            at.extend([k] * len(f))
+            cols.extend(f)
+    # counted over the features that occur, in their order
+    own, cols_a = np.unique(np.frombuffer(cols, np.int64), return_inverse=True)
+    at_a, grade = np.frombuffer(at, np.int64), np.array([g for _, g in rows])
     bad = grade > 0
-    has = np.unique(at_a.astype(np.int64) << bits | cols_a)
+    has = np.unique(at_a << bits | cols_a)
     has_row, has_col = has >> bits, has & ((1 << bits) - 1)
-    n_bad = np.bincount(has_col[bad[has_row]], minlength=1 << bits)
-    n_all = np.bincount(has_col, minlength=1 << bits)
+    n_bad = np.bincount(has_col[bad[has_row]], minlength=len(own))
+    n_all = np.bincount(has_col, minlength=len(own))
+    del has, has_row, has_col
     n_good = n_all - n_bad
     r_bad, r_all = n_bad / bad.sum(), n_all / len(rows)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -82,7 +86,7 @@ def fit_rows(rows: list[tuple[set[str], int]], bits: int = 20, keep: int = 8192,
     g2 = np.where((n_bad >= 3) & (r_bad >= ratio * n_good / (~bad).sum()), g2, 0)
     chosen = np.argsort(-g2, kind="stable")[:keep]
     chosen = chosen[g2[chosen] >= least]
-    slot = np.full(1 << bits, -1)
+    slot = np.full(len(own), -1)
     slot[chosen] = np.arange(len(chosen))
     held = slot[cols_a] >= 0
     r, c = at_a[held], slot[cols_a[held]]
@@ -101,7 +105,7 @@ def fit_rows(rows: list[tuple[set[str], int]], bits: int = 20, keep: int = 8192,
         move = rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-9)
         w, theta = np.maximum(w - move[:len(w)], 0), np.sort(np.maximum(theta - move[len(w):], 0.5))
     full = np.zeros(1 << bits)
-    full[chosen] = w
+    full[own[chosen]] = w
     return Model(full, theta)
 
 
@@ -148,7 +152,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         F.col("text").isNotNull() & (F.octet_length("text") <= max_row_bytes))
     # at most ``most`` ids go to the texts, which then need no shuffle
     got = texts.join(F.broadcast(picked), "id").select("h", "y", "text").orderBy("h", "text").limit(most).collect()
-    sample = [(words(r["text"]), int(r["y"])) for r in got]
+    pool: dict[str, str] = {}  # a word is held once, and a text no longer than its words are read
+    sample: list[tuple[set[str], int]] = []
+    got.reverse()
+    while got:
+        r = got.pop()
+        sample.append(({pool.setdefault(w, w) for w in words(r["text"])}, int(r["y"])))
     y = np.array([g for _, g in sample], dtype=int)
     if len(y) and y.max() == 1:
         y = dose_grades(sample, y > 0, grades)
