@@ -165,8 +165,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     Equal vectors are one class, counted once and never paired with each other.
     The centres of the top level are a cover of a bounded sample of the classes
     (``sample_rows``, at most ``centres`` of them); every class is dealt to its
-    nearest one, and a centre's classes to blocks of about ``block_rows`` by
-    hash, so a hot centre is many blocks.  Pairs of blocks that the covering
+    nearest one (those of a length without a centre are together), and a centre's
+    classes to blocks of about ``block_rows`` by hash, so a hot centre is many
+    blocks.  Pairs of blocks that the covering
     radii rule out are dropped; each other pair is one traversal that returns, a
     vector, its number of links, and a spanning forest in place of the links, so
     a dense group yields rows in proportion to its members.  Nothing is sampled
@@ -220,9 +221,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
 
 def _tops(classes: DataFrame, n: int, sample_rows: int, most: int) -> dict[int, np.ndarray]:
     """Centres by vector length: the deepest level, radii halving from 2, that
-    covers the sample with at most ``most`` centres."""
+    covers the sample with at most ``most`` centres.  Lengths that the sample
+    lacks have none."""
     share = min(1.0, 2 * sample_rows / max(1, n))
-    picked = classes.where(F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    lot = F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(1 << 30))
+    picked = classes.where(lot < int(share * (1 << 30))).orderBy(lot)  # by lot, so that the limit favours no partition
     sample: dict[int, list] = {}
     for r in picked.select("dim", "v").limit(2 * sample_rows).collect():
         sample.setdefault(r["dim"], []).append(r["v"])
@@ -265,7 +268,9 @@ def _pairs(blocks: DataFrame, tops: dict[int, np.ndarray], threshold: float) ->
 
     at = spark.createDataFrame([(dim, k, v.tolist()) for dim, vs in tops.items() for k, v in enumerate(vs)],
                                "dim int, top int, place array<double>")
-    heads = blocks.select("dim", "top", "block", "centre", "radius").join(at, ["dim", "top"])
+    heads = blocks.select("dim", "top", "block", "centre", "radius").join(at, ["dim", "top"], "left")
+    # a length that the sample lacks has one top, whose place may be any point
+    heads = heads.withColumn("place", F.coalesce("place", F.array_repeat(F.lit(0.0), F.col("dim"))))
     reach = heads.groupBy("dim", "top", "place").agg(F.max(gap("centre", "place") + F.col("radius")).alias("reach"))
 
     def side(df: DataFrame, end: str, *shared: str) -> DataFrame:

@@ -310,6 +310,29 @@ def test_cover_tree_links_equal_brute_force(spark):
     assert covertree.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_cover_tree_links_lengths_that_the_sample_lacks(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for dim, n in ((3, 60), (4, 9), (5, 8), (6, 7), (7, 200)):  # a sample of two classes has two of them at most
+        x = rng.normal(size=(n, dim))
+        x[1::2] = x[::2][:n // 2] + 1e-3 * rng.normal(size=(n // 2, dim))  # pairs that link without being equal
+        rows += [(len(rows) + k, v) for k, v in enumerate(x.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    n, root = {i: 0 for i, _ in rows}, {i: i for i, _ in rows}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    links = [(i, j) for i, j in itertools.combinations(n, 2)
+             if len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.99]
+    for i, j in links:
+        n[i], n[j] = n[i] + 1, n[j] + 1
+    for _ in links:
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    for block_rows in (5, 4096):
+        got = covertree.near_duplicates(df, 0.99, block_rows=block_rows, sample_rows=1).collect()
+        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (n[i], root[i]) for i in n}
+    assert all(n[i] for i, v in rows[60:68])
+
+
 # 7 ------------------------------------------------------------------------------------------
 
 def _check_packing(spark, docs, window=2048, **how):
