@@ -46,9 +46,22 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_part``, ``_file`` and ``_row``, which give the order in
+    which its rows were written.  A scan does not keep it: it takes files by size
+    and puts several in a partition.  What is not a table of files is written first."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = written(docs)
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long")  # 100000 is after 99999
+    return docs.select("*", part.alias("_part"), F.col("_metadata.file_name").alias("_file"),
+                       F.col("_metadata.row_index").alias("_row"))
+
+
 def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: pieces of sequences of 2048 ids, documents in stored order."""
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER), with_ids=False).drop("ids")
+    """Operator 7: pieces of sequences of 2048 ids, documents in the order in
+    which the stage before wrote them, which is training order."""
+    return packing.pack(in_order(docs), public_tokenizers.path(TOKENIZER), order_by=["_part", "_file", "_row"],
+                        with_ids=False).drop("ids")
 
 
 STAGES = [("language_id", language), ("toxicity", toxic), ("ngram_jaccard", duplicates), ("mixing", mixture),

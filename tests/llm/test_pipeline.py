@@ -70,6 +70,29 @@ def test_run_returns_pieces_and_survives_empty_and_null_rows(spark, tmp_path):
         assert corpus_pipeline.run(spark, str(tmp_path)).count() == (1 if n else 0)
 
 
+def test_packing_keeps_the_training_order_of_several_files(spark, tmp_path):
+    docs = table(spark, SF, "documents")
+    order = corpus_pipeline.mixture(spark, docs, SF).collect()
+    bounds = [0, 5, 30, 31, 90, 100, len(order)]  # files of unequal size, a scan takes the last one first
+    slices = [[tuple(r) for r in order[a:b]] for a, b in zip(bounds, bounds[1:], strict=False)]
+    path = f"{tmp_path}/mixed"
+    stored = spark.sparkContext.parallelize(range(len(slices)), len(slices)).flatMap(lambda k: slices[k])
+    spark.createDataFrame(stored, docs.schema).write.parquet(path)
+    pieces = corpus_pipeline.packs(spark, spark.read.parquet(path), SF).orderBy("sequence_id", "offset").collect()
+    assert [r["doc_id"] for r in pieces if r["start"] == 0] == [r["doc_id"] for r in order]
+
+    direct = corpus_pipeline.packs(spark, corpus_pipeline.mixture(spark, docs, SF), SF)
+    pieces = direct.orderBy("sequence_id", "offset").collect()
+    assert [r["doc_id"] for r in pieces if r["start"] == 0] == [r["doc_id"] for r in order]
+    turn = {s: k % 3 for k, s in enumerate(sorted({r["source"] for r in order}))}
+    kind = {r["doc_id"]: turn[r["source"]] for r in order}  # asked for early, steadily, late
+    half = len({r["sequence_id"] for r in pieces}) // 2
+    first = set(sorted({r["sequence_id"] for r in pieces})[:half])
+    early, late = ([sum(r["length"] for r in pieces if kind[r["doc_id"]] == k and (r["sequence_id"] in first) == begins)
+                    for k in range(3)] for begins in (True, False))
+    assert early[0] / sum(early) > late[0] / sum(late) and early[2] / sum(early) < late[2] / sum(late)
+
+
 @pytest.mark.parametrize("name", [f"op{n}_" for n in range(1, 11)])
 def test_every_operator_is_registered_once(name):
     import __spark_entry__ as entry
