@@ -4,16 +4,19 @@ orthonormal confound set), as distributed linear algebra.
 Per scan: voxel series are linearly detrended (``regr_*`` aggregates), the
 voxels whose mean square exceeds the scan's (100 - percentile) quantile are
 kept (exact distributed quantile), and the leading ``n_confounds``
-eigenvectors of ``X X^T`` (time x time) are found by block subspace iteration:
-``Z = X^T Q`` and ``Y = X Z`` are joins + grouped sums over the selected
-voxels (never a time x time pair table); only the small ``T x k`` block of
-each scan is orthonormalised in numpy (``applyInPandas`` per scan, bounded
-by the scan's time axis), followed by a Rayleigh–Ritz step on the ``k x k``
-projected matrix.  Lineage is cut after every iteration.
-
-An iterative approximation: the confound subspace converges to the exact
-top eigen-subspace; individual vectors are defined up to sign / rotation,
-so checks compare projections, not vectors.
+eigenvectors of ``X X^T`` (time x time) are found in a growing block Krylov
+basis ``Q``: ``Z = X^T B`` and ``Y = X Z`` of the newest block ``B`` are joins +
+grouped sums over the selected voxels (never a time x time pair table); per scan
+(``applyInPandas``, a ``T x m`` basis with ``m <= BASIS``) a Rayleigh–Ritz step
+gives the leading vectors and their residuals, which are the next block.  A full
+basis is restarted from its leading vectors.  Lineage is cut after every iteration.
+
+A scan is done when the residuals are under ``TOLERANCE`` of the gap between the
+last confound's eigenvalue and the next (the sine of the angle to the exact
+subspace is at most about their ratio), or at rounding level, where no gap can be
+told; if a scan is not done after ``ITERATIONS``, an error is raised.  Individual
+vectors are defined up to sign / rotation, so checks compare projections, not
+vectors.
 """
 
 from __future__ import annotations
@@ -28,10 +31,15 @@ from sigframe.session import cut_lineage
 
 N_CONFOUNDS = 5
 PERCENTILE = 2.0
-ITERATIONS = 6
+ITERATIONS = 500
 OVERSAMPLE = 5
+#: Columns of a scan's basis at most, in blocks of n_confounds + OVERSAMPLE.
+BASIS = 200
+TOLERANCE = 1e-8
+ROUNDING = 1e-12
 
-_Q_SCHEMA = "scan_id long, t long, j int, q double"
+#: Per (scan, t): rows of the basis, of its image under X X^T, of the next block, of the leading vectors.
+_STATE = "scan_id long, t long, basis array<double>, image array<double>, block array<double>, lead array<double>"
 
 
 def detrended_voxels(voxels: DataFrame) -> DataFrame:
@@ -54,47 +62,79 @@ def high_variance_voxels(detrended: DataFrame, percentile: float = PERCENTILE) -
     return detrended.join(keep, ["scan_id", "voxel"], "left_semi")
 
 
-def _orthonormalise(pdf: pd.DataFrame) -> pd.DataFrame:
-    """QR of one scan's T x k block (long form in, long form out)."""
-    wide = pdf.pivot_table(index="t", columns="j", values="q", aggfunc="sum").sort_index().fillna(0.0)
-    q, _ = np.linalg.qr(wide.to_numpy())  # reduced: T x min(T, k)
-    out = pd.DataFrame(q, index=wide.index, columns=wide.columns[:q.shape[1]]).stack().rename("q").reset_index()
-    out.insert(0, "scan_id", int(pdf["scan_id"].iloc[0]))
-    return out[["scan_id", "t", "j", "q"]].astype({"t": "int64", "j": "int32"})
-
-
-def _rayleigh_ritz(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Eigen-decomposition of one scan's small projected matrix (k x k)."""
-    g = pdf.pivot_table(index="i", columns="j", values="g", aggfunc="sum").sort_index().sort_index(axis=1)
-    vals, vecs = np.linalg.eigh(g.to_numpy())
-    order = np.argsort(vals)[::-1][:k]
-    rows = [(int(pdf["scan_id"].iloc[0]), int(g.index[a]), c, float(vecs[a, o]))
-            for c, o in enumerate(order) for a in range(len(g.index))]
-    return pd.DataFrame(rows, columns=["scan_id", "j", "c", "w"])
+def _rows(pdf: pd.DataFrame, column: str) -> np.ndarray:
+    return np.array(pdf[column].tolist(), dtype=np.float64).reshape(len(pdf), -1)
+
+
+def _orthonormal(block: np.ndarray, basis: np.ndarray, floor: float) -> np.ndarray:
+    """Orthonormal columns for what of ``block`` is outside ``basis`` and above ``floor``."""
+    for _ in range(2):
+        block = block - basis @ (basis.T @ block)
+    u, s, _ = np.linalg.svd(block, full_matrices=False)
+    u = u[:, s > floor]
+    return np.linalg.qr(u - basis @ (basis.T @ u))[0]
+
+
+def _state(scan_id: int, t: pd.Series, basis: np.ndarray, image: np.ndarray, block: np.ndarray,
+           lead: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"scan_id": scan_id, "t": t.to_numpy(np.int64), "basis": basis.tolist(), "image": image.tolist(),
+                         "block": block.tolist(), "lead": lead.tolist()})
+
+
+def _begin(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One scan's first block, orthonormal."""
+    pdf = pdf.sort_values("t")
+    none = np.zeros((len(pdf), 0))
+    return _state(int(pdf["scan_id"].iloc[0]), pdf["t"], none, none, _orthonormal(_rows(pdf, "q"), none, ROUNDING), none)
+
+
+def _advance(state: pd.DataFrame, image: pd.DataFrame, n: int, k: int, most: int) -> pd.DataFrame:
+    """One scan's basis with the newest block and its image added; the leading
+    vectors in it, and the next block, which is empty once they have converged."""
+    state = state.sort_values("t").reset_index(drop=True)
+    block = _rows(state, "block")
+    y = np.zeros_like(block)
+    y[np.searchsorted(state["t"], image["t"]), image["j"]] = image["y"]
+    q, a = np.hstack([_rows(state, "basis"), block]), np.hstack([_rows(state, "image"), y])
+    g = q.T @ a
+    vals, vecs = np.linalg.eigh((g + g.T) / 2)
+    order = np.argsort(vals)[::-1]
+    vals, vecs = vals[order], vecs[:, order]
+    lead, led = q @ vecs[:, :k], a @ vecs[:, :k]
+    residual = led - lead * vals[:k]
+    error, top = np.linalg.norm(residual[:, :n]), abs(vals[0])
+    gap = vals[n - 1] - vals[n] if len(vals) > n else 0.0
+    if error <= max(TOLERANCE * gap, ROUNDING * top):
+        following = np.zeros((len(q), 0))
+    else:
+        if q.shape[1] + k > most:
+            q, a = lead, led
+        following = _orthonormal(residual, q, ROUNDING * top / 100)
+    return _state(int(state["scan_id"].iloc[0]), state["t"], q, a, following, lead[:, :n])
 
 
 def high_variance_confounds(voxels: DataFrame, n_confounds: int = N_CONFOUNDS, percentile: float = PERCENTILE,
-                            iterations: int = ITERATIONS, oversample: int = OVERSAMPLE) -> DataFrame:
-    """``(scan_id, t, c, u)``: ``n_confounds`` orthonormal time courses per scan."""
+                            iterations: int = ITERATIONS, oversample: int = OVERSAMPLE, basis: int = BASIS) -> DataFrame:
+    """``(scan_id, t, c, u)``: ``n_confounds`` orthonormal time courses per scan.
+    Raises if a scan has not converged after ``iterations`` blocks."""
     x = cut_lineage(high_variance_voxels(detrended_voxels(voxels), percentile))
     k = n_confounds + oversample
-    times = x.select("scan_id", "t").distinct()
+    times = x.where("t is not null").select("scan_id", "t").distinct()
     # deterministic start block from a hash of (scan, t, j)
-    start = times.select("scan_id", "t", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
-    q = start.withColumn("q", (F.pmod(F.xxhash64("scan_id", "t", "j"), F.lit(2001)) - 1000) / 1000.0)
-    q = cut_lineage(q.groupBy("scan_id").applyInPandas(_orthonormalise, _Q_SCHEMA))
+    q = [(F.pmod(F.xxhash64("scan_id", "t", F.lit(j)), F.lit(2001)) - 1000) / 1000.0 for j in range(k)]
+    state = cut_lineage(times.select("scan_id", "t", F.array(*q).alias("q")).groupBy("scan_id").applyInPandas(_begin, _STATE))
     for _ in range(iterations):
-        z = x.join(q, ["scan_id", "t"]).groupBy("scan_id", "voxel", "j").agg(F.sum(F.col("x") * F.col("q")).alias("z"))
-        y = x.join(z, ["scan_id", "voxel"]).groupBy("scan_id", "t", "j").agg(F.sum(F.col("x") * F.col("z")).alias("q"))
-        q = cut_lineage(y.groupBy("scan_id").applyInPandas(_orthonormalise, _Q_SCHEMA))
-    # Rayleigh–Ritz: B = Q^T X (k x voxels), G = B B^T (k x k) per scan
-    b = x.join(q, ["scan_id", "t"]).groupBy("scan_id", "voxel", "j").agg(F.sum(F.col("x") * F.col("q")).alias("b"))
-    g = b.alias("l").join(b.alias("r"), ["scan_id", "voxel"]).groupBy(
-        "scan_id", F.col("l.j").alias("i"), F.col("r.j").alias("j")).agg(
-        F.sum(F.col("l.b") * F.col("r.b")).alias("g"))
-    w = g.groupBy("scan_id").applyInPandas(lambda pdf: _rayleigh_ritz(pdf, n_confounds),
-                                           "scan_id long, j int, c int, w double")
-    return q.join(w, ["scan_id", "j"]).groupBy("scan_id", "t", "c").agg(F.sum(F.col("q") * F.col("w")).alias("u"))
+        going = state.where(F.size("block") > 0)
+        block = going.select("scan_id", "t", F.posexplode("block").alias("j", "q"))
+        z = x.join(block, ["scan_id", "t"]).groupBy("scan_id", "voxel", "j").agg(F.sum(F.col("x") * F.col("q")).alias("z"))
+        y = x.where("t is not null").join(z, ["scan_id", "voxel"]).groupBy("scan_id", "t", "j").agg(
+            F.coalesce(F.sum(F.col("x") * F.col("z")), F.lit(0.0)).alias("y"))
+        ahead = going.groupBy("scan_id").cogroup(y.groupBy("scan_id")).applyInPandas(
+            lambda s, i: _advance(s, i, n_confounds, k, max(basis, 2 * k)), _STATE)
+        state = cut_lineage(state.where(F.size("block") == 0).unionByName(ahead))
+        if state.where(F.size("block") > 0).isEmpty():
+            return state.select("scan_id", "t", F.posexplode("lead").alias("c", "u"))
+    raise RuntimeError(f"confounds of some scans have not converged after {iterations} iterations")
 
 
 def project_out(regions: DataFrame, confounds: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """High-variance confounds against a numpy eigen-solve on a small grid."""
 
 import numpy as np
+import pytest
 
 from sigframe.operators import confounds as C
 
@@ -51,3 +52,19 @@ def test_project_out_removes_confounds(spark):
         xs = {r["t"]: r["x"] for r in res if r["label"] == lab}
         for c in range(5):
             assert abs(sum(xs[t] * U[(t, c)] for t in xs)) < 1e-8
+
+
+@pytest.mark.parametrize("basis", [C.BASIS, 30])  # 30: with restarts
+def test_confounds_of_a_flat_spectrum_converge(spark, basis):
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(70, 150))  # noise alone: eigenvalues fall slowly
+    rows = [(1, v, t, float(data[t, v])) for v in range(150) for t in range(70)]
+    df = spark.createDataFrame(rows, "scan_id long, voxel long, t int, x double")
+    u = np.zeros((70, 5))
+    for r in C.high_variance_confounds(df, percentile=60.0, basis=basis).collect():
+        u[r["t"], r["c"]] = r["u"]
+    ref = _numpy_confounds(data, pct=60.0)
+    assert np.allclose(u.T @ u, np.eye(5), atol=1e-8)
+    assert np.allclose(u @ u.T, ref @ ref.T, atol=1e-6)
+    with pytest.raises(RuntimeError, match="not converged"):
+        C.high_variance_confounds(df, percentile=60.0, iterations=2)
