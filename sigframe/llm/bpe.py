@@ -1,8 +1,10 @@
 """Byte-level BPE with the whole-token shortcut.
 
 A vocabulary string is *whole* when the tokenizer, given that string alone,
-returns exactly that one id.  ``Encoder`` proves this once for the entire
-vocabulary.  A count then looks whole pre-tokens up and merges only the rest.
+returns exactly that one id.  ``Encoder`` proves this once for the vocabulary
+strings of a space and ASCII letters, and for no others.  A count then looks such
+words up and merges the rest: words with accents, digits or punctuation, words
+after a line end, and all of a text with two white-space characters in a row.
 
 Merging is tiktoken's, over the same vocabulary as ranks, where every character
 is Latin or general punctuation (there the libraries' character classes agree);
