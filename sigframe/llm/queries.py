@@ -1,4 +1,4 @@
-"""The eleven queries of this package and their SQL, where SQL can say it."""
+"""The queries of this package and their SQL, where SQL can say it."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigframe.llm import ann, chat, covertree, jaccard, langid, mixing, packing, tokens, toxicity, warc
+from sigframe.llm import (ann, chat, covertree, jaccard, langid, linededup, mixing, packing, tokens, toxicity, vafile,
+                          warc)
 from sigframe.llm.common import fold, scratch, table, written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -93,6 +94,17 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position", "doc_id")
 
 
+def op12_va_file_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seed = F.sha2(F.concat(F.lit("1:"), F.col("vec_id").cast("string")), 256)
+    return vafile.cluster(table(spark, sf_dir, "embeddings"), keep=["vec_id"], k=16, rounds=3, seed_key=seed)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs, min_chars=20, min_docs=3).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,12 +114,33 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_vantage_point_search, op2_ngram_jaccard_join, op3_language_id, op4_token_counts, op5_warc_transactions,
     op6_cover_tree_duplicates, op7_order_preserving_packing, op8_tool_call_linking, op9_toxicity_severity,
-    op10_curriculum_mix, pipeline)}
+    op10_curriculum_mix, op12_va_file_clusters, op13_line_dedup, pipeline)}
 
 _FINITE = """SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0"""
 
+
+
+def _rounds_sql(rounds: int) -> str:
+    """CTEs ``a0`` (first centroids ``c0`` assigned), ..., ``a<rounds>``: each round's
+    means rounded down, exactly."""
+    out = []
+    for r in range(rounds + 1):
+        if r:
+            out.append(f"""m{r} AS (SELECT cluster, d, floor_div(sum(x)::HUGEINT, count(*)) AS x FROM
+  (SELECT cluster, unnest(g) AS x, unnest(range(64)) AS d FROM a{r - 1}) GROUP BY cluster, d),
+n{r} AS (SELECT cluster, list(x ORDER BY d) AS c FROM m{r} GROUP BY cluster),
+c{r} AS (SELECT p.cluster, coalesce(n.c, p.c) AS c FROM c{r - 1} p LEFT JOIN n{r} n ON n.cluster = p.cluster)""".replace(
+                "floor_div(sum(x)::HUGEINT, count(*))",
+                "((sum(x)::HUGEINT - ((sum(x)::HUGEINT % count(*)) + count(*)) % count(*)) // count(*))::BIGINT"))
+        out.append(f"""p{r} AS (SELECT v.row, v.vec_id, v.g, c.cluster,
+  list_sum(list_transform(list_zip(v.g, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS distance FROM v, c{r} c),
+a{r} AS (SELECT row, any_value(vec_id) AS vec_id, any_value(g) AS g, arg_min(cluster, (distance, cluster)) AS cluster,
+  min(distance) AS distance FROM p{r} GROUP BY row)""")
+    return ",\n".join(out)
+
+
 SQL: dict[str, str] = {
     "op1_vantage_point_search": f"""
 WITH v AS ({_FINITE}),
@@ -175,4 +208,23 @@ SELECT doc_id, size, source_size, target,
   CASE turn % 3 WHEN 0 THEN 1.5 - sqrt(2.25 - 2 * share) WHEN 1 THEN share
                 ELSE sqrt(0.25 + 2 * share) - 0.5 END AS position
 FROM u""",
+    "op12_va_file_clusters": f"""
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS g
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), g) - 1 AS cluster, g AS c FROM v
+  QUALIFY cluster < 16),
+{_rounds_sql(3)},
+i AS (SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM a3 GROUP BY cluster)
+SELECT a.vec_id, a.cluster::INTEGER AS cluster, a.distance, i.cluster_inertia,
+  (SELECT sum(distance)::BIGINT FROM a3) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a3 a JOIN i ON i.cluster = a.cluster JOIN c3 c ON c.cluster = a.cluster""",
+    "op13_line_dedup": """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+             generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+d AS (SELECT k.doc_id, pos, line, f.key IS NOT NULL AND k.doc_id <> last AS dropped FROM k LEFT JOIN f ON f.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count_if(dropped)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256 FROM d GROUP BY doc_id""",
 }
