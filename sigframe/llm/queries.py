@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigframe.llm import (ann, chat, covertree, jaccard, langid, linededup, mixing, packing, tokens, toxicity, vafile,
-                          warc)
+from sigframe.llm import (ann, chat, covertree, jaccard, langid, linededup, mixing, packing, prefixtrie, tokens, toxicity,
+                          vafile, warc)
 from sigframe.llm.common import fold, scratch, table, written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -94,6 +94,11 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position", "doc_id")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = prefixtrie.rebuild(prefixtrie.sequences(table(spark, sf_dir, "conversations")))
+    return prefixtrie.nodes(seqs).drop("node")
+
+
 def op12_va_file_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     seed = F.sha2(F.concat(F.lit("1:"), F.col("vec_id").cast("string")), 256)
     return vafile.cluster(table(spark, sf_dir, "embeddings"), keep=["vec_id"], k=16, rounds=3, seed_key=seed)
@@ -114,7 +119,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_vantage_point_search, op2_ngram_jaccard_join, op3_language_id, op4_token_counts, op5_warc_transactions,
     op6_cover_tree_duplicates, op7_order_preserving_packing, op8_tool_call_linking, op9_toxicity_severity,
-    op10_curriculum_mix, op12_va_file_clusters, op13_line_dedup, pipeline)}
+    op10_curriculum_mix, op11_prefix_trie, op12_va_file_clusters, op13_line_dedup, pipeline)}
 
 _FINITE = """SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
@@ -208,6 +213,30 @@ SELECT doc_id, size, source_size, target,
   CASE turn % 3 WHEN 0 THEN 1.5 - sqrt(2.25 - 2 * share) WHEN 1 THEN share
                 ELSE sqrt(0.25 + 2 * share) - 0.5 END AS position
 FROM u""",
+    "op11_prefix_trie": """
+WITH t AS (SELECT conv_id AS c, md5(coalesce(role, '')) || md5(coalesce(text, '')) AS h,
+             octet_length(encode(coalesce(text, ''))) AS b,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS d
+           FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT c, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT),
+        lambda s, x: list_reduce([xor(s, x)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0],
+                                 lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295::BIGINT) % 9 AS h
+      FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT i.c, t.h, t.b, 0 AS part, t.d FROM i JOIN t ON t.c = i.c - i.c % 5 AND t.d <= i.h
+      UNION ALL SELECT i.c, t.h, t.b, 1, t.d FROM i JOIN t ON t.c = i.c AND t.d > i.h),
+p AS (SELECT c, b, row_number() OVER w AS d, md5(string_agg(h, '') OVER w) AS k FROM r
+      WINDOW w AS (PARTITION BY c ORDER BY part, d ROWS UNBOUNDED PRECEDING)
+      UNION ALL SELECT c, 0, 0, '' FROM i),
+n AS (SELECT k, d, min(c) AS c, count(*) AS n_convs, any_value(b) AS b FROM p GROUP BY k, d),
+e AS (SELECT n.k, n.d, n.c, n_convs, n.b, u.k AS up FROM n LEFT JOIN p u ON u.c = n.c AND u.d = n.d - 1),
+ch AS (SELECT up AS k, count(*) AS n_children FROM e WHERE up IS NOT NULL GROUP BY up),
+s AS (SELECT p.k, count_if(ch.k IS NULL)::BIGINT AS n_leaves, sum((n_convs - 1) * e.b)::BIGINT AS saved_tokens
+      FROM e LEFT JOIN ch ON ch.k = e.k JOIN p ON p.c = e.c AND p.d <= e.d GROUP BY p.k),
+l AS (SELECT k, string_agg(p.c::VARCHAR, ',' ORDER BY p.c) AS ids
+      FROM p JOIN (SELECT c, max(d) AS d FROM p GROUP BY c) m ON m.c = p.c AND m.d = p.d GROUP BY k)
+SELECT e.c AS conv_id, e.d AS depth, u.c AS parent_conv_id, e.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+  saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM e LEFT JOIN n u ON u.k = e.up LEFT JOIN ch ON ch.k = e.k JOIN s ON s.k = e.k LEFT JOIN l ON l.k = e.k""",
     "op12_va_file_clusters": f"""
 WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS g
   FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
