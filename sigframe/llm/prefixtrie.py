@@ -40,8 +40,8 @@ from sigframe.llm.common import Step, written
 from sigframe.session import ship_package
 
 ROOT = hashlib.md5(b"").digest()
-#: Shares of the conversations by batch, in sixteenths: the trie grows fourfold a batch.
-BATCHES = ((0, 1), (1, 4), (4, 16))
+#: Sixteenths of the conversations that are in the trie after each batch.
+BATCHES = (2, 16)
 #: Ids in one chunk of a list of members.
 CHUNK_BITS = 13
 
@@ -195,9 +195,9 @@ def build(entries: DataFrame) -> Step:
     rounds = int(entries.agg(F.max("n")).first()[0] or 0).bit_length()
     trie = Step(spark.createDataFrame([(ROOT, None, 0, 0, [], [0])], NODE))
     share = F.pmod(F.xxhash64("end"), F.lit(16))
-    for k, (a, b) in enumerate(BATCHES):
-        batch = entries.where((share >= a) & (share < b)).select("end", "n", "hs", "cum")
-        if k:
+    for before, upto in zip((0, *BATCHES), BATCHES):
+        batch = entries.where((share >= before) & (share < upto)).select("end", "n", "hs", "cum")
+        if before:
             found = Step(locate(batch, trie.df, rounds))
         else:
             found = Step(batch.withColumns({"at": F.lit(ROOT), "at_hi": F.lit(0), "l": F.lit(0)}))
