@@ -16,6 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigframe.llm.common import unused
+from sigframe.session import ship_package
+
 _WORDS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -111,17 +114,18 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", min_margin:
     replaced; every other column and every repeated row is kept.
     """
     docs = docs.drop("lang_pred", "score", "accepted")
-    schema = docs.schema
+    schema, work = docs.schema, unused(docs, "_lid_text")
+    ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classify = Classifier(model)
         for b in batches:
-            got = [classify(t) for t in b["_lid_text"]]
+            got = [classify(t) for t in b[work]]
             b["lang_pred"], b["score"] = [g[0] for g in got], [g[1] for g in got]
-            yield b.drop(columns="_lid_text")
+            yield b.drop(columns=work)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    out = docs.withColumn("_lid_text", _text(docs, text_col)).mapInPandas(
+    out = docs.withColumn(work, _text(docs, text_col)).mapInPandas(
         run, f"{fields}, lang_pred string, score double")
     return out.withColumn("accepted", (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_margin))
 

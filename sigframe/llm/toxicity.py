@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigframe.llm.common import unused
+from sigframe.session import ship_package
+
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -48,30 +50,42 @@ def _above(z: np.ndarray, theta: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z[:, None] - theta[None, :], -30, 30)))
 
 
-def fit_rows(rows: list[tuple[set[str], int]], bits: int = 20, keep: int = 8192, least: float = 10.8, ratio: float = 8.0,
-             steps: int = 400, lasso: float = 1e-3, rate: float = 0.1) -> Model:
-    """Fit on word sets with grades 0, 1, 2, ...: features that are more frequent
+def word_hashes(text: str | None) -> np.ndarray:
+    """(distinct words, 2): the hashes of a text's words and of their first letters
+    (the word's own again where it is not longer), in the order of the words."""
+    return _hashes(words(text))
+
+
+def _hashes(ws: set[str]) -> np.ndarray:
+    pairs = [(f[0], f[-1]) for f in (features(w, 32) for w in sorted(ws))]
+    return np.array(pairs, dtype=np.uint32).reshape(-1, 2)
+
+
+def fit_rows(rows: list[tuple[set[str], int]], **settings) -> Model:
+    """``fit_hashes`` on word sets."""
+    return fit_hashes([_hashes(ws) for ws, _ in rows], np.array([g for _, g in rows], dtype=int), **settings)
+
+
+def fit_hashes(rows: list[np.ndarray], grade: np.ndarray, bits: int = 20, keep: int = 8192, least: float = 10.8,
+               ratio: float = 8.0, steps: int = 400, lasso: float = 1e-3, rate: float = 0.1) -> Model:
+    """Fit on texts as ``word_hashes`` gives them, with grades 0, 1, 2, ...: features that are more frequent
     above grade 0, ``ratio`` times or more, are screened by their likelihood ratio
     (G squared of at least ``least``, the ``keep`` highest; no threshold under
     0.5, so that a text without such a feature is grade 0), then the shared weights, none negative, and
     the thresholds follow the likelihood of the cumulative links (Adam; ``lasso``
     drops words that only repeat what others already tell).  Without rows, or with one grade only,
     every weight is 0 and every text has grade 0."""
-    top = max([g for _, g in rows], default=0)
-    if top == 0 or min(g for _, g in rows) > 0:
+    top = int(grade.max(initial=0))
+    if top == 0 or grade.min() > 0:
         return Model(np.zeros(1 << bits), np.full(max(1, top), 30.0))
-    known: dict[str, list[int]] = {}
-    at, cols = array("q"), array("q")
-    for k, (ws, _) in enumerate(rows):
-        for w in ws:
-            f = known.get(w)
-            if f is None:
-                f = known[w] = features(w, bits)
-            at.extend([k] * len(f))
-            cols.extend(f)
+    pairs = np.concatenate(rows)
+    own_row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    longer = pairs[:, 0] != pairs[:, 1]
+    at_a = np.concatenate([own_row, own_row[longer]])
+    cols = np.concatenate([pairs[:, 0], pairs[longer, 1]]).astype(np.int64) & ((1 << bits) - 1)
+    del pairs, own_row, longer
     # counted over the features that occur, in their order
-    own, cols_a = np.unique(np.frombuffer(cols, np.int64), return_inverse=True)
-    at_a, grade = np.frombuffer(at, np.int64), np.array([g for _, g in rows])
+    own, cols_a = np.unique(cols, return_inverse=True)
     bad = grade > 0
     has = np.unique(at_a << bits | cols_a)
     has_row, has_col = has >> bits, has & ((1 << bits) - 1)
@@ -109,19 +123,17 @@ def fit_rows(rows: list[tuple[set[str], int]], bits: int = 20, keep: int = 8192,
     return Model(full, theta)
 
 
-def dose_grades(rows: list[tuple[set[str], int]], toxic: np.ndarray, grades: int) -> np.ndarray:
+def dose_grades(rows: list[np.ndarray], toxic: np.ndarray, grades: int) -> np.ndarray:
     """Severity grades from binary labels: 0 if not toxic, else 1 to ``grades``
     by the number of distinct words the text has that stand out in toxic texts,
     cut at the quantiles of that number."""
-    seen_bad: dict[str, int] = {}
-    seen_good: dict[str, int] = {}
-    for (ws, _), bad in zip(rows, toxic, strict=True):
-        into = seen_bad if bad else seen_good
-        for w in ws:
-            into[w] = into.get(w, 0) + 1
+    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    known, word = np.unique(np.concatenate([r[:, 0] for r in rows]), return_inverse=True)
+    bad = np.bincount(word, weights=toxic[at], minlength=len(known))
+    good = np.bincount(word, minlength=len(known)) - bad
     n_bad, n_good = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    mark = {w for w, n in seen_bad.items() if n >= 3 and n / n_bad >= 8 * (seen_good.get(w, 0) + 0.5) / n_good}
-    dose = np.array([len(ws & mark) for ws, _ in rows], dtype=float)
+    mark = (bad >= 3) & (bad / n_bad >= 8 * (good + 0.5) / n_good)
+    dose = np.bincount(at, weights=mark[word], minlength=len(rows))
     out = np.zeros(len(rows), dtype=int)
     if toxic.any():
         cuts = np.quantile(dose[toxic], np.arange(1, grades) / grades)
@@ -150,18 +162,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = lab.withColumn("h", h).where(F.col("h") < cut).orderBy("h", "id").limit(most)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(
         F.col("text").isNotNull() & (F.octet_length("text") <= max_row_bytes))
-    # at most ``most`` ids go to the texts, which then need no shuffle
-    got = texts.join(F.broadcast(picked), "id").select("h", "y", "text").orderBy("h", "text").limit(most).collect()
-    pool: dict[str, str] = {}  # a word is held once, and a text no longer than its words are read
-    sample: list[tuple[set[str], int]] = []
-    got.reverse()
-    while got:
-        r = got.pop()
-        sample.append(({pool.setdefault(w, w) for w in words(r["text"])}, int(r["y"])))
-    y = np.array([g for _, g in sample], dtype=int)
+    # at most ``most`` ids go to the texts, which then need no shuffle; hashes of words come back, not texts
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"h": b["h"], "y": b["y"], "words": [word_hashes(t).tobytes() for t in b["text"]]})
+
+    ship_package(docs.sparkSession)
+    got = texts.join(F.broadcast(picked), "id").select("h", "y", "text").mapInPandas(hashed, "h long, y int, words binary").orderBy(
+        "h", "words").limit(most).collect()
+    sample = [np.frombuffer(r["words"], np.uint32).reshape(-1, 2) for r in got]
+    y = np.array([r["y"] for r in got], dtype=int)
+    del got
     if len(y) and y.max() == 1:
         y = dose_grades(sample, y > 0, grades)
-    return fit_rows([(ws, int(g)) for (ws, _), g in zip(sample, y, strict=True)], bits=bits)
+    return fit_hashes(sample, y, bits=bits)
 
 
 def _cut(rows: int, n: int) -> int:
@@ -179,7 +194,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
     names are replaced, all others and repeated rows are kept.
     """
     docs = docs.drop("severity", "grade", "toxic_prob", "toxic")
-    schema = docs.schema
+    schema, work = docs.schema, unused(docs, "_tox_text")
+    ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = len(model.weights).bit_length() - 1
@@ -187,7 +203,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
         for b in batches:
             z = np.zeros(len(b))
             none = np.zeros(len(b), dtype=bool)
-            for k, text in enumerate(b["_tox_text"]):
+            for k, text in enumerate(b[work]):
                 ws = words(text)
                 none[k] = not ws
                 total = 0.0
@@ -203,9 +219,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
             p = _above(z, model.thresholds)
             p[none] = 0.0
             b["severity"], b["grade"], b["toxic_prob"] = p.sum(axis=1), (p > 0.5).sum(axis=1).astype(np.int32), p[:, 0]
-            yield b.drop(columns="_tox_text")
+            yield b.drop(columns=work)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    out = docs.withColumn("_tox_text", docs[text_col].cast("string")).mapInPandas(
+    out = docs.withColumn(work, docs[text_col].cast("string")).mapInPandas(
         run, f"{fields}, severity double, grade int, toxic_prob double")
     return out.withColumn("toxic", F.col("toxic_prob") >= threshold)

@@ -67,7 +67,10 @@ def test_run_returns_pieces_and_survives_empty_and_null_rows(spark, tmp_path):
         spark.createDataFrame(rows[:n], schema).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(
             f"{tmp_path}/labels.parquet")
-        assert corpus_pipeline.run(spark, str(tmp_path)).count() == (1 if n else 0)
+        got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+        # the text's 6 words have a target of 9, of which the mix writes two copies: 6 words and, rounded up, 3
+        assert [r["doc_id"] for r in got] == ([None, None] if n else [])
+        assert len({(r["length"], r["doc_tokens"], r["start"], r["ids_crc32"]) for r in got}) == (1 if n else 0)
 
 
 def test_packing_keeps_the_training_order_of_several_files(spark, tmp_path):

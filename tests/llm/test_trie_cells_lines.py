@@ -270,3 +270,15 @@ def test_line_dedup_has_no_python_in_its_plan(spark):
 def test_queries_are_registered_with_sql():
     for q in ("op11_prefix_trie", "op12_va_file_clusters", "op13_line_dedup"):
         assert q in queries.QUERIES and q in queries.SQL
+
+
+def test_work_columns_of_language_and_toxicity_do_not_clash(spark):
+    from sigframe.llm import langid, toxicity
+
+    docs = spark.createDataFrame([(1, "some words of a text", "en", "mine"), (2, None, "en", "mine")],
+                                 "doc_id long, text string, _lid_text string, _tox_text string")
+    model = langid.fit(docs.withColumnRenamed("_lid_text", "lang"))
+    seen = langid.identify(docs, model)
+    assert {(r["_lid_text"], r["_tox_text"]) for r in seen.collect()} == {("en", "mine")}
+    scored = toxicity.score(docs, toxicity.fit(docs, docs.selectExpr("doc_id", "0 as toxic")))
+    assert {(r["_lid_text"], r["_tox_text"], r["toxic"]) for r in scored.collect()} == {("en", "mine", False)}
