@@ -117,6 +117,22 @@ def block_carry(own_rows: DataFrame, keys: Sequence[str], aggs: dict[str, tuple[
                       for name, (kind, _c) in aggs.items()])
 
 
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], sums: dict[str, str],
+            block: int | None = None) -> DataFrame:
+    """Add, for each ``name: column`` of ``sums``, the sum of ``column`` up to and
+    including the row inside ``keys`` ordered by ``order`` (a total order).
+
+    A hot key spans many blocks: sums run inside a block, and the totals of the
+    blocks before it are added."""
+    rows = blocked(dense_index(df, keys, order, out="_t"), t="_t", block=block)
+    w = block_window(keys, "_t").rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.select("*", *[F.sum(c).over(w).alias(f"_own_{n}") for n, c in sums.items()])
+    carry = block_carry(rows, keys, {f"_carry_{n}": ("sum", F.col(c)) for n, c in sums.items()})
+    joined = own.join(carry, [*keys, BLK])
+    return joined.select(*[F.col(c) for c in df.columns], *[
+        (F.col(f"_own_{n}") + F.coalesce(F.col(f"_carry_{n}"), F.lit(0))).alias(n) for n in sums])
+
+
 def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int,
                     salt_buckets: int = 64, salt_of: Column | None = None) -> DataFrame:
     """Exact first ``k`` rows per group by ``order`` (a total order), skew-safe.

@@ -1,83 +1,57 @@
 """Feature relevance selection (FRESH): V-1 feature kinds, V-2 Kendall tau-b
 test (real feature vs target), V-3 two-sample Kolmogorov–Smirnov test
-(binary feature vs target), V-6 normal tails, V-7 Benjamini–Yekutieli
-procedure at level 0.05, V-8 application of the selection.
-
-The target takes a bounded number of distinct values (class codes); the
-count of classes is checked before it is used to shape the plan.  Per
-feature the tests run on one row per distinct feature value with class
-counts and cumulative counts from a window over the value order, so no
-pairs of points are ever formed.  The p-value table has one row per feature.
+(binary feature vs target), V-4 ANOVA, V-5 Mann–Whitney and Fisher's exact
+test, V-6 normal tails, V-7 Benjamini–Yekutieli procedure at level 0.05, V-8
+application of the selection.
+
+Targets are real numbers, with as many distinct values as there are rows, and
+values are compared as they are.  Ties and class sizes are grouped counts,
+Kendall's S comes from ``rankcorr`` and running counts from ``ordering.running``,
+so no test has a column per class, a pair of points, or a feature in one task.
+The p-value table has one row per feature.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigframe.functions.columns import normal_two_sided_p, round_sig, safe_div
+from sigframe.functions.columns import normal_two_sided_p, safe_div
+from sigframe.operators.ordering import running
+from sigframe.operators.rankcorr import SLICE_ROWS, kendall_s
 from sigframe.session import cut_lineage
 
 FDR_LEVEL = 0.05
-MAX_CLASSES = 1000
 KS_TERMS = 20
 KS_LAMBDA_MIN = 0.27
 
 
-def target_classes(targets: DataFrame) -> list:
-    """Distinct target values (bounded: raises above ``MAX_CLASSES``)."""
-    vals = targets.select("target").distinct().limit(MAX_CLASSES + 1).collect()
-    if len(vals) > MAX_CLASSES:
-        raise ValueError("target has too many distinct values for the class-count tests")
-    return sorted(v[0] for v in vals)
-
-
-def canonical(features: DataFrame) -> DataFrame:
-    """Feature values compared at 9 significant digits, so ties and distinct
-    counts do not depend on summation order (float noise)."""
-    return features.withColumn("value", round_sig("value"))
-
-
 def feature_kinds(features: DataFrame) -> DataFrame:
     """V-1: ``(feature, n_distinct, kind)`` with kind constant / binary / real."""
-    features = canonical(features)
     nd = features.groupBy("feature").agg(F.count_distinct("value").alias("n_distinct"))
     kind = F.when(F.col("n_distinct") <= 1, "constant").when(F.col("n_distinct") == 2, "binary").otherwise("real")
     return nd.withColumn("kind", kind)
 
 
-def _class_counts(features: DataFrame, targets: DataFrame, classes: list) -> DataFrame:
-    pts = features.join(targets.select("series_id", "target"), "series_id")
-    return pts.groupBy("feature", "value").agg(
-        *[F.count_if(F.col("target") == c).alias(f"_c{i}") for i, c in enumerate(classes)])
+def _ties(pts: DataFrame, col: str, p: str) -> DataFrame:
+    """Per feature, the tie terms of ``col``: n, t(t-1)/2, t(t-1)(2t+5) and t(t-1)(t-2)
+    summed over its groups of equal values."""
+    t = F.col("_t")
+    return pts.groupBy("feature", col).agg(F.count(F.lit(1)).cast("double").alias("_t")).groupBy("feature").agg(
+        F.sum(t).alias(f"{p}n"), F.sum(t * (t - 1) / 2).alias(f"{p}t"), F.sum(t * (t - 1) * (2 * t + 5)).alias(f"{p}1"),
+        F.sum(t * (t - 1) * (t - 2)).alias(f"{p}2"))
 
 
-def kendall(features: DataFrame, targets: DataFrame, classes: list | None = None) -> DataFrame:
+def kendall(features: DataFrame, targets: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """V-2: ``(feature, statistic = tau_b, p_value)`` with tie-corrected normal p."""
-    classes = classes if classes is not None else target_classes(targets)
-    k = len(classes)
-    cc = _class_counts(features, targets, classes)
-    before = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    cum = [F.coalesce(F.sum(f"_c{i}").over(before), F.lit(0)) for i in range(k)]
-    cc = cc.select("*", *[c.alias(f"_b{i}") for i, c in enumerate(cum)])
-    s_terms = []
-    for i in range(k):
-        lower = sum((F.col(f"_b{j}") for j in range(i)), F.lit(0))
-        upper = sum((F.col(f"_b{j}") for j in range(i + 1, k)), F.lit(0))
-        s_terms.append(F.col(f"_c{i}") * (lower - upper))
-    tv = sum((F.col(f"_c{i}") for i in range(k)), F.lit(0)).cast("double")
-    per_v = cc.select("feature", sum(s_terms, F.lit(0)).cast("double").alias("_s"), tv.alias("_t"),
-                      *[F.col(f"_c{i}").cast("double").alias(f"_c{i}") for i in range(k)])
-    agg = per_v.groupBy("feature").agg(
-        F.sum("_s").alias("cd"), F.sum("_t").alias("n"),
-        F.sum(F.col("_t") * (F.col("_t") - 1) / 2).alias("xt"),
-        F.sum(F.col("_t") * (F.col("_t") - 1) * (2 * F.col("_t") + 5)).alias("x1"),
-        F.sum(F.col("_t") * (F.col("_t") - 1) * (F.col("_t") - 2)).alias("x2"),
-        *[F.sum(f"_c{i}").alias(f"_u{i}") for i in range(k)])
-    u = [F.col(f"_u{i}") for i in range(k)]
-    yt = sum((x * (x - 1) / 2 for x in u), F.lit(0.0))
-    y1 = sum((x * (x - 1) * (2 * x + 5) for x in u), F.lit(0.0))
-    y2 = sum((x * (x - 1) * (x - 2) for x in u), F.lit(0.0))
+    pts = cut_lineage(features.join(targets.select("series_id", "target"), "series_id").where(
+        F.col("value").isNotNull() & F.col("target").isNotNull()).select("feature", "value", "target"))
+    s = kendall_s(pts.select("feature", F.col("value").alias("x"), F.col("target").alias("y")), slice_rows)
+    agg = s.select("feature", F.col("s").cast("double").alias("cd")).join(_ties(pts, "value", "x"), "feature").join(
+        _ties(pts, "target", "y"), "feature").withColumnRenamed("xn", "n")
+    yt, y1, y2 = F.col("yt"), F.col("y1"), F.col("y2")
     n, cd = F.col("n"), F.col("cd")
     n0 = n * (n - 1) / 2
     denom = (n0 - F.col("xt")) * (n0 - yt)
@@ -89,20 +63,18 @@ def kendall(features: DataFrame, targets: DataFrame, classes: list | None = None
     return agg.select("feature", tau.alias("statistic"), p.alias("p_value"))
 
 
-def ks_binary(features: DataFrame, targets: DataFrame, classes: list | None = None) -> DataFrame:
+def ks_binary(features: DataFrame, targets: DataFrame) -> DataFrame:
     """V-3: KS distance between the target distributions of the two feature
     values, with the asymptotic Kolmogorov tail (Stephens' small-sample factor)."""
-    classes = classes if classes is not None else target_classes(targets)
     pts = features.join(targets.select("series_id", "target"), "series_id")
     lo = pts.groupBy("feature").agg(F.min("value").alias("_lo"))
     grp = pts.join(lo, "feature").withColumn("_g", (F.col("value") == F.col("_lo")).cast("int"))
     cnt = grp.groupBy("feature", "target").agg(F.count_if(F.col("_g") == 1).alias("_a"),
                                                 F.count_if(F.col("_g") == 0).alias("_b"))
-    upto = Window.partitionBy("feature").orderBy("target").rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy("feature")
-    cdf = cnt.select("feature", safe_div(F.sum("_a").over(upto), F.sum("_a").over(tot)).alias("_fa"),
-                     safe_div(F.sum("_b").over(upto), F.sum("_b").over(tot)).alias("_fb"),
-                     F.sum("_a").over(tot).alias("_na"), F.sum("_b").over(tot).alias("_nb"))
+    tot = cnt.groupBy("feature").agg(F.sum("_a").alias("_na"), F.sum("_b").alias("_nb"))
+    cdf = running(cnt, ["feature"], ["target"], {"_ca": "_a", "_cb": "_b"}).join(tot, "feature").select(
+        "feature", safe_div(F.col("_ca"), F.col("_na")).alias("_fa"), safe_div(F.col("_cb"), F.col("_nb")).alias("_fb"),
+        "_na", "_nb")
     d = cdf.groupBy("feature").agg(F.max(F.abs(F.col("_fa") - F.col("_fb"))).alias("statistic"),
                                    F.first("_na").alias("_na"), F.first("_nb").alias("_nb"))
     en = safe_div(F.col("_na") * F.col("_nb"), F.col("_na") + F.col("_nb"))
@@ -116,14 +88,12 @@ def ks_binary(features: DataFrame, targets: DataFrame, classes: list | None = No
 
 def feature_pvalues(features: DataFrame, targets: DataFrame) -> DataFrame:
     """V-1..V-3: ``(feature, kind, statistic, p_value)`` for non-constant features."""
-    classes = target_classes(targets)
-    # the canonical feature table feeds four passes: materialise it once
-    features = cut_lineage(canonical(features))
+    features = cut_lineage(features)  # four passes read it
     kinds = feature_kinds(features)
     real = features.join(kinds.filter(F.col("kind") == "real").select("feature"), "feature", "left_semi")
     binary = features.join(kinds.filter(F.col("kind") == "binary").select("feature"), "feature", "left_semi")
-    tested = kendall(real, targets, classes).withColumn("kind", F.lit("real")).unionByName(
-        ks_binary(binary, targets, classes).withColumn("kind", F.lit("binary")))
+    tested = kendall(real, targets).withColumn("kind", F.lit("real")).unionByName(
+        ks_binary(binary, targets).withColumn("kind", F.lit("binary")))
     return tested.select("feature", "kind", "statistic", "p_value")
 
 
@@ -155,7 +125,7 @@ def _upper_normal_tail(z):
 def anova(features: DataFrame, targets: DataFrame) -> DataFrame:
     """V-4: one-way ANOVA F across target classes per feature; p-value by the
     Wilson–Hilferty normal approximation of the F tail (documented)."""
-    pts = canonical(features).join(targets.select("series_id", "target"), "series_id")
+    pts = features.join(targets.select("series_id", "target"), "series_id")
     per = pts.groupBy("feature", "target").agg(F.count("value").alias("nk"), F.sum("value").alias("sk"),
                                                (F.var_pop("value") * F.count("value")).alias("ssw"))
     g = per.groupBy("feature").agg(F.sum("nk").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("sk").alias("s"),
@@ -173,11 +143,10 @@ def anova(features: DataFrame, targets: DataFrame) -> DataFrame:
 def mann_whitney(features: DataFrame, binary_targets: DataFrame) -> DataFrame:
     """V-5: two-sided Mann–Whitney U of each feature between target 1 and 0
     (average ranks for ties, tie-corrected normal approximation with continuity)."""
-    pts = canonical(features).join(binary_targets.select("series_id", "target"), "series_id")
+    pts = features.join(binary_targets.select("series_id", "target"), "series_id")
     per_v = pts.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"),
                                                 F.count_if(F.col("target") == 1).alias("c1"))
-    before = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    per_v = per_v.withColumn("_below", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    per_v = running(per_v, ["feature"], ["value"], {"_upto": "c"}).withColumn("_below", F.col("_upto") - F.col("c"))
     avg_rank = F.col("_below") + (F.col("c") + 1) / 2.0
     g = per_v.groupBy("feature").agg(F.sum(F.col("c1") * avg_rank).alias("r1"), F.sum("c").alias("n"),
                                      F.sum("c1").alias("n1"),
@@ -190,3 +159,42 @@ def mann_whitney(features: DataFrame, binary_targets: DataFrame) -> DataFrame:
     z = (u - n1 * n0 / 2 - 0.5) / sigma
     p = F.when((n1 > 0) & (n0 > 0) & (sigma > 0), F.least(normal_two_sided_p(z), F.lit(1.0)))
     return g.select("feature", u1.alias("statistic"), p.alias("p_value"))
+
+
+def _log_factorial(k: Column) -> Column:
+    """ln k! for whole k >= 0: exact table below 16, else Stirling's series (error under 1e-13)."""
+    table = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)])
+    x = k.cast("double") + 1
+    inv = 1 / x
+    series = ((x - 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi)
+              + inv / 12 - F.pow(inv, 3) / 360 + F.pow(inv, 5) / 1260 - F.pow(inv, 7) / 1680)
+    return F.when(k < 16, F.get(table, k.cast("int"))).otherwise(series)
+
+
+def fisher(features: DataFrame, binary_targets: DataFrame) -> DataFrame:
+    """V-5, binary feature and binary target: Fisher's exact test, ``(feature, statistic, p_value)``.
+
+    ``statistic`` is the odds ratio of the 2 x 2 counts (null where it divides by 0);
+    the two-sided p sums the hypergeometric probabilities of all tables with the
+    same margins that are no likelier than the one seen (within 1e-7 of it).
+    The tables of one feature are spread over rows, one for each count of the
+    first cell, so a large margin is many rows and no loop."""
+    pts = features.join(binary_targets.select("series_id", "target"), "series_id")
+    lo = pts.groupBy("feature").agg(F.min("value").alias("_lo"))
+    hi, one = F.col("value") != F.col("_lo"), F.col("target") == 1
+    n = pts.join(lo, "feature").groupBy("feature").agg(
+        F.count_if(hi & one).alias("a"), F.count_if(hi & ~one).alias("b"), F.count_if(~hi & one).alias("c"),
+        F.count_if(~hi & ~one).alias("d"))
+    row, col, all_ = F.col("a") + F.col("b"), F.col("a") + F.col("c"), F.col("a") + F.col("b") + F.col("c") + F.col("d")
+    f = _log_factorial
+    margins = f(row) + f(all_ - row) + f(col) + f(all_ - col) - f(all_)
+
+    def log_p(a: Column) -> Column:
+        return margins - f(a) - f(row - a) - f(col - a) - f(all_ - row - col + a)
+
+    tables = n.select("*", F.explode(F.sequence(F.greatest(F.lit(0), row + col - all_), F.least(row, col))).alias("k"))
+    tail = tables.groupBy("feature").agg(F.sum(F.when(
+        log_p(F.col("k")) <= log_p(F.col("a")) + 1e-7, F.exp(log_p(F.col("k")))).otherwise(0.0)).alias("p"))
+    return n.join(tail, "feature").select(
+        "feature", safe_div((F.col("a") * F.col("d")).cast("double"), (F.col("b") * F.col("c")).cast("double")).alias("statistic"),
+        F.least(F.col("p"), F.lit(1.0)).alias("p_value"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sigframe.functions.columns import round_sig
 from sigframe.operators import selection as V
 from sigframe.operators.features.autocorr import partial_autocorrelation
 from sigframe.operators.features.extract import MINIMAL, extract
@@ -84,6 +85,17 @@ def _features_targets(spark, d):
     return _features(spark, d, s), _targets(spark, d, s)
 
 
+def comparable(features):
+    """Values as the oracle compares them (9 digits): two engines add in different
+    orders, so ties differ in their last bits.  The operators compare values as they are."""
+    return features.withColumn("value", round_sig("value"))
+
+
+def _feature_max(series):
+    """A real-valued target that features predict: each series' largest ``x_0``."""
+    return series.where(F.col("channel") == "x_0").groupBy("series_id").agg(F.max("x").alias("target"))
+
+
 @register("features_imputed", "F-38 F-39 V-9",
           with_ctes(FEATURES_CTE, f"SELECT series_id, feature, {r('value', 'value')} FROM imp"))
 def q_features_imputed(spark, d):
@@ -99,21 +111,23 @@ def q_features_pacf(spark, d):
           with_ctes(FEATURES_CTE, """SELECT feature, n_distinct,
   CASE WHEN n_distinct <= 1 THEN 'constant' WHEN n_distinct = 2 THEN 'binary' ELSE 'real' END AS kind FROM kinds"""))
 def q_selection_kinds(spark, d):
-    return V.feature_kinds(_features(spark, d))
+    return V.feature_kinds(comparable(_features(spark, d)))
 
 
 @register("selection_pvalues", "V-2 V-3 V-6",
           with_ctes(PVALUES_CTE, f"SELECT feature, kind, {r('statistic', 'statistic')}, {r('p_value', 'p_value')} "
                                  "FROM pv"))
 def q_selection_pvalues(spark, d):
-    return V.feature_pvalues(*_features_targets(spark, d))
+    feats, targets = _features_targets(spark, d)
+    return V.feature_pvalues(comparable(feats), targets)
 
 
 @register("selection_relevance", "V-7",
           with_ctes(PVALUES_CTE, f"SELECT feature, kind, {r('statistic', 'statistic')}, {r('p_value', 'p_value')}, "
                                  f"rank, {r('threshold', 'threshold')}, relevant FROM rel"))
 def q_selection_relevance(spark, d):
-    return V.benjamini_yekutieli(V.feature_pvalues(*_features_targets(spark, d)))
+    feats, targets = _features_targets(spark, d)
+    return V.benjamini_yekutieli(V.feature_pvalues(comparable(feats), targets))
 
 
 @register("selection_apply", "V-8",
@@ -121,5 +135,47 @@ def q_selection_relevance(spark, d):
                                  "WHERE feature IN (SELECT feature FROM rel WHERE relevant)"))
 def q_selection_apply(spark, d):
     feats, targets = _features_targets(spark, d)
-    rel = V.benjamini_yekutieli(V.feature_pvalues(feats, targets))
+    rel = V.benjamini_yekutieli(V.feature_pvalues(comparable(feats), targets))
     return V.select_relevant(feats, rel)
+
+
+_REAL_CTE = PVALUES_CTE.replace(
+    "tg AS (SELECT DISTINCT series_id, CAST(target AS DOUBLE) AS target FROM series)",
+    "tg AS (SELECT series_id, max(x) AS target FROM series WHERE channel = 'x_0' GROUP BY series_id)")
+assert _REAL_CTE != PVALUES_CTE
+
+
+@register("selection_real_target", "V-2 V-3 V-7",
+          with_ctes(_REAL_CTE, f"SELECT feature, kind, {r('statistic', 'statistic')}, {r('p_value', 'p_value')}, "
+                               f"rank, {r('threshold', 'threshold')}, relevant FROM rel"))
+def q_selection_real_target(spark, d):
+    s = events_series(spark, d)
+    return V.benjamini_yekutieli(V.feature_pvalues(comparable(_features(spark, d, s)), _feature_max(s)))
+
+
+@register("selection_real_target_apply", "V-8",
+          with_ctes(_REAL_CTE, f"SELECT series_id, feature, {r('value', 'value')} FROM imp "
+                               "WHERE feature IN (SELECT feature FROM rel WHERE relevant)"))
+def q_selection_real_target_apply(spark, d):
+    s = events_series(spark, d)
+    feats = _features(spark, d, s)
+    return V.select_relevant(feats, V.benjamini_yekutieli(V.feature_pvalues(comparable(feats), _feature_max(s))))
+
+
+@register("selection_fisher", "V-5", with_ctes(FEATURES_CTE + """,
+bt AS (SELECT p.feature, p.value, p.value > min(p.value) OVER (PARTITION BY p.feature) AS hi, p.target = 0 AS one
+       FROM pts p JOIN kinds k USING (feature) WHERE k.n_distinct = 2),
+n AS (SELECT feature, count_if(hi AND one) AS a, count_if(hi AND NOT one) AS b, count_if(NOT hi AND one) AS c,
+             count_if(NOT hi AND NOT one) AS d FROM bt GROUP BY 1),
+t AS (SELECT *, unnest(range(greatest(0, b + a + a + c - (a + b + c + d) - b)::BIGINT, least(a + b, a + c)::BIGINT + 1)) AS k FROM n),
+q AS (SELECT *, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) AS m FROM t),
+l AS (SELECT *, m - lgamma(k + 1) - lgamma(a + b - k + 1) - lgamma(a + c - k + 1) - lgamma(d - a + k + 1) AS lk,
+        m - lgamma(a + 1) - lgamma(b + 1) - lgamma(c + 1) - lgamma(d + 1) AS la FROM q WHERE d - a + k >= 0)""",
+                                              f"""SELECT feature, {r('any_value(CASE WHEN b * c <> 0 THEN a * d / CAST(b * c AS DOUBLE) END)', 'statistic')},
+  {r('least(sum(CASE WHEN lk <= la + 1e-7 THEN exp(lk) ELSE 0 END), 1.0)', 'p_value')} FROM l GROUP BY feature"""))
+def q_selection_fisher(spark, d):
+    feats, targets = _features_targets(spark, d)
+    feats = comparable(feats)
+    binary = V.feature_kinds(feats).where("kind = 'binary'").select("feature")
+    return V.fisher(feats.join(binary, "feature", "left_semi"),
+                    targets.withColumn("target", (F.col("target") == 0).cast("int")))
