@@ -7,12 +7,8 @@
   mean / variance from the rows that train that fold, log-likelihood sums for
   the test rows, argmax with ties to the lowest class.  Variance floor is
   1e-9 x the largest feature variance of the fold's training rows.
-* M-4 / J-8 / W-8 exact k-nearest neighbours without a cross join: rows are
-  placed on rings of their distance to a pivot row; by the triangle
-  inequality every neighbour within radius R of a test row lies in the rings
-  covering [d - R, d + R].  Phase 1 bounds R by the k-th nearest candidate in
-  the adjacent rings, phase 2 equi-joins exactly the covering rings; ties by
-  (distance, train id), vote ties to the lowest class.
+* M-4 / J-8 / W-8 exact k-nearest neighbours by blocks of rows
+  (``neighbours``); ties by (distance, train id), vote ties to the lowest class.
 * M-6..M-8 forest / boosted trees / ML naive Bayes via Spark ML, fitted per
   fold (a driver loop over folds, never over data); M-12 prediction with a
   stored pipeline.
@@ -22,18 +18,16 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigframe.functions.columns import hash_fold, round_sig
+from sigframe.functions.columns import hash_fold
+from sigframe.operators.neighbours import BLOCK_ROWS, nearest, vote
 
 N_FOLDS = 3
 HOLDOUT = 0.33
 KNN_K = 7
 VAR_SMOOTHING = 1e-9
-RINGS = 64
 
 
 def with_folds(matrix: DataFrame, key: str = "id", k: int = N_FOLDS) -> DataFrame:
@@ -83,76 +77,13 @@ def _argmax(scores: DataFrame) -> DataFrame:
                                                   "p_true")
 
 
-def euclidean(a: Column | str, b: Column | str) -> Column:
-    """Euclidean distance of two equal-length double arrays (sequential sum)."""
-    sq = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda s, v: s + v))
-
-
-def _pair_distance():
-    """Arrow-batched distance of two array columns (numpy over the batch; the
-    per-element sum runs in index order, like the sequential SQL fold)."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("double")
-    def dist(a: pd.Series, b: pd.Series) -> pd.Series:
-        if len(a) == 0:
-            return pd.Series([], dtype="float64")
-        xa, xb = np.stack(a.to_numpy()), np.stack(b.to_numpy())
-        acc = np.zeros(len(a))
-        for j in range(xa.shape[1]):
-            d = xa[:, j] - xb[:, j]
-            acc = acc + d * d
-        return pd.Series(np.sqrt(acc))
-
-    return dist
-
-
-def knn_cv(matrix: DataFrame, k: int = KNN_K, n_folds: int = N_FOLDS, rings: int = RINGS) -> DataFrame:
-    """M-4 exact k-NN under k-fold CV: ``(fold, id, y, yhat)``.
-
-    Rings are equi-depth (ranked distance to the pivot), so every ring — and
-    every join partition on the ring key — holds the same number of rows.
-    """
-    dist = _pair_distance()
-    # bounded driver values: one pivot vector and the ring bounds (rings + 1 numbers)
-    pivot_vec = matrix.orderBy("id").select("features").first()[0]
-    pivot = F.array(*[F.lit(float(v)) for v in pivot_vec])
-    rows = matrix.select("id", F.col("target").alias("y"), "fold", "features",
-                         euclidean("features", pivot).alias("dp"))
-    # ring bounds only shape the partitioning (exactness comes from the radius
-    # test), so a bounded-memory approximate quantile sketch is enough
-    bounds = rows.agg(F.percentile_approx("dp", [i / rings for i in range(rings + 1)], 10000)).first()[0]
-    lower = F.array(*[F.lit(float(b)) for b in bounds[:-1]])
-    ring_of = lambda v: (F.size(F.filter(lower, lambda b: b <= v)) - 1).cast("bigint")
-    rows = rows.withColumn("ring", F.greatest(ring_of(F.col("dp")), F.lit(0).cast("bigint")))
-    train = rows.select(F.col("id").alias("tid"), F.col("y").alias("ty"), F.col("fold").alias("tfold"),
-                        F.col("features").alias("tf"), "ring")
-    test = rows.select("id", "y", "fold", "features", "dp", F.col("ring").alias("qring"))
-
-    def neighbours(q: DataFrame) -> DataFrame:
-        pairs = q.join(train, "ring").filter(F.col("tfold") != F.col("fold"))
-        return pairs.withColumn("dist", round_sig(dist("features", "tf")))
-
-    # phase 1: radius bound from the k-th nearest candidate of the adjacent rings
-    near = neighbours(test.withColumn("ring", F.explode(F.sequence(F.col("qring") - 1, F.col("qring") + 1))))
-    wk = Window.partitionBy("id").orderBy("dist", "tid")
-    kth = near.withColumn("_r", F.row_number().over(wk)).filter(F.col("_r") == k).select("id", F.col("dist").alias("R"))
-    bound = test.join(kth, "id", "left")
-    big = F.lit(float("inf"))
-    radius = F.coalesce(F.col("R"), big)
-    # covering rings of [dp - R, dp + R]; one extra ring each side absorbs distance rounding
-    first = F.when(radius == big, F.lit(0).cast("bigint")).otherwise(ring_of(F.col("dp") - radius) - 1)
-    last = F.when(radius == big, F.lit(rings).cast("bigint")).otherwise(ring_of(F.col("dp") + radius) + 1)
-    covered = bound.withColumn("ring", F.explode(F.sequence(F.greatest(first, F.lit(0).cast("bigint")),
-                                                          F.least(last, F.lit(rings - 1).cast("bigint")))))
-    # phase 2: exact neighbours among the covering rings
-    cand = neighbours(covered.withColumn("_rad", radius).drop("R")).filter(F.col("dist") <= F.col("_rad"))
-    top = cand.withColumn("_r", F.row_number().over(wk)).filter(F.col("_r") <= k)
-    votes = top.groupBy("fold", "id", "y", "ty").agg(F.count(F.lit(1)).alias("v"))
-    wv = Window.partitionBy("id").orderBy(F.col("v").desc(), F.col("ty"))
-    return votes.withColumn("_r", F.row_number().over(wv)).filter(F.col("_r") == 1).select(
-        "fold", "id", "y", F.col("ty").alias("yhat"))
+def knn_cv(matrix: DataFrame, k: int = KNN_K, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """M-4 exact k-NN under cross-validation: ``(fold, id, y, yhat)``; a row's
+    neighbours come from the other folds."""
+    rows = matrix.select("id", F.col("target").alias("y"), F.col("fold").alias("grp"), "features")
+    out = vote(nearest(rows, rows, k, block_rows))
+    return matrix.select("fold", "id", F.col("target").alias("y")).join(out, "id").select(
+        "fold", "id", "y", F.col("yhat").cast(matrix.schema["target"].dataType).alias("yhat"))
 
 
 # X-4: classifier registry (name -> factory(seed, fast) returning an ML estimator)

@@ -47,7 +47,7 @@ gnb AS (SELECT 'embeddings' AS dataset, 'GaussianNB' AS classifier, f AS fold, i
 _DIST = ("sqrt(list_reduce(list_transform(range(1, len(q.features) + 1), "
          "lambda i: (q.features[i] - t.features[i]) * (q.features[i] - t.features[i])), lambda s, v: s + v))")
 KNN_CTE = GNB_CTE + f""",
-kp AS (SELECT q.id, q.target AS y, q.fold, t.id AS tid, t.target AS ty, {rs(_DIST)} AS dist
+kp AS (SELECT q.id, q.target AS y, q.fold, t.id AS tid, t.target AS ty, {_DIST} AS dist
        FROM mx q JOIN mx t ON t.fold <> q.fold),
 kt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, tid) AS rr FROM kp)
        WHERE rr <= {M.KNN_K}),

@@ -87,10 +87,11 @@ def _points(spark, n=60, seed=3):
 
 def test_knn_exact_against_brute_force(spark):
     df = _points(spark)
-    got = {r["id"]: r["yhat"] for r in M.knn_cv(df, k=7).collect()}
+    got = {r["id"]: r["yhat"] for r in M.knn_cv(df, k=7, block_rows=9).collect()}
+    assert got == {r["id"]: r["yhat"] for r in M.knn_cv(df, k=7).collect()}
     rows = [(r["id"], r["target"], r["fold"], r["features"]) for r in df.collect()]
     for qid, _, qf, qx in rows:
-        cands = sorted((round(math.dist(qx, tx), 7), tid, ty) for tid, ty, tf, tx in rows if tf != qf)[:7]
+        cands = sorted((math.sqrt(sum((a - b) ** 2 for a, b in zip(qx, tx))), tid, ty) for tid, ty, tf, tx in rows if tf != qf)[:7]
         votes = {}
         for _, _, ty in cands:
             votes[ty] = votes.get(ty, 0) + 1
@@ -133,3 +134,20 @@ def test_ml_cv_beats_majority_and_is_repeatable(spark):
     assert acc > 0.5  # three balanced classes: majority baseline is about 1/3
     nb = M.ml_cv(df, "GaussianNB")
     assert nb.count() == df.count()
+
+
+def test_nearest_ranks_ties_by_id_and_survives_few_rows(spark):
+    from sigframe.operators.neighbours import nearest
+
+    schema = "id long, y int, grp int, features array<double>"
+    rows = [(i, i % 2, None if i == 9 else i % 3, [float(i // 3), 1e8]) for i in range(12)]
+    df = spark.createDataFrame(rows, schema)
+    for block_rows in (2, 100):
+        got = {}
+        for r in nearest(df, df, 4, block_rows).collect():
+            got.setdefault(r["id"], []).append((r["rank"], r["dist"], r["tid"]))
+        for i, _, g, x in rows:
+            cands = sorted((abs(x[0] - t[0]), j) for j, _, h, t in rows if h != g)[:4]
+            assert sorted(got[i]) == [(n + 1, d, j) for n, (d, j) in enumerate(cands)]
+    assert len(nearest(df, df.limit(1), 4).collect()) == 12 - sum(1 for r in rows if r[2] == 0)
+    assert nearest(df, df.limit(0), 4).collect() == [] and nearest(df.limit(0), df, 4).collect() == []
