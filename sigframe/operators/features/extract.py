@@ -12,18 +12,21 @@ from sigframe.operators.features import KEY
 from sigframe.operators.features.autocorr import autocorrelation, partial_autocorrelation
 from sigframe.operators.features.changes import changes
 from sigframe.operators.features.distribution import distribution
+from sigframe.operators.features.entropy import entropy
 from sigframe.operators.features.location import location
 from sigframe.operators.features.naming import feature_name, to_long
 from sigframe.operators.features.ordered import ordered
 from sigframe.operators.features.quantiles import quantiles
 from sigframe.operators.features.reoccurrence import reoccurrence
 from sigframe.operators.features.spectral import CWT_WIDTHS, cwt_coefficients, fft_coefficients, welch_density
+from sigframe.operators.features.spectrum import fft_aggregated
 from sigframe.operators.features.trend import change_quantiles, trend
 
 WIDE_FAMILIES = {
     "distribution": distribution, "quantiles": quantiles, "changes": changes, "autocorrelation": autocorrelation,
     "partial_autocorrelation": partial_autocorrelation, "location": location, "reoccurrence": reoccurrence,
     "ordered": ordered, "trend": trend, "change_quantiles": change_quantiles, "welch": welch_density,
+    "fft_aggregated": fft_aggregated, "entropy": entropy,
 }
 LONG_FAMILIES = ("fft", "cwt")
 MINIMAL = ("distribution",)

@@ -9,19 +9,21 @@
   1e-9 x the largest feature variance of the fold's training rows.
 * M-4 / J-8 / W-8 exact k-nearest neighbours by blocks of rows
   (``neighbours``); ties by (distance, train id), vote ties to the lowest class.
-* M-6..M-8 forest / boosted trees / ML naive Bayes via Spark ML, fitted per
-  fold (a driver loop over folds, never over data); M-12 prediction with a
-  stored pipeline.
+* M-6 forest and ML naive Bayes via Spark ML, fitted per fold (a driver loop
+  over folds, never over data); M-7 / M-8 softmax boosted trees (``boosting``);
+  M-12 prediction with a stored model.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigframe.functions.columns import hash_fold
+from sigframe.operators import boosting
 from sigframe.operators.neighbours import BLOCK_ROWS, nearest, vote
 
 N_FOLDS = 3
@@ -86,35 +88,42 @@ def knn_cv(matrix: DataFrame, k: int = KNN_K, block_rows: int = BLOCK_ROWS) -> D
         "fold", "id", "y", F.col("yhat").cast(matrix.schema["target"].dataType).alias("yhat"))
 
 
-# X-4: classifier registry (name -> factory(seed, fast) returning an ML estimator)
+# X-4: classifier registry (name -> factory(seed) returning an ML estimator)
 CLASSIFIERS: dict[str, object] = {}
 
+#: M-7, M-8: the presets of the softmax boosted trees.
+BOOSTED = {"BoostedTreesA": boosting.PRESET_A, "BoostedTreesB": boosting.PRESET_B}
+
 
 def register_classifier(name: str, factory) -> None:
-    """Add or replace a classifier factory ``factory(seed, fast) -> Estimator``."""
+    """Add or replace a classifier factory ``factory(seed) -> Estimator``."""
     CLASSIFIERS[name] = factory
 
 
-def ml_estimator(name: str, seed: int = 42, fast: bool = False):
-    """M-6..M-8 and ML naive Bayes with the source presets (Spark limits noted)."""
-    from pyspark.ml.classification import GBTClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
+def ml_estimator(name: str, seed: int = 42, **params):
+    """M-6, ML naive Bayes and registered classifiers with the source presets;
+    ``params`` replace a preset's own."""
+    from pyspark.ml.classification import NaiveBayes, RandomForestClassifier
 
     if name == "RandomForestClassifier":  # depth 32 exceeds Spark's limit of 30
-        return RandomForestClassifier(numTrees=10 if fast else 240, maxDepth=5 if fast else 30,
-                                      featureSubsetStrategy="log2", seed=seed)
-    if name == "BoostedTreesA":  # lr 0.05, depth 4, 320 rounds; min child weight ~ minInstancesPerNode
-        return OneVsRest(classifier=GBTClassifier(stepSize=0.05, maxDepth=4, maxIter=2 if fast else 320,
-                                                  minInstancesPerNode=4, seed=seed), parallelism=8)
-    if name == "BoostedTreesB":  # lr 0.1, depth 4, 80 rounds
-        return OneVsRest(classifier=GBTClassifier(stepSize=0.1, maxDepth=4, maxIter=2 if fast else 80,
-                                                  minInstancesPerNode=4, seed=seed), parallelism=8)
+        return RandomForestClassifier(**{"numTrees": 240, "maxDepth": 30, "featureSubsetStrategy": "log2", "seed": seed} | params)
     if name == "GaussianNB":
-        return NaiveBayes(modelType="gaussian")
+        return NaiveBayes(**{"modelType": "gaussian"} | params)
     if name in CLASSIFIERS:
-        return CLASSIFIERS[name](seed, fast)
+        return CLASSIFIERS[name](seed)
     raise ValueError(f"unknown classifier {name}")
 
 
+def boosted_cv(matrix: DataFrame, settings: boosting.Settings, n_folds: int = N_FOLDS) -> DataFrame:
+    """M-7 / M-8 under cross-validation, all folds' models grown together: ``(fold, id, y, yhat)``."""
+    out = None
+    for f, model in enumerate(boosting.fit_folds(matrix, settings, n_folds)):
+        pred = boosting.predict(model, matrix.where(F.col("fold") == f)).select(
+            "fold", "id", F.col("target").alias("y"), F.col("prediction").alias("yhat"))
+        out = pred if out is None else out.unionByName(pred)
+    return out
+
+
 def to_ml(matrix: DataFrame) -> DataFrame:
     """M-13 vector form for Spark ML: ``features`` vector and double ``label``."""
     from pyspark.ml.functions import array_to_vector
@@ -122,15 +131,17 @@ def to_ml(matrix: DataFrame) -> DataFrame:
     return matrix.withColumn("vec", array_to_vector("features")).withColumn("label", F.col("target").cast("double"))
 
 
-def ml_cv(matrix: DataFrame, name: str, n_folds: int = N_FOLDS, fast: bool = False) -> DataFrame:
-    """M-9 with an ML estimator: one fit per fold, predictions ``(fold, id, y, yhat)``."""
+def ml_cv(matrix: DataFrame, name: str, n_folds: int = N_FOLDS, **params) -> DataFrame:
+    """M-9 by name: predictions ``(fold, id, y, yhat)``; ML estimators are fitted once per fold."""
+    if name in BOOSTED:
+        return boosted_cv(matrix, replace(BOOSTED[name], **params), n_folds)
     # the vector table feeds every fold's fit: materialise it once
     from sigframe.session import cut_lineage
 
     data = cut_lineage(to_ml(matrix))
     out = None
     for f in range(n_folds):
-        est = ml_estimator(name, fast=fast)
+        est = ml_estimator(name, **params)
         est = est.setFeaturesCol("vec").setLabelCol("label")
         model = est.fit(data.filter(F.col("fold") != f))
         pred = model.transform(data.filter(F.col("fold") == f)).select(
@@ -139,15 +150,19 @@ def ml_cv(matrix: DataFrame, name: str, n_folds: int = N_FOLDS, fast: bool = Fal
     return out
 
 
-def fit_pipeline(matrix: DataFrame, name: str, fast: bool = False):
-    """M-10 / S-12: fit one classifier on all rows as a persistable PipelineModel."""
+def fit_pipeline(matrix: DataFrame, name: str, **params):
+    """M-10 / S-12: fit one classifier on all rows as a persistable model: a
+    PipelineModel, or the trees of a boosted preset."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler  # noqa: F401  (kept for pipeline users)
 
-    est = ml_estimator(name, fast=fast).setFeaturesCol("vec").setLabelCol("label")
+    if name in BOOSTED:
+        return boosting.fit(matrix, replace(BOOSTED[name], **params))
+    est = ml_estimator(name, **params).setFeaturesCol("vec").setLabelCol("label")
     return Pipeline(stages=[est]).fit(to_ml(matrix))
 
 
 def predict(model, matrix: DataFrame) -> DataFrame:
-    """M-12: apply a stored pipeline: ``(id, prediction)``."""
+    """M-12: apply a stored model: ``(id, prediction)``."""
+    if isinstance(model, boosting.Model):
+        return boosting.predict(model, matrix).select("id", "prediction")
     return model.transform(to_ml(matrix)).select("id", F.col("prediction").cast("int").alias("prediction"))

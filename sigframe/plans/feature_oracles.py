@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sigframe.operators.features.autocorr import AGG_MAXLAG, AGG_VAR_EPS, AUTOCORR_LAGS, VAR_EPS
 from sigframe.operators.features.changes import C3_LAGS, CROSSING_M
+from sigframe.operators.features.entropy import APPROXIMATE_R, SAMPLE_R
 from sigframe.operators.features.distribution import LARGE_STD_R, VALUE_COUNT_VALUES
 from sigframe.operators.features.naming import column_name as cn
 from sigframe.plans.oracle import r
@@ -384,3 +385,41 @@ dl(series_id, channel, k, phi, pacf) AS (
   FROM dl d JOIN rh ON rh.series_id = d.series_id AND rh.channel = d.channel WHERE d.k < {kmax})
 SELECT dl.series_id, dl.channel, {", ".join(pacf_cols)}, {", ".join(ar_cols)}
 FROM dl JOIN rh USING ({K}) WHERE dl.k = {kmax}"""
+
+
+def fft_aggregated_sql(src: str = "series") -> str:
+    two_pi = repr(2 * math.pi)
+    arg = f"({two_pi} * ((k.coeff * a.t) % nn.n) / nn.n)"
+    cols = [r("m1", cn("fft_aggregated", aggtype="centroid")), r("var", cn("fft_aggregated", aggtype="variance")),
+            r("CASE WHEN var >= 0.5 THEN (m3 - 3 * m1 * var - m1 * m1 * m1) / pow(var, 1.5) END", cn("fft_aggregated", aggtype="skew")),
+            r("CASE WHEN var >= 0.5 THEN (m4 - 4 * m1 * m3 + 6 * m2 * m1 * m1 - 3 * pow(m1, 4)) / (var * var) END",
+              cn("fft_aggregated", aggtype="kurtosis"))]
+    moments = ", ".join(f"CASE WHEN sum(w) > 0 THEN sum(w * pow(coeff, {p})) / sum(w) END AS m{p}" for p in (1, 2, 3, 4))
+    return f"""
+SELECT {K}, {", ".join(cols)}
+FROM (SELECT *, m2 - m1 * m1 AS var FROM (SELECT {K}, {moments} FROM
+  (SELECT series_id, channel, coeff, sqrt(re * re + im * im) AS w FROM
+    (SELECT a.series_id, a.channel, k.coeff, sum(a.x * cos({arg})) AS re, -sum(a.x * sin({arg})) AS im
+     FROM {src} a JOIN (SELECT {K}, count(x) AS n FROM {src} GROUP BY {K}) nn USING ({K})
+     JOIN range(0, (SELECT max(n) FROM (SELECT count(*) AS n FROM {src} GROUP BY {K}))) k(coeff) ON k.coeff <= floor(nn.n / 2)
+     GROUP BY a.series_id, a.channel, k.coeff)) GROUP BY {K}))"""
+
+
+def entropy_sql(src: str = "series") -> str:
+    rs_ = ", ".join(f"({v})" for v in (SAMPLE_R, *APPROXIMATE_R))
+    cols = [r(f"CASE WHEN len <= 3 THEN 0 ELSE max(CASE WHEN r = {v} THEN abs(l2 / n2 - ln(n2) - l3 / n3 + ln(n3)) END) END",
+              cn("approximate_entropy", m=2, r=v)) for v in APPROXIMATE_R]
+    cols.append(r(f"max(CASE WHEN r = {SAMPLE_R} AND s3 > n3 AND s2 > n2 THEN -ln((s3 - n3) / (s2 - n2)) END)", "sample_entropy"))
+    return f"""WITH sd AS (SELECT {K}, stddev_pop(x) AS sdev, CAST(count(*) AS DOUBLE) AS len FROM {src} GROUP BY {K}),
+tpl AS (SELECT {K}, t, x AS a, lead(x, 1) OVER w AS b, lead(x, 2) OVER w AS c FROM {src}
+        WINDOW w AS (PARTITION BY {K} ORDER BY t)),
+mat AS (SELECT p.series_id, p.channel, p.t, rr.r, any_value(p.c) AS c, CAST(count(*) AS DOUBLE) AS c2,
+          CAST(count_if(abs(p.c - q.c) <= rr.r * sdev) AS DOUBLE) AS c3
+        FROM tpl p JOIN tpl q ON p.series_id = q.series_id AND p.channel = q.channel
+        JOIN sd ON sd.series_id = p.series_id AND sd.channel = p.channel CROSS JOIN (VALUES {rs_}) rr(r)
+        WHERE p.b IS NOT NULL AND q.b IS NOT NULL AND abs(p.a - q.a) <= rr.r * sdev AND abs(p.b - q.b) <= rr.r * sdev
+        GROUP BY p.series_id, p.channel, p.t, rr.r),
+per AS (SELECT {K}, r, CAST(count(*) AS DOUBLE) AS n2, sum(ln(c2)) AS l2, sum(c2) AS s2, CAST(count(c) AS DOUBLE) AS n3,
+          sum(CASE WHEN c IS NOT NULL THEN ln(c3) END) AS l3, sum(CASE WHEN c IS NOT NULL THEN c3 END) AS s3 FROM mat GROUP BY {K}, r)
+SELECT sd.series_id, sd.channel, {", ".join(cols)}
+FROM sd LEFT JOIN per ON per.series_id = sd.series_id AND per.channel = sd.channel GROUP BY sd.series_id, sd.channel, len"""

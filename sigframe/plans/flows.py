@@ -80,7 +80,7 @@ def feature_matrix(features: DataFrame) -> DataFrame:
 
 def build_models(matrix: DataFrame, dataset: str, classifiers: Sequence[str] = (
         "GaussianNB", "KNeighborsClassifier", "RandomForestClassifier", "BoostedTreesA", "BoostedTreesB"),
-                 catalog: Catalog | None = None, model_dir: str | None = None, fast: bool = False) -> DataFrame:
+                 catalog: Catalog | None = None, model_dir: str | None = None) -> DataFrame:
     """Entry C: CV scores per classifier for one dataset (and persisted models)."""
     matrix = cut_lineage(matrix)
     preds = []
@@ -90,10 +90,10 @@ def build_models(matrix: DataFrame, dataset: str, classifiers: Sequence[str] = (
         elif name == "KNeighborsClassifier":
             p = M.knn_cv(matrix)
         else:
-            p = M.ml_cv(matrix, name, fast=fast)
+            p = M.ml_cv(matrix, name)
         preds.append(p.select(F.lit(dataset).alias("dataset"), F.lit(name).alias("classifier"), "*"))
         if model_dir and name not in ("GaussianNB", "KNeighborsClassifier"):
-            save_model(M.fit_pipeline(matrix, name, fast=fast), f"{model_dir}/{dataset}_{name}")
+            save_model(M.fit_pipeline(matrix, name), f"{model_dir}/{dataset}_{name}")
     pred = preds[0]
     for p in preds[1:]:
         pred = pred.unionByName(p)

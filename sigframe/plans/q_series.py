@@ -158,7 +158,9 @@ def q_features_cwt(spark, d):
     return cwt_coefficients(events_series(spark, d))
 
 
+from sigframe.operators.features.entropy import entropy  # noqa: E402
 from sigframe.operators.features.spectral import welch_density  # noqa: E402
+from sigframe.operators.features.spectrum import fft_aggregated  # noqa: E402
 
 
 @register("features_welch", "F-34", with_ctes(SERIES_CTE, FO.welch_sql()))
@@ -166,6 +168,16 @@ def q_features_welch(spark, d):
     return welch_density(events_series(spark, d))
 
 
+@register("features_fft_aggregated", "F-33", with_ctes(SERIES_CTE, FO.fft_aggregated_sql()))
+def q_features_fft_aggregated(spark, d):
+    return fft_aggregated(events_series(spark, d))
+
+
+@register("features_entropy", "F-36", with_ctes(SERIES_CTE, FO.entropy_sql()))
+def q_features_entropy(spark, d):
+    return entropy(events_series(spark, d))
+
+
 def _all_long_sql() -> str:
     """Union of every family oracle in long form (F-39 names)."""
     wide = {
@@ -173,6 +185,7 @@ def _all_long_sql() -> str:
         "autocorrelation": FO.autocorrelation_sql(), "partial_autocorrelation": FO.pacf_sql(),
         "location": FO.location_sql(), "reoccurrence": FO.reoccurrence_sql(), "ordered": FO.ordered_sql(),
         "trend": FO.trend_sql(), "change_quantiles": FO.change_quantiles_sql(), "welch": FO.welch_sql(),
+        "fft_aggregated": FO.fft_aggregated_sql(), "entropy": FO.entropy_sql(),
     }
     ctes, parts = [], []
     for i, (name, sql) in enumerate(wide.items()):

@@ -120,3 +120,19 @@ def series_with_time(events: DataFrame) -> DataFrame:
         series_id("subject", "target"), "subject", "target", "t", "ts",
         F.stack(F.lit(2), F.lit("x_0"), "x_0", F.lit("x_1"), "x_1").alias("channel", "x"),
     ).select("series_id", "subject", "target", "channel", "t", "ts", "x")
+
+
+#: Columns of the small feature matrix of the series.
+SERIES_MATRIX = ("length", "mean", "minimum", "maximum", "variance", "abs_energy", "skewness", "kurtosis")
+
+
+def matrix_from_series(series: DataFrame) -> DataFrame:
+    """``series`` (x_0) -> ``(id, target, fold, features)``: eight statistics a series; those
+    that a short series lacks are null."""
+    from sigframe.operators.features.distribution import distribution
+    from sigframe.operators.models import with_folds
+
+    wide = distribution(series.where(F.col("channel") == "x_0"))
+    features = F.array(*[F.col(c).cast("double") for c in SERIES_MATRIX])
+    labels = series.select("series_id", F.col("target").cast("int").alias("target")).distinct()
+    return with_folds(wide.select("series_id", features.alias("features")).join(labels, "series_id").withColumnRenamed("series_id", "id"))

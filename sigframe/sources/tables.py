@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sigframe.operators import boosting
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -122,12 +124,20 @@ def kv_rows(series: DataFrame, dataset: str, atlas: str, prefix: str = "HCP_",
 
 
 def save_model(model, path: str) -> None:
-    """S-12: persist a fitted ``PipelineModel`` (overwrite)."""
-    model.write().overwrite().save(path)
+    """S-12: persist a fitted model (overwrite): a ``PipelineModel``, or boosted trees as one line of JSON."""
+    if isinstance(model, boosting.Model):
+        spark = SparkSession.active()
+        spark.createDataFrame([(model.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/boosted")
+    else:
+        model.write().overwrite().save(path)
 
 
 def load_model(path: str):
-    """S-12: load a persisted ``PipelineModel``."""
+    """S-12: load a model that ``save_model`` has written."""
+    from pyspark.errors import AnalysisException
     from pyspark.ml import PipelineModel
 
-    return PipelineModel.load(path)
+    try:
+        return boosting.Model.from_json(SparkSession.active().read.text(f"{path}/boosted").first()[0])
+    except AnalysisException:
+        return PipelineModel.load(path)

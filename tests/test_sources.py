@@ -45,7 +45,7 @@ def test_archive_listing_and_members(spark, tmp_path):
 def test_model_save_load_predict(spark, tmp_path):
     data = [(i, i % 2, [float(i % 2) + 0.01 * i, 1.0 - (i % 2)]) for i in range(40)]
     m = spark.createDataFrame(data, "id long, target int, features array<double>")
-    model = M.fit_pipeline(m, "RandomForestClassifier", fast=True)
+    model = M.fit_pipeline(m, "RandomForestClassifier", numTrees=10, maxDepth=5)
     path = str(tmp_path / "rf")
     from sigframe.sources.tables import load_model, save_model
 
