@@ -1,5 +1,5 @@
 """R-4 high-variance confounds and their removal (R-5 with a given
-orthonormal confound set), as distributed linear algebra.
+confound set), as distributed linear algebra.
 
 Per scan: voxel series are linearly detrended (``regr_*`` aggregates), the
 voxels whose mean square exceeds the scan's (100 - percentile) quantile are
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigframe.operators.features.quantiles import quantile_table
-from sigframe.session import cut_lineage
+from sigframe.session import cut_lineage, ship_package
 
 N_CONFOUNDS = 5
 PERCENTILE = 2.0
@@ -117,6 +117,7 @@ def high_variance_confounds(voxels: DataFrame, n_confounds: int = N_CONFOUNDS, p
                             iterations: int = ITERATIONS, oversample: int = OVERSAMPLE, basis: int = BASIS) -> DataFrame:
     """``(scan_id, t, c, u)``: ``n_confounds`` orthonormal time courses per scan.
     Raises if a scan has not converged after ``iterations`` blocks."""
+    ship_package(voxels.sparkSession)
     x = cut_lineage(high_variance_voxels(detrended_voxels(voxels), percentile))
     k = n_confounds + oversample
     times = x.where("t is not null").select("scan_id", "t").distinct()
@@ -137,13 +138,50 @@ def high_variance_confounds(voxels: DataFrame, n_confounds: int = N_CONFOUNDS, p
     raise RuntimeError(f"confounds of some scans have not converged after {iterations} iterations")
 
 
+#: Eigenvalues of a region's Gram matrix under this share of the largest count as 0.
+RANK = 1e-10
+
+
+def _least_squares(k: int):
+    @F.pandas_udf("array<double>")
+    def solve(gram: pd.Series, right: pd.Series) -> pd.Series:
+        """Coefficients from the upper triangle of U'U and U'x; smallest norm where U'U is singular."""
+        g = np.zeros((len(gram), k, k))
+        i, j = np.triu_indices(k)
+        g[:, i, j] = g[:, j, i] = np.array(gram.tolist()).reshape(len(gram), -1)
+        b = np.array(right.tolist()).reshape(len(gram), k)
+        vals, vecs = np.linalg.eigh(g)
+        keep = vals > RANK * np.maximum(vals[:, -1:], 1e-300)
+        inverse = np.where(keep, 1 / np.where(keep, vals, 1.0), 0.0)
+        beta = np.einsum("nij,nj,nkj,nk->ni", vecs, inverse, vecs, b)
+        return pd.Series(list(beta))
+    return solve
+
+
 def project_out(regions: DataFrame, confounds: DataFrame) -> DataFrame:
-    """R-5 / R-7 with orthonormal confounds ``(scan_id, t, c, u)``: residual
-    ``x - sum_c u_c <u_c, x>`` per (scan, label); assumes every region covers
-    the scan's time axis."""
-    beta = regions.join(confounds, ["scan_id", "t"]).groupBy("scan_id", "label", "c").agg(
-        F.sum(F.col("x") * F.col("u")).alias("beta"))
-    fitted = beta.join(confounds, ["scan_id", "c"]).groupBy("scan_id", "label", "t").agg(
-        F.sum(F.col("beta") * F.col("u")).alias("fit"))
-    return regions.join(fitted, ["scan_id", "label", "t"], "left").select(
-        "scan_id", "label", "t", (F.col("x") - F.coalesce(F.col("fit"), F.lit(0.0))).alias("x"))
+    """R-5 / R-7 with confounds ``(scan_id, t, c, u)``, c from 0: the least-squares residual
+    of each (scan, label) on the scan's confounds, over the points that the region has.
+
+    The k x k Gram matrix and the k products of a region are grouped sums, so
+    regions may lack time points (the confounds are then not orthonormal on the
+    rest).  Points at which the scan has no confounds, and null values, stay as they are."""
+    ship_package(regions.sparkSession)
+    top = confounds.agg(F.max("c")).first()[0]
+    if top is None:
+        return regions.select("scan_id", "label", "t", F.col("x").cast("double").alias("x"))
+    k = top + 1
+    wide = confounds.groupBy("scan_id", "t").agg(F.map_from_entries(F.collect_list(F.struct("c", "u"))).alias("_m"))
+    u = [F.coalesce(F.get(F.col("_u"), F.lit(c)), F.lit(0.0)) for c in range(k)]
+    wide = wide.select("scan_id", "t", F.array(*[F.try_element_at("_m", F.lit(c).cast("int")) for c in range(k)]).alias("_u"))
+    joined = regions.join(wide, ["scan_id", "t"], "left")
+    has = joined.where(F.col("_u").isNotNull() & F.col("x").isNotNull())
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = has.groupBy("scan_id", "label").agg(
+        *[F.sum(u[i] * u[j]).alias(f"_g{n}") for n, (i, j) in enumerate(pairs)],
+        *[F.sum(F.col("x") * u[i]).alias(f"_b{i}") for i in range(k)])
+    beta = sums.select("scan_id", "label", _least_squares(k)(
+        F.array(*[F.col(f"_g{n}") for n in range(len(pairs))]), F.array(*[F.col(f"_b{i}") for i in range(k)])).alias("_beta"))
+    fit = sum((F.get(F.col("_beta"), F.lit(i)) * u[i] for i in range(1, k)), F.get(F.col("_beta"), F.lit(0)) * u[0])
+    return joined.join(beta, ["scan_id", "label"], "left").select(
+        "scan_id", "label", "t", F.when(F.col("_u").isNull() | F.col("_beta").isNull(), F.col("x").cast("double")).otherwise(
+            F.col("x") - fit).alias("x"))

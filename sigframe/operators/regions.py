@@ -4,9 +4,10 @@
 * A-3 / R-1 / R-2 region mean per (scan, label, t) — partial + final hash
   aggregate, so a hot scan or region is pre-combined map-side,
 * R-3 per-region standardisation,
-* R-5 / R-7 confound removal: OLS residual of each region on the confound
-  set {constant, global signal} (the global signal is the mean over regions
-  at each time point); fitted per (scan, label) with ``regr_*`` aggregates.
+* R-5 with {constant, global signal} as confounds (the global signal is the
+  mean over regions at each time point), fitted per (scan, label) with ``regr_*``
+  aggregates; R-7, the cleaning flag, takes out the high-variance confounds
+  (``confounds``).
 
 The atlas join carries no broadcast hint: its size is not bounded by
 construction, so AQE broadcasts it when its measured size is small and
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigframe.operators.confounds import high_variance_confounds, project_out
+
 REGION_KEY = ["scan_id", "label"]
 
 
@@ -56,10 +59,11 @@ def remove_confounds(regions: DataFrame, confound: DataFrame | None = None) -> D
 
 def region_time_series(voxels: DataFrame, atlas: DataFrame, clean: bool = False,
                        standardize: bool = False) -> DataFrame:
-    """R-2 / R-7: region series with the optional cleaning and standardisation flags."""
+    """R-2 / R-7: region series with the optional flags: ``clean`` takes out the scan's
+    high-variance confounds (R-4, R-5), ``standardize`` follows it."""
     out = region_series(voxels, atlas)
     if clean:
-        out = remove_confounds(out)
+        out = project_out(out, high_variance_confounds(voxels))
     if standardize:
         out = standardise_regions(out)
     return out

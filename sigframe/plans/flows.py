@@ -36,12 +36,27 @@ from sigframe.sources.tables import Catalog, save_model, write_runs
 
 def regions_as_series(regions: DataFrame, subjects: DataFrame) -> DataFrame:
     """Region table -> canonical long series: ``subjects(scan_id, subject, target)``
-    tags each scan; channels are ``x_<label>``; ``t`` is the dense position of
-    the sample time inside each channel (the original time is kept as ``time``)."""
+    tags each scan, and an optional ``run`` orders the scans of one subject and
+    class: a run's points follow the whole run before it.  Channels are
+    ``x_<label>``; ``t`` is the dense position inside each channel (the original
+    time is kept as ``time``)."""
+    run = F.col("run") if "run" in subjects.columns else F.lit(0)
     tagged = regions.join(subjects, "scan_id").select(
-        (F.col("subject").cast("bigint") * 100 + F.col("target")).alias("series_id"), "subject", "target",
-        F.concat(F.lit("x_"), F.col("label").cast("string")).alias("channel"), F.col("t").alias("time"), "x")
-    return dense_index(tagged, ["series_id", "channel"], ["time"])
+        series_key(F.col("subject"), F.col("target")).alias("series_id"), "subject", "target",
+        F.concat(F.lit("x_"), F.col("label").cast("string")).alias("channel"), run.alias("_run"), "scan_id",
+        F.col("t").alias("time"), "x")
+    return dense_index(tagged, ["series_id", "channel"], ["_run", "time", "scan_id"]).drop("_run", "scan_id")
+
+
+#: Classes that a series key has room for.
+MOST_TARGETS = 1 << 20
+
+
+def series_key(subject, target):
+    """One number for each pair of subject and class code (0 to ``MOST_TARGETS`` - 1; others raise)."""
+    fits = target.between(0, MOST_TARGETS - 1)
+    return F.when(fits, subject.cast("bigint") * MOST_TARGETS + target).otherwise(
+        F.raise_error(F.concat(F.lit("class code out of range: "), target.cast("string"))))
 
 
 def extract_regions(voxels: DataFrame, atlas: DataFrame, subjects: DataFrame, catalog: Catalog | None = None,

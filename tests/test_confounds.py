@@ -68,3 +68,26 @@ def test_confounds_of_a_flat_spectrum_converge(spark, basis):
     assert np.allclose(u @ u.T, ref @ ref.T, atol=1e-6)
     with pytest.raises(RuntimeError, match="not converged"):
         C.high_variance_confounds(df, percentile=60.0, iterations=2)
+
+
+def test_project_out_on_ragged_grids_equals_lstsq(spark):
+    rng = np.random.default_rng(6)
+    conf, rows, want = [], [], {}
+    for scan in (1, 2):
+        u = np.linalg.qr(rng.normal(size=(30, 3)))[0]
+        conf += [(scan, t, c, float(u[t, c])) for t in range(30) for c in range(3)]
+        present = {0: range(30), 1: range(0, 30, 2), 2: range(2), 3: [5], 4: sorted(rng.choice(30, 11, replace=False))}
+        for label, ts in present.items():
+            ts = [int(t) for t in ts]
+            x = 10 + rng.normal(size=len(ts))
+            rows += [(scan, label, t, float(v)) for t, v in zip(ts, x)]
+            want |= {(scan, label, t): v for t, v in zip(ts, x - u[ts] @ np.linalg.lstsq(u[ts], x, rcond=1e-8)[0])}
+    rows += [(1, 0, 99, 4.0), (3, 0, 0, 7.0)]  # a time and a scan without confounds
+    want |= {(1, 0, 99): 4.0, (3, 0, 0): 7.0}
+    regions = spark.createDataFrame(rows, "scan_id long, label int, t long, x double")
+    confounds = spark.createDataFrame(conf, "scan_id long, t long, c int, u double")
+    got = {(r["scan_id"], r["label"], r["t"]): r["x"] for r in C.project_out(regions, confounds).collect()}
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(v, abs=1e-6) for k, v in want.items())
+    same = C.project_out(regions, confounds.limit(0)).collect()
+    assert sorted(r["x"] for r in same) == sorted(r[3] for r in rows)

@@ -35,3 +35,13 @@ def test_resting_regions_written_per_run(spark, tmp_path):
     back = cat.read_table("cleaned")
     assert back.count() == out.count() > 0
     assert {r["run"] for r in back.select("run").distinct().collect()} <= {"REST1", "REST2"}
+
+
+def test_runs_of_a_subject_follow_each_other_and_keys_do_not_collide(spark):
+    regions = spark.createDataFrame([(s, 1, t, float(100 * s + t)) for s in (1, 2) for t in range(3)] + [(3, 1, 0, 5.0), (4, 1, 0, 6.0)],
+                                    "scan_id long, label int, t long, x double")
+    subjects = spark.createDataFrame([(1, 9, 0, "RL"), (2, 9, 0, "LR"), (3, 7, 100, "LR"), (4, 8, 0, "LR")],
+                                     "scan_id long, subject long, target int, run string")
+    out = flows.regions_as_series(regions, subjects).orderBy("series_id", "t").collect()
+    assert [r["x"] for r in out if r["subject"] == 9] == [200.0, 201.0, 202.0, 100.0, 101.0, 102.0]
+    assert len({r["series_id"] for r in out}) == 3 and [r["t"] for r in out if r["subject"] == 9] == list(range(6))
