@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigframe.functions.columns import sanitize_name
+from sigframe.session import cut_lineage
 
 FILL = -1.0
 # Bookkeeping columns that are never features.
@@ -65,13 +66,18 @@ def assemble(features: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """M-13: ``(series_id, features array<double>)`` with -1 for missing cells.
 
     Each series row holds one value per feature (width bounded by the
-    feature set, not by the data).
+    feature set, not by the data): its cells and a fill for each position that has
+    none, sorted by position, so a row's cost is that of sorting its width.
     """
+    features = cut_lineage(features)  # read for the names and for the cells
     index = index if index is not None else feature_index(features)
     # one number (the feature count) comes back to the driver to shape the vectors
     width = index.agg(F.max("idx") + 1).first()[0]
+    if width is None:
+        return features.select("series_id", F.array().cast("array<double>").alias("features")).limit(0)
     cells = features.join(index, "feature").groupBy("series_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("_m"))
-    vec = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(width - 1).cast("bigint")),
-                      lambda i: F.coalesce(F.element_at("_m", i), F.lit(FILL)))
+        F.collect_list(F.struct("idx", F.coalesce("value", F.lit(FILL)).alias("value"))).alias("_c"))
+    all_of = F.sequence(F.lit(0).cast("bigint"), F.lit(width - 1).cast("bigint"))
+    missing = F.transform(F.array_except(all_of, F.col("_c.idx")), lambda i: F.struct(i.alias("idx"), F.lit(FILL).alias("value")))
+    vec = F.transform(F.sort_array(F.concat("_c", missing)), lambda c: c["value"])
     return cells.select("series_id", vec.alias("features"))
