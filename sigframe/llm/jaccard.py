@@ -8,10 +8,11 @@ much, and else verified on whole sets.
 
 Links are found component by component, and exactly.  First every class is
 verified against one other that it meets most often, and what that links is
-contracted, so that a group of copies costs a pair a member.  Then all pairs
-that still lie in different components are filtered, and verified in rounds: two
-in which every class tries its best connected partner, each followed by a
-contraction, and a last one with every pair that is left.
+contracted, so that a group of copies costs a pair a member.  Then the classes of
+every signature that still holds several components meet in cells, each with its
+whole set.  A cell verifies the pairs in it that share a signature and lie in
+different components, and returns a spanning forest of the links it finds: fewer
+rows than it has members, however many pairs it compared.
 """
 
 from __future__ import annotations
@@ -23,21 +24,21 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigframe.llm.common import components, written
+from sigframe.llm.common import components, unused, written
 from sigframe.llm.segments import signatures
 from sigframe.llm.shingles import shingle_sets
 
-#: Rounds of best partners before all remaining pairs are verified.
-ROUNDS = 2
 #: Signatures that a map task gathers before it deals them out, and that a bucket holds, about.
 FLUSH = BUCKET = 1 << 20
 #: Members of one signature in one flush from which they pass by the buckets.
 FREQUENT = 64
-#: Members of one signature that are compared in one task.
-BLOCK = 2048
+#: Members and bytes of token hashes of one block of classes; a cell holds two at most.
+BLOCK, BYTES = 2048, 1 << 24
+#: Tokens that are looked up at a time.
+LOOKUP = 1 << 21
 #: Ids that a broadcast may hold (8 bytes each).
 SMALL = 200_000
 
@@ -222,84 +223,110 @@ def _allowed(pairs: DataFrame, classes: DataFrame, p: int, q: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInPandas(run, "a long, b long")
 
 
-def _apart(members: DataFrame, comp: DataFrame, classes: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs that share a signature, lie in different components, and that
-    sizes and histograms allow.
+def _blocks(many: str, weight: str) -> Column:
+    """Blocks for ``many`` classes that have ``weight`` tokens in all."""
+    return F.ceil(F.greatest(F.col(many) / BLOCK, F.col(weight) * 8 / BYTES))
 
-    Signatures of one component are done.  The others are dealt to tasks many at
-    a time; one of more than ``BLOCK`` members is cut into blocks, and every two
-    blocks are a task of their own."""
+
+def _apart(members: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(g, blocks, fp, comp, n, sigs)``: the classes of each group that has to be
+    compared, with the signatures by which they are in it.
+
+    Signatures of one component are done.  The others are grouped by the smallest
+    class that is two signatures away at most, so that the many signatures of one
+    family of texts are one group, and a class is sent there once.  Where a group
+    is so large that cutting it into pairs of blocks would send more classes than
+    its signatures have members, each signature is a group of its own."""
     m = members.join(comp, F.col("fp") == F.col("node"), "left").select(
         "sig", "fp", F.coalesce("component", "fp").alias("comp"))
-    mixed = m.groupBy("sig").agg(F.count(F.lit(1)).alias("many"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    mixed = mixed.where("lo < hi").select("sig", "many")
-    m = written(m.join(mixed, "sig"))
-    tasks = max(1, math.ceil(m.count() / (8 * BLOCK)))
-    blocks = F.ceil(F.col("many") / BLOCK)
-    block = F.pmod(F.xxhash64("fp"), blocks)
-    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(
-        F.least(block, j).alias("i"), F.greatest(block, j).alias("j")))
-    m = m.join(classes.select("fp", "n", "hist"), "fp").withColumn("block", block).select(
-        "sig", "fp", "comp", "n", "hist", "block", F.explode(cells).alias("cell"), "many")
-    m = m.withColumn("task", F.when(F.col("many") <= BLOCK, F.struct(
-        F.pmod(F.xxhash64("sig"), F.lit(tasks)).alias("s"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j")))
-        .otherwise(F.struct(F.col("sig").alias("s"), F.col("cell.i").alias("i"), F.col("cell.j").alias("j"))))
+    mixed = m.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
+    m = written(m.join(mixed, "sig").join(classes.select("fp", "n"), "fp"))
+    sigs = m.groupBy("sig").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("weight"), F.min("fp").alias("lead"))
+    sigs = written(sigs.select("sig", "lead", "many", _blocks("many", "weight").alias("blocks")))
+    near = m.join(sigs.select("sig", "lead"), "sig").groupBy("fp").agg(F.min("lead").alias("near"))
+    labels = written(m.join(near, "fp").groupBy("sig").agg(F.min("near").alias("label")))
+    whole = m.join(labels, "sig").groupBy("label", "fp").agg(F.first("n").alias("n")).groupBy("label").agg(
+        F.count(F.lit(1)).alias("many"), F.sum("n").alias("weight"))
+    whole = whole.select("label", "many", _blocks("many", "weight").alias("whole"))
+    apart = labels.join(sigs, "sig").groupBy("label").agg(F.sum(F.col("many") * F.col("blocks")).alias("cost"))
+    fits = whole.join(apart, "label").where("many * whole <= cost").select("label", "whole")
+    group = labels.join(sigs, "sig").join(fits, "label", "left").select(
+        "sig", F.when(F.col("whole").isNull(), F.col("sig")).otherwise(F.col("label")).alias("g"),
+        F.coalesce("whole", "blocks").alias("blocks"))
+    return m.join(group, "sig").groupBy("g", "blocks", "fp", "comp", "n").agg(F.collect_list("sig").alias("sigs"))
+
+
+def _forest(fp: np.ndarray, comp: np.ndarray, block: np.ndarray, sigs: list[np.ndarray], sets: list[np.ndarray],
+            whole: bool, p: int, q: int) -> list[tuple[int, int]]:
+    """A spanning forest, over components, of the links of classes that share a
+    signature; without ``whole`` only of those between two blocks."""
+    n = np.array([len(x) for x in sets])
+    word = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.concatenate([[0], np.cumsum(n)])
+    seen = np.zeros(int(word.max()) + 1, dtype=bool)
+    label = np.unique(comp, return_inverse=True)[1]
+    row = np.repeat(np.arange(len(fp)), [len(x) for x in sigs])
+    sig = np.concatenate(sigs)
+    order = np.lexsort((row, sig))
+    end = np.searchsorted(sig[order], sig, side="right")  # of the signature's members, for each membership
+    member, place = row[order], np.empty(len(row), dtype=np.int64)
+    place[order] = np.arange(len(row))
+    own = np.concatenate([[0], np.cumsum([len(x) for x in sigs])])
+    links: list[tuple[int, int]] = []
+    for i in range(len(fp)):
+        meets = np.zeros(len(fp), dtype=bool)
+        for x, y in zip(place[own[i]:own[i + 1]].tolist(), end[own[i]:own[i + 1]].tolist(), strict=True):
+            meets[member[x + 1:y]] = True  # rows after i
+        meets &= (label != label[i]) & (q * np.minimum(n, n[i]) >= p * np.maximum(n, n[i]))
+        if not whole:
+            meets &= block != block[i]
+        others = np.flatnonzero(meets)
+        if not len(others):
+            continue
+        seen[word[start[i]:start[i + 1]]] = True
+        batch = np.cumsum(n[others]) // LOOKUP
+        for some in np.split(others, np.flatnonzero(np.diff(batch)) + 1):
+            first = np.concatenate([[0], np.cumsum(n[some])[:-1]])
+            at = np.repeat(start[some] - first, n[some]) + np.arange(int(n[some].sum()))
+            both = np.add.reduceat(seen[word[at]].astype(np.int64), first)
+            for j in some[q * both >= p * (n[i] + n[some] - both)].tolist():
+                if label[i] != label[j]:
+                    links.append((int(fp[i]), int(fp[j])))
+                    label[label == label[j]] = label[i]
+        seen[word[start[i]:start[i + 1]]] = False
+    return links
+
+
+def _joined(apart: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """Links ``(a, b)`` that connect the components in the groups ``apart``.
+
+    Groups of one block are dealt to tasks many at a time; of others every two
+    blocks are a cell of their own."""
+    rows = apart.join(sets, "fp")
+    tasks = math.ceil(8 * (apart.agg(F.sum("n")).first()[0] or 0) / BYTES) + 1
+    block = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(
+        F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    one = F.col("blocks") <= 1
+    rows = rows.withColumn("block", block).select(
+        "g", "fp", "comp", "block", "sigs", "tokens",
+        F.when(one, F.pmod(F.xxhash64("g"), F.lit(tasks))).otherwise(F.col("g")).alias("s"), one.alias("packed"),
+        F.explode(cells).alias("cell"))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["sig", "fp"], kind="stable")
-        sig, fp, comp, n, block = (rows[c].to_numpy() for c in ("sig", "fp", "comp", "n", "block"))
-        sets, at_row = np.unique(fp, return_index=True)
-        row = np.searchsorted(sets, fp)
-        hists = _Histograms(n[at_row], [rows["hist"].iloc[k] for k in at_row])
-        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        size = np.diff(first, append=len(sig))
-        whole = rows["i"].iloc[0] == rows["j"].iloc[0]
-        out = []
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
-        for a, g in zip(first.tolist(), size.tolist(), strict=True):
-            for at in range(a, a + g):
-                j = np.arange(at + 1, a + g)
-                j = j[(comp[j] != comp[at]) & (q * np.minimum(n[j], n[at]) >= p * np.maximum(n[j], n[at]))]
-                if not whole:
-                    j = j[block[j] != block[at]]
-                if len(j):
-                    waiting.append((np.full(len(j), at), j))
-                    held += len(j)
-                if held >= 100_000:
-                    out.append(_passed(waiting, fp, row, hists, p, q))
-                    waiting, held = [], 0
-        if waiting:
-            out.append(_passed(waiting, fp, row, hists, p, q))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    keyed = m.select("task.s", "task.i", "task.j", "sig", "fp", "comp", "n", "hist", "block")
-    return keyed.groupBy("s", "i", "j").applyInPandas(run, "a long, b long").distinct()
-
-
-def _passed(waiting: list, fp: np.ndarray, row: np.ndarray, hists: _Histograms, p: int, q: int) -> np.ndarray:
-    i, j = np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting])
-    ok = hists.near(row[i], row[j], p, q)
-    a, b = fp[i[ok]], fp[j[ok]]
-    return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
-
-
-def _best(pairs: DataFrame) -> DataFrame:
-    """For every class the one of its ``pairs`` whose other class has the most."""
-    both = pairs.union(pairs.select("b", "a"))
-    most = both.groupBy("b").agg(F.count(F.lit(1)).alias("many"))
-    best = both.join(most, "b").groupBy("a").agg(F.max(F.struct("many", "b")).alias("m")).select("a", "m.b")
-    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs whose classes lie in different components."""
-    def of(end: str) -> DataFrame:
-        return comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-
-    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(
-        F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        rows = rows.sort_values(["g", "fp"], kind="stable")
+        g = rows["g"].to_numpy()
+        cut = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+        out: list[tuple[int, int]] = []
+        for x, y in pairwise(cut):
+            part = rows.iloc[x:y]
+            out += _forest(part["fp"].to_numpy(), part["comp"].to_numpy(), part["block"].to_numpy(),
+                           [np.asarray(v, dtype=np.int64) for v in part["sigs"]],
+                           [np.frombuffer(v, np.uint64) for v in part["tokens"]], key[2] == key[3], p, q)
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    rows = rows.select("s", "packed", "cell.i", "cell.j", "g", "fp", "comp", "block", "sigs", "tokens")
+    return rows.groupBy("s", "packed", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -307,8 +334,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     of its text, the size and fingerprint of its shingle set, and the smallest
     fingerprint that links reach from it (null without words)."""
     p, q = percent, 100
-    if not 0 < p <= q:
-        raise ValueError("percent is over 0 and at most 100")
+    if not 50 <= p <= q:  # sets of two bands meet, so sizes may differ by a factor of two
+        raise ValueError("percent is at least 50 and at most 100")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text"))
     seen = written(_described(rows, k))
@@ -322,15 +349,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     first = written(_allowed(first.select(F.col("fp").alias("a"), F.col("best.leader").alias("b")), classes, p, q))
     links = written(_verified(first, _sets(rows, classes, _ends(first), k), p, q))
     comp = written(components(links))
-    rest = written(_apart(members, comp, classes, p, q))
-    sets = _sets(rows, classes, _ends(rest), k)
-    for turn in range(ROUNDS + 1):
-        if rest.isEmpty():
-            break
-        tried = written(_best(rest)) if turn < ROUNDS else rest
-        links = written(links.union(_verified(tried, sets, p, q)))
-        comp = written(components(links))
-        rest = written(_between(rest.join(tried, ["a", "b"], "left_anti"), comp)) if turn < ROUNDS else rest
+    apart = written(_apart(members, comp, classes))
+    found = written(_joined(apart, _sets(rows, classes, apart.select("fp").distinct(), k), p, q))
+    if not found.isEmpty():
+        comp = written(components(links.union(found)))
     return seen.join(comp, F.col("fp") == F.col("node"), "left").select(
         "id", "th", "n", "fp", F.coalesce("component", "fp").alias("component"))
 
@@ -364,15 +386,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each linked group: that of the smallest id
     (nulls last), of equal ids that of the smallest text hash, of fully repeated
-    ones any.  Documents without words are in no group and all stay."""
+    ones any.  Documents without words are in no group and all stay.  All columns
+    stay as they are, whatever their names."""
     linked = written(link(docs, id_col, text_col, k, percent)).where("component is not null")
     order = F.struct(F.col("id").isNull(), "id", "th")
     chosen = linked.groupBy("component").agg(F.min(order).alias("best")).select("best.id", "best.th")
-    own = docs.withColumn("_ng_th", F.xxhash64(F.col(text_col).cast("string")))
-    known = chosen.select(F.coalesce(F.col("id"), F.lit(-1)).alias("_ng_id"), F.col("id").isNull().alias("_ng_no"),
-                          F.col("th").alias("_ng_th"))
-    keys = ["_ng_id", "_ng_no", "_ng_th"]
-    own = own.withColumns({"_ng_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "_ng_no": F.col(id_col).isNull()})
+    keys = [unused(docs, c) for c in ("_ng_id", "_ng_no", "_ng_th")]
+    known = chosen.select(F.coalesce(F.col("id"), F.lit(-1)).alias(keys[0]), F.col("id").isNull().alias(keys[1]),
+                          F.col("th").alias(keys[2]))
+    own = docs.withColumns({keys[0]: F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), keys[1]: F.col(id_col).isNull(),
+                            keys[2]: F.xxhash64(F.col(text_col).cast("string"))})
     has = F.coalesce(F.regexp_like(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
     kept = own.where(has).join(known, keys, "left_semi").dropDuplicates(keys)
     return kept.select(*docs.columns).unionByName(docs.where(~has))

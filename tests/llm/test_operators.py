@@ -188,6 +188,55 @@ def test_join_equals_brute_force_with_dense_groups(spark):
     assert kept == set(want.values())
 
 
+@pytest.mark.parametrize("block", [3, 2048])
+def test_join_by_blocks_and_by_signatures_loses_no_link(spark, monkeypatch, block):
+    """Chains of texts that link only to their neighbours, around passages that all share; groups
+    larger than a block are cut into pairs of blocks or into their signatures."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = np.random.default_rng(31)
+    docs = {}
+    passage = [f"p{k}" for k in range(40)]
+    for c in range(4):
+        w = [f"c{c}w{k}" for k in range(120)]
+        for step in range(12):
+            docs[len(docs)] = " ".join(w + passage)
+            for k in rng.choice(120, 2, replace=False):
+                w[k] = f"c{c}s{step}x{k}"
+    for k in range(25):
+        docs[len(docs)] = " ".join([*passage, *(f"u{k}y{j}" for j in range(60))])
+    want, sizes = _groups(docs)
+    df = spark.createDataFrame([(d, t, 7, "x") for d, t in docs.items()], "doc_id long, text string, _ng_th int, fp string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df).collect()}
+    assert got == {i: (sizes[i], want[i]) for i in docs}
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns and {r["_ng_th"] for r in kept.collect()} == {7}
+    assert {r["doc_id"] for r in kept.collect()} == set(want.values())
+
+
+def test_forest_has_fewer_rows_than_members_and_misses_no_link():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 40, 30)).astype(np.uint64) for _ in range(80)]
+    fp, sigs = np.arange(80), [np.array([k % 3, 9], dtype=np.int64) for k in range(80)]
+    links = jaccard._forest(fp, fp // 2, fp % 2, sigs, sets, True, 60, 100)
+    assert len(links) < 40
+    def close(edges):
+        name = list(range(40))
+        for a, b in edges:
+            x, y = name[a // 2], name[b // 2]
+            name = [min(x, y) if v in (x, y) else v for v in name]
+        return name
+    brute = [(a, b) for a, b in itertools.combinations(range(80), 2) if 100 * len(np.intersect1d(sets[a], sets[b]))
+             >= 60 * len(np.union1d(sets[a], sets[b]))]
+    assert set(links) <= set(brute) and close(links) == close(brute)
+    across = jaccard._forest(fp, fp, fp % 2, sigs, sets, False, 60, 100)
+    assert across and all((a + b) % 2 for a, b in across)
+
+
+def test_join_refuses_shares_that_its_bands_cannot_serve(none):
+    with pytest.raises(ValueError):
+        jaccard.link(none, percent=49)
+
+
 def test_join_edges(spark, odd, none):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(odd).collect()),
                  key=str)
