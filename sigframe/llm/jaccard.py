@@ -9,10 +9,11 @@ much, and else verified on whole sets.
 Links are found component by component, and exactly.  First every class is
 verified against one other that it meets most often, and what that links is
 contracted, so that a group of copies costs a pair a member.  Then the classes of
-every signature that still holds several components meet in cells, each with its
-whole set.  A cell verifies the pairs in it that share a signature and lie in
-different components, and returns a spanning forest of the links it finds: fewer
-rows than it has members, however many pairs it compared.
+every signature that still holds several components meet in cells, twice: first
+with histograms only, which leaves the classes that some other one may link to,
+and those with their whole sets.  A cell verifies the pairs in it that share a
+signature and lie in different components, and returns a spanning forest of the
+links it finds: fewer rows than it has members, however many pairs it compared.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ FLUSH = BUCKET = 1 << 20
 FREQUENT = 64
 #: Members and bytes of token hashes of one block of classes; a cell holds two at most.
 BLOCK, BYTES = 2048, 1 << 24
-#: Tokens that are looked up at a time.
-LOOKUP = 1 << 21
+#: Tokens that are looked up at a time, and pairs of histograms compared at a time.
+LOOKUP, PAIRS = 1 << 21, 100_000
 #: Ids that a broadcast may hold (8 bytes each).
 SMALL = 200_000
 
@@ -256,33 +257,67 @@ def _apart(members: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame
     return m.join(group, "sig").groupBy("g", "blocks", "fp", "comp", "n").agg(F.collect_list("sig").alias("sigs"))
 
 
-def _forest(fp: np.ndarray, comp: np.ndarray, block: np.ndarray, sigs: list[np.ndarray], sets: list[np.ndarray],
-            whole: bool, p: int, q: int) -> list[tuple[int, int]]:
-    """A spanning forest, over components, of the links of classes that share a
-    signature; without ``whole`` only of those between two blocks."""
-    n = np.array([len(x) for x in sets])
-    word = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    start = np.concatenate([[0], np.cumsum(n)])
-    seen = np.zeros(int(word.max()) + 1, dtype=bool)
-    label = np.unique(comp, return_inverse=True)[1]
-    row = np.repeat(np.arange(len(fp)), [len(x) for x in sigs])
+def _partners(label: np.ndarray, n: np.ndarray, block: np.ndarray, sigs: list[np.ndarray], whole: bool, p: int,
+              q: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For every row the later ones that share a signature with it, have another
+    label (as it is at that time) and a size that can link; without ``whole`` only
+    those of the other block."""
+    row = np.repeat(np.arange(len(n)), [len(x) for x in sigs])
     sig = np.concatenate(sigs)
     order = np.lexsort((row, sig))
     end = np.searchsorted(sig[order], sig, side="right")  # of the signature's members, for each membership
     member, place = row[order], np.empty(len(row), dtype=np.int64)
     place[order] = np.arange(len(row))
     own = np.concatenate([[0], np.cumsum([len(x) for x in sigs])])
-    links: list[tuple[int, int]] = []
-    for i in range(len(fp)):
-        meets = np.zeros(len(fp), dtype=bool)
+    for i in range(len(n)):
+        meets = np.zeros(len(n), dtype=bool)
         for x, y in zip(place[own[i]:own[i + 1]].tolist(), end[own[i]:own[i + 1]].tolist(), strict=True):
-            meets[member[x + 1:y]] = True  # rows after i
+            if x + 1 < y:
+                meets[member[x + 1:y]] = True
         meets &= (label != label[i]) & (q * np.minimum(n, n[i]) >= p * np.maximum(n, n[i]))
         if not whole:
             meets &= block != block[i]
         others = np.flatnonzero(meets)
-        if not len(others):
-            continue
+        if len(others):
+            yield i, others
+
+
+def _hopeful(n: np.ndarray, comp: np.ndarray, block: np.ndarray, sigs: list[np.ndarray], hist: list[bytes], whole: bool,
+             p: int, q: int) -> np.ndarray:
+    """Rows that the histograms allow a link with a row of another component."""
+    hists, hope = _Histograms(n, hist), np.zeros(len(n), dtype=bool)
+    ones: list[np.ndarray] = []
+    twos: list[np.ndarray] = []
+    held = 0
+
+    def compare() -> None:
+        i, j = np.concatenate(ones), np.concatenate(twos)
+        ok = hists.near(i, j, p, q)
+        hope[i[ok]] = hope[j[ok]] = True
+
+    for i, others in _partners(comp, n, block, sigs, whole, p, q):
+        ones.append(np.full(len(others), i))
+        twos.append(others)
+        held += len(others)
+        if held >= PAIRS:
+            compare()
+            ones, twos, held = [], [], 0
+    if held:
+        compare()
+    return hope
+
+
+def _forest(fp: np.ndarray, comp: np.ndarray, block: np.ndarray, sigs: list[np.ndarray], sets: list[np.ndarray],
+            whole: bool, p: int, q: int) -> list[tuple[int, int]]:
+    """A spanning forest, over components, of the links of classes that share a
+    signature; without ``whole`` only of those between two blocks."""
+    n = np.array([len(x) for x in sets])
+    word = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.concatenate([[0], np.cumsum(n)])
+    seen = np.zeros(int(word.max()) + 1, dtype=bool)
+    label = np.unique(comp, return_inverse=True)[1]
+    links: list[tuple[int, int]] = []
+    for i, others in _partners(label, n, block, sigs, whole, p, q):
         seen[word[start[i]:start[i + 1]]] = True
         batch = np.cumsum(n[others]) // LOOKUP
         for some in np.split(others, np.flatnonzero(np.diff(batch)) + 1):
@@ -297,36 +332,59 @@ def _forest(fp: np.ndarray, comp: np.ndarray, block: np.ndarray, sigs: list[np.n
     return links
 
 
-def _joined(apart: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """Links ``(a, b)`` that connect the components in the groups ``apart``.
-
-    Groups of one block are dealt to tasks many at a time; of others every two
-    blocks are a cell of their own."""
-    rows = apart.join(sets, "fp")
-    tasks = math.ceil(8 * (apart.agg(F.sum("n")).first()[0] or 0) / BYTES) + 1
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+def _cells(rows: DataFrame, tasks: int) -> DataFrame:
+    """``rows`` (g, blocks, fp, ...) with the cell ``s, packed, i, j`` and the
+    ``block``: groups of one block go to ``tasks`` cells, many to each; of others
+    every two blocks are a cell of their own."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
     cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(
         F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    one = F.col("blocks") <= 1
-    rows = rows.withColumn("block", block).select(
-        "g", "fp", "comp", "block", "sigs", "tokens",
-        F.when(one, F.pmod(F.xxhash64("g"), F.lit(tasks))).otherwise(F.col("g")).alias("s"), one.alias("packed"),
-        F.explode(cells).alias("cell"))
+    packed = F.col("blocks") <= 1
+    return rows.select("*", F.when(packed, F.pmod(F.xxhash64("g"), F.lit(tasks))).otherwise(F.col("g")).alias("s"),
+                       packed.alias("packed"), F.explode(cells).alias("cell")).select(
+        "*", "cell.i", "cell.j").drop("cell", "blocks")
+
+
+def _groups(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The groups of a cell, each in the order of its classes."""
+    rows = rows.sort_values(["g", "fp"], kind="stable")
+    g = rows["g"].to_numpy()
+    for x, y in pairwise([0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]):
+        yield rows.iloc[x:y]
 
+
+def _tasks(apart: DataFrame) -> int:
+    return math.ceil(8 * (apart.agg(F.sum("n")).first()[0] or 0) / BYTES) + 1
+
+
+def _candidates(apart: DataFrame, classes: DataFrame, p: int, q: int) -> DataFrame:
+    """The rows of ``apart`` that the histograms allow a link, in blocks anew."""
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for part in _groups(rows):
+            hope = _hopeful(part["n"].to_numpy(), part["comp"].to_numpy(), part["block"].to_numpy(), list(part["sigs"]),
+                            list(part["hist"]), key[2] == key[3], p, q)
+            out.append(part.loc[hope, ["g", "fp"]])
+        return pd.concat(out)
+
+    cells = _cells(apart.join(classes.select("fp", "hist"), "fp"), _tasks(apart))
+    hope = cells.groupBy("s", "packed", "i", "j").applyInPandas(run, "g long, fp long").distinct()
+    kept = written(apart.drop("blocks").join(hope, ["g", "fp"]))
+    blocks = kept.groupBy("g").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("weight"))
+    return kept.join(blocks.select("g", _blocks("many", "weight").alias("blocks")), "g")
+
+
+def _joined(apart: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """Links ``(a, b)`` that connect the components in the groups ``apart``."""
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["g", "fp"], kind="stable")
-        g = rows["g"].to_numpy()
-        cut = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
         out: list[tuple[int, int]] = []
-        for x, y in pairwise(cut):
-            part = rows.iloc[x:y]
-            out += _forest(part["fp"].to_numpy(), part["comp"].to_numpy(), part["block"].to_numpy(),
-                           [np.asarray(v, dtype=np.int64) for v in part["sigs"]],
+        for part in _groups(rows):
+            out += _forest(part["fp"].to_numpy(), part["comp"].to_numpy(), part["block"].to_numpy(), list(part["sigs"]),
                            [np.frombuffer(v, np.uint64) for v in part["tokens"]], key[2] == key[3], p, q)
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    rows = rows.select("s", "packed", "cell.i", "cell.j", "g", "fp", "comp", "block", "sigs", "tokens")
-    return rows.groupBy("s", "packed", "i", "j").applyInPandas(run, "a long, b long")
+    cells = _cells(apart.join(sets, "fp"), _tasks(apart))
+    return cells.groupBy("s", "packed", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -349,7 +407,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     first = written(_allowed(first.select(F.col("fp").alias("a"), F.col("best.leader").alias("b")), classes, p, q))
     links = written(_verified(first, _sets(rows, classes, _ends(first), k), p, q))
     comp = written(components(links))
-    apart = written(_apart(members, comp, classes))
+    apart = written(_candidates(written(_apart(members, comp, classes)), classes, p, q))
     found = written(_joined(apart, _sets(rows, classes, apart.select("fp").distinct(), k), p, q))
     if not found.isEmpty():
         comp = written(components(links.union(found)))
