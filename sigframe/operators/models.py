@@ -9,6 +9,7 @@
   1e-9 x the largest feature variance of the fold's training rows.
 * M-4 / J-8 / W-8 exact k-nearest neighbours by blocks of rows
   (``neighbours``); ties by (distance, train id), vote ties to the lowest class.
+* ``knn`` has k-NN as a Spark ML estimator, to be stored and passed on.
 * M-6 forest and ML naive Bayes via Spark ML, fitted per fold (a driver loop
   over folds, never over data); M-7 / M-8 softmax boosted trees (``boosting``);
   M-12 prediction with a stored model.
@@ -17,6 +18,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 from sigframe.functions.columns import hash_fold
 from sigframe.operators import boosting
+from sigframe.operators.knn import NearestNeighbours
 from sigframe.operators.neighbours import BLOCK_ROWS, nearest, vote
 
 N_FOLDS = 3
@@ -95,16 +98,24 @@ CLASSIFIERS: dict[str, object] = {}
 BOOSTED = {"BoostedTreesA": boosting.PRESET_A, "BoostedTreesB": boosting.PRESET_B}
 
 
+#: A classifier's name, or a factory ``(seed) -> Estimator``.
+Classifier = str | Callable[[int], object]
+
+
 def register_classifier(name: str, factory) -> None:
     """Add or replace a classifier factory ``factory(seed) -> Estimator``."""
     CLASSIFIERS[name] = factory
 
 
-def ml_estimator(name: str, seed: int = 42, **params):
-    """M-6, ML naive Bayes and registered classifiers with the source presets;
-    ``params`` replace a preset's own."""
+def ml_estimator(name: Classifier, seed: int = 42, **params):
+    """M-6, ML naive Bayes, k-NN and registered classifiers with the source presets;
+    ``params`` replace a preset's own.  A factory in place of a name is called (X-4)."""
     from pyspark.ml.classification import NaiveBayes, RandomForestClassifier
 
+    if callable(name):
+        return name(seed)
+    if name == "KNeighborsClassifier":
+        return NearestNeighbours(**{"k": KNN_K} | params)
     if name == "RandomForestClassifier":  # depth 32 exceeds Spark's limit of 30
         return RandomForestClassifier(**{"numTrees": 240, "maxDepth": 30, "featureSubsetStrategy": "log2", "seed": seed} | params)
     if name == "GaussianNB":
@@ -131,9 +142,9 @@ def to_ml(matrix: DataFrame) -> DataFrame:
     return matrix.withColumn("vec", array_to_vector("features")).withColumn("label", F.col("target").cast("double"))
 
 
-def ml_cv(matrix: DataFrame, name: str, n_folds: int = N_FOLDS, **params) -> DataFrame:
+def ml_cv(matrix: DataFrame, name: Classifier, n_folds: int = N_FOLDS, **params) -> DataFrame:
     """M-9 by name: predictions ``(fold, id, y, yhat)``; ML estimators are fitted once per fold."""
-    if name in BOOSTED:
+    if isinstance(name, str) and name in BOOSTED:
         return boosted_cv(matrix, replace(BOOSTED[name], **params), n_folds)
     # the vector table feeds every fold's fit: materialise it once
     from sigframe.session import cut_lineage
@@ -150,12 +161,22 @@ def ml_cv(matrix: DataFrame, name: str, n_folds: int = N_FOLDS, **params) -> Dat
     return out
 
 
-def fit_pipeline(matrix: DataFrame, name: str, **params):
-    """M-10 / S-12: fit one classifier on all rows as a persistable model: a
+def cv_predictions(matrix: DataFrame, name: Classifier, n_folds: int = N_FOLDS, **params) -> DataFrame:
+    """M-9: ``(fold, id, y, yhat)`` of one classifier; the relational forms of naive
+    Bayes and k-NN serve all folds in one job."""
+    if name == "GaussianNB" and not params:
+        return gaussian_nb_cv(matrix, n_folds).drop("p_true")
+    if name == "KNeighborsClassifier" and not params:
+        return knn_cv(matrix)
+    return ml_cv(matrix, name, n_folds, **params)
+
+
+def fit_pipeline(matrix: DataFrame, name: Classifier, **params):
+    """M-10 / S-12: fit one classifier on all rows given as a persistable model: a
     PipelineModel, or the trees of a boosted preset."""
     from pyspark.ml import Pipeline
 
-    if name in BOOSTED:
+    if isinstance(name, str) and name in BOOSTED:
         return boosting.fit(matrix, replace(BOOSTED[name], **params))
     est = ml_estimator(name, **params).setFeaturesCol("vec").setLabelCol("label")
     return Pipeline(stages=[est]).fit(to_ml(matrix))

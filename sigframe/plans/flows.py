@@ -16,7 +16,8 @@ written tables, never with local checkpoints.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,31 +94,44 @@ def feature_matrix(features: DataFrame) -> DataFrame:
     return M.with_folds(vec.join(labels, "series_id").withColumnRenamed("series_id", "id"))
 
 
-def build_models(matrix: DataFrame, dataset: str, classifiers: Sequence[str] = (
-        "GaussianNB", "KNeighborsClassifier", "RandomForestClassifier", "BoostedTreesA", "BoostedTreesB"),
-                 catalog: Catalog | None = None, model_dir: str | None = None) -> DataFrame:
-    """Entry C: CV scores per classifier for one dataset (and persisted models)."""
+#: The classifiers that entry C compares.
+FIVE = ("GaussianNB", "KNeighborsClassifier", "RandomForestClassifier", "BoostedTreesA", "BoostedTreesB")
+
+
+def build_models(matrix: DataFrame, dataset: str, classifiers: Sequence[str] | Mapping[str, M.Classifier] = FIVE,
+                 catalog: Catalog | None = None, model_dir: str | None = None, last_fold: bool = False,
+                 params: Mapping[str, Mapping] | None = None) -> DataFrame:
+    """Entry C: CV scores per classifier for one dataset, and every model stored.
+
+    ``classifiers``: names, or names with factories ``(seed) -> Estimator`` (X-4).
+    With ``model_dir``, each classifier's model is saved under
+    ``<model_dir>/<dataset>_<classifier>``: fitted on all rows, or, with
+    ``last_fold``, on the rows that train the last fold.  ``params`` replaces
+    settings of a classifier's preset.
+    """
+    chosen = classifiers if isinstance(classifiers, Mapping) else {name: name for name in classifiers}
     matrix = cut_lineage(matrix)
+    train = matrix.where(F.col("fold") != M.N_FOLDS - 1) if last_fold else matrix
     preds = []
-    for name in classifiers:
-        if name == "GaussianNB":
-            p = M.gaussian_nb_cv(matrix).drop("p_true")
-        elif name == "KNeighborsClassifier":
-            p = M.knn_cv(matrix)
-        else:
-            p = M.ml_cv(matrix, name)
-        preds.append(p.select(F.lit(dataset).alias("dataset"), F.lit(name).alias("classifier"), "*"))
-        if model_dir and name not in ("GaussianNB", "KNeighborsClassifier"):
-            save_model(M.fit_pipeline(matrix, name), f"{model_dir}/{dataset}_{name}")
-    pred = preds[0]
-    for p in preds[1:]:
-        pred = pred.unionByName(p)
-    scores = A.cv_scores(pred)
+    for name, classifier in chosen.items():
+        own = (params or {}).get(name, {})
+        preds.append(M.cv_predictions(matrix, classifier, **own).select(
+            F.lit(dataset).alias("dataset"), F.lit(name).alias("classifier"), "fold", "id", "y", "yhat"))
+        if model_dir:
+            save_model(M.fit_pipeline(train, classifier, **own), f"{model_dir}/{dataset}_{name}")
+    scores = A.cv_scores(reduce(DataFrame.unionByName, preds))
     if catalog is not None:
         catalog.write_table(f"{dataset}_model", scores)
     return scores
 
 
+def compare_datasets(matrices: Mapping[str, DataFrame], classifiers: Sequence[str] | Mapping[str, M.Classifier] = FIVE,
+                     **settings) -> DataFrame:
+    """Entry C over several datasets: the score tables of ``build_models``, one
+    under the other, keyed by ``(dataset, classifier)`` (U-4, U-5, M-11)."""
+    return reduce(DataFrame.unionByName, [build_models(m, name, classifiers, **settings) for name, m in matrices.items()])
+
+
 def resting_regions(voxels: DataFrame, atlas: DataFrame, runs: DataFrame, catalog: Catalog, table: str) -> DataFrame:
     """Entry D: confound-cleaned region series written per subject and run.
 

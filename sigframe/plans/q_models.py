@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sigframe.functions.columns import round_sig
 from sigframe.operators import matrix as X
 from sigframe.operators import metrics as A
 from sigframe.operators import models as M
+from sigframe.operators.knn import NearestNeighbours
+from sigframe.plans.flows import compare_datasets
 from sigframe.plans.oracle import SERIES_CTE, r, rs, with_ctes
 from sigframe.plans.q_selection import FEATURES_CTE, _features
 from sigframe.plans.q_series import events_series
@@ -26,7 +29,7 @@ cl AS (SELECT i.series_id, n.clean_feature AS feature,
 MATRIX_CTE = f"""mx AS (SELECT vec_id AS id, label AS target, {FOLD_SQL.format(k='vec_id', n=M.N_FOLDS)} AS fold,
                  CAST(embedding AS DOUBLE[]) AS features FROM embeddings)"""
 
-GNB_CTE = MATRIX_CTE + f""",
+_GNB = f""",
 pts AS (SELECT id, target AS y, fold, generate_subscripts(features, 1) - 1 AS j, unnest(features) AS x FROM mx),
 tr AS (SELECT p.*, ff.f FROM pts p CROSS JOIN range(0, {M.N_FOLDS}) ff(f) WHERE ff.f <> p.fold),
 st AS (SELECT f, y, j, avg(x) AS mu, var_pop(x) AS var FROM tr GROUP BY 1, 2, 3),
@@ -43,10 +46,11 @@ ls AS (SELECT *, top + ln(sum(exp(score - top)) OVER (PARTITION BY f, id)) AS ls
 gnb AS (SELECT 'embeddings' AS dataset, 'GaussianNB' AS classifier, f AS fold, id, y, c AS yhat, p_true FROM (
           SELECT *, max(CASE WHEN c = y THEN exp(score - lse) END) OVER (PARTITION BY f, id) AS p_true FROM ls)
         WHERE rr = 1)"""
+GNB_CTE = MATRIX_CTE + _GNB
 
 _DIST = ("sqrt(list_reduce(list_transform(range(1, len(q.features) + 1), "
          "lambda i: (q.features[i] - t.features[i]) * (q.features[i] - t.features[i])), lambda s, v: s + v))")
-KNN_CTE = GNB_CTE + f""",
+_KNN = f""",
 kp AS (SELECT q.id, q.target AS y, q.fold, t.id AS tid, t.target AS ty, {_DIST} AS dist
        FROM mx q JOIN mx t ON t.fold <> q.fold),
 kt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, tid) AS rr FROM kp)
@@ -54,6 +58,7 @@ kt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist
 kv AS (SELECT fold, id, y, ty, count(*) AS v FROM kt GROUP BY 1, 2, 3, 4),
 knn AS (SELECT 'embeddings' AS dataset, 'KNeighborsClassifier' AS classifier, fold, id, y, ty AS yhat FROM (
           SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC, ty) AS rr FROM kv) WHERE rr = 1)"""
+KNN_CTE = GNB_CTE + _KNN
 
 SCORES_SQL = """SELECT dataset, classifier, fold, tp / n AS accuracy, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall,
   CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1
@@ -205,3 +210,59 @@ def q_model_forest(spark, d):
 def q_model_ml_nb(spark, d):
     return M.ml_cv(_matrix(spark, d), "GaussianNB").select(
         F.lit("embeddings").alias("dataset"), F.lit("GaussianNB").alias("classifier"), "*")
+
+
+def _extents(spark, d):
+    """A second dataset: number, mean, minimum and maximum of each series' points."""
+    x0 = events_series(spark, d).where(F.col("channel") == "x_0")
+    stats = x0.groupBy(F.col("series_id").alias("id"), F.col("target").cast("int").alias("target")).agg(
+        F.array(F.count("x").cast("double"), round_sig(F.avg("x")), F.min("x"), F.max("x")).alias("features"))
+    return M.with_folds(stats)
+
+
+EXTENTS_CTE = SERIES_CTE + f""",
+mx AS (SELECT id, target, {FOLD_SQL.format(k='id', n=M.N_FOLDS)} AS fold, features FROM (
+         SELECT series_id AS id, CAST(target AS INTEGER) AS target,
+                [CAST(count(x) AS DOUBLE), {rs('avg(x)')}, min(x), max(x)] AS features
+         FROM series WHERE channel = 'x_0' GROUP BY 1, 2))"""
+
+#: k-NN with three votes beside ``knn``.
+_THREE = """,
+v3 AS (SELECT fold, id, y, ty, count(*) AS v FROM kt WHERE rr <= 3 GROUP BY 1, 2, 3, 4),
+knn3 AS (SELECT 'embeddings' AS dataset, 'ThreeNearest' AS classifier, fold, id, y, ty AS yhat FROM (
+           SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC, ty) AS rr FROM v3) WHERE rr = 1)"""
+
+
+def _predictions_sql(ctes: str, dataset: str) -> str:
+    return (f"SELECT '{dataset}' AS dataset, classifier, fold, id, y, yhat FROM (" + with_ctes(
+        ctes + _GNB + _KNN + _THREE, "SELECT classifier, fold, id, y, yhat FROM gnb UNION ALL SELECT classifier, fold, id, y, yhat "
+        "FROM knn UNION ALL SELECT classifier, fold, id, y, yhat FROM knn3") + ")")
+
+
+@register("model_scores_by_dataset", "U-4 U-5 M-11 M-14 X-4",
+          with_ctes(f"ap AS ({_predictions_sql(MATRIX_CTE, 'embeddings')} UNION ALL {_predictions_sql(EXTENTS_CTE, 'extents')}),\n"
+                    "fm AS (" + SCORES_SQL.format(src="ap") + ")",
+                    "SELECT dataset, classifier, " + ", ".join(r(f"avg({m})", m) for m in A.METRICS) +
+                    " FROM fm GROUP BY dataset, classifier"))
+def q_model_scores_by_dataset(spark, d):
+    return compare_datasets({"embeddings": _matrix(spark, d), "extents": _extents(spark, d)}, {
+        "GaussianNB": "GaussianNB", "KNeighborsClassifier": "KNeighborsClassifier",
+        "ThreeNearest": lambda seed: NearestNeighbours(k=3)})
+
+
+@register("model_stored_neighbours", "M-4 M-9 M-12 S-12",
+          with_ctes(MATRIX_CTE + f""",
+kp AS (SELECT q.id, t.id AS tid, t.target AS ty, {_DIST} AS dist FROM mx q JOIN mx t ON t.fold <> {M.N_FOLDS - 1}),
+kt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, tid) AS rr FROM kp)
+       WHERE rr <= {M.KNN_K}),
+kv AS (SELECT id, ty, count(*) AS v FROM kt GROUP BY 1, 2)""", """SELECT id, ty AS prediction FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC, ty) AS rr FROM kv) WHERE rr = 1"""))
+def q_model_stored_neighbours(spark, d):
+    """The model of the last fold, stored, loaded and applied to all rows."""
+    from sigframe.plans.q_more import _shared_folder
+    from sigframe.sources.tables import load_model, save_model
+
+    matrix = _matrix(spark, d)
+    path = _shared_folder(spark, "neighbours")
+    save_model(M.fit_pipeline(matrix.where(F.col("fold") != M.N_FOLDS - 1), "KNeighborsClassifier"), path)
+    return M.predict(load_model(path), matrix)
