@@ -1,15 +1,17 @@
 """Byte-level BPE with the whole-token shortcut.
 
 A vocabulary string is *whole* when the tokenizer, given that string alone,
-returns exactly that one id.  ``Encoder`` proves this once for the vocabulary
-strings of a space and ASCII letters, and for no others.  A count then looks such
-words up and merges the rest: words with accents, digits or punctuation, words
-after a line end, and all of a text with two white-space characters in a row.
-
-Merging is tiktoken's, over the same vocabulary as ranks, where every character
-is Latin or general punctuation (there the libraries' character classes agree);
-any other text goes to ``tokenizers`` itself.  Special strings are cut out
-first, as ``tokenizers`` does by default.
+returns exactly that one id.  ``Encoder`` proves this once for every vocabulary
+string that is text: words of any script, with and without a space before them,
+numbers, punctuation and runs of white space.  A count cuts the text into its
+pre-tokens, counts those that are whole, and merges only the others, which encode
+on their own because merges never cross a pre-token.
+
+Where every character is Latin or general punctuation, the libraries' character
+classes agree, and pre-tokens are cut by the pattern and merged by tiktoken over
+the same vocabulary as ranks; any other text is cut and merged by the parts of
+``tokenizers`` that do so.  Special strings are cut out first, as ``tokenizers``
+does by default.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import json
 import re
 
 import numpy as np
+import regex
 
 #: The byte-level pre-token pattern, and the same for texts
 #: without two white-space characters in a row (no look-ahead is needed there).
@@ -51,7 +54,9 @@ class Encoder:
         self.vocab = {n: i for n, i in spec["model"]["vocab"].items() if n not in self.special}
         self.bytes_of = self._bytes()
         self._rankers()
-        self._whole: frozenset[str] | None = None
+        self.words = regex.compile(PATTERN).findall
+        self._whole: tuple[frozenset[str], frozenset[str]] | None = None
+        self._known: dict[str, int] = {}
 
     def _bytes(self) -> dict[str, bytes]:
         """Vocabulary string -> the bytes that its letters stand for."""
@@ -72,15 +77,19 @@ class Encoder:
             for name, p in (("full", PATTERN), ("single", SINGLE)))
 
     @property
-    def whole(self) -> frozenset[str]:
-        """Words of letters that, after a space, encode alone as one token."""
+    def whole(self) -> tuple[frozenset[str], frozenset[str]]:
+        """The vocabulary strings that encode alone as one token: as text, and in the
+        vocabulary's byte letters."""
         if self._whole is None:
-            words = {}
+            texts = {}
             for n, b in self.bytes_of.items():
-                if b[:1] == b" " and b[1:].isalpha():
-                    words[b[1:].decode("ascii")] = self.vocab[n]
-            got = self.tok.encode_batch([" " + w for w in words], add_special_tokens=False)
-            self._whole = frozenset(w for (w, i), e in zip(words.items(), got, strict=True) if e.ids == [i])
+                try:
+                    texts[n] = b.decode()
+                except UnicodeDecodeError:  # a part of a character is never a pre-token
+                    continue
+            got = self.tok.encode_batch(list(texts.values()), add_special_tokens=False)
+            names = [n for n, e in zip(texts, got, strict=True) if e.ids == [self.vocab[n]]]
+            self._whole = frozenset(texts[n] for n in names), frozenset(names)
         return self._whole
 
     def _merge(self, text: str) -> list[int]:
@@ -100,21 +109,36 @@ class Encoder:
             out += [self.special[part]] if k % 2 else self._merge(part)
         return np.array(out, dtype=np.uint32)
 
-    def count(self, text: str | None) -> int:
-        """A space stands only first in a pre-token or in a run of white space.
-        Without such runs, the pieces between spaces therefore encode on their
-        own; whole ones count one, and the others are merged in one call."""
-        n = 0
+    def counts(self, text: str | None) -> tuple[int, int]:
+        """Tokens that are whole pre-tokens, or special, and tokens merged from the other pre-tokens."""
+        as_text, as_names = self.whole
+        direct = merged = 0
         for k, part in enumerate(self._parts(text or "")):
             if k % 2:
-                n += 1
-            elif _ADJACENT.search(part):
-                n += len(self._merge(part))
+                direct += 1
+                continue
+            if part.isascii() or not _OTHER.search(part):
+                pre = self.words(part)
+                rest = [w for w in pre if w not in as_text]
+                merged += sum(map(self._merged, rest))
             else:
-                first, *rest = part.split(" ")
-                whole = self.whole
-                other = [p for p in rest if p not in whole]
-                n += len(rest) - len(other) + len(self._merge(" ".join([first, *other])))
+                pre = [w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(part)]
+                rest = [w for w in pre if w not in as_names]
+                merged += sum(len(self.tok.model.tokenize(w)) for w in rest)
+            direct += len(pre) - len(rest)
+        return direct, merged
+
+    def count(self, text: str | None) -> int:
+        return sum(self.counts(text))
+
+    def _merged(self, word: str) -> int:
+        n = self._known.get(word)
+        if n is None:
+            n = len(self.full(word))
+            if len(word) <= 64:  # a cache of bounded size, for speed alone
+                if len(self._known) >= 200_000:
+                    self._known.clear()
+                self._known[word] = n
         return n
 
 

@@ -300,7 +300,34 @@ def test_encoder_on_random_strings():
         t = "".join(rng.choice(parts, rng.integers(0, 25)))
         want = enc.tok.encode(t, add_special_tokens=False).ids
         assert enc.ids(t).tolist() == want and enc.count(t) == len(want)
-    assert len(enc.whole) > 10_000
+        direct, merged = enc.counts(t)
+        assert direct + merged == len(want)
+
+
+def test_every_character_of_the_short_path_is_cut_as_the_library_does():
+    enc = Encoder(PATH)
+    marks = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2028), 0x20AC]]
+    for c in marks:
+        for t in (c, f"a{c}b", f" {c}{c} 1{c}", f"{c} a", f"'{c}s", f"{c}'ll {c}"):
+            assert enc.count(t) == len(enc.tok.encode(t, add_special_tokens=False).ids), (t, c)
+
+
+def test_whole_strings_are_proved_and_used_in_every_script(spark):
+    enc = Encoder(PATH)
+    texts, names = enc.whole
+    assert len(texts) == len(names) > 49_000
+    for t in ("the", " the", " été", "123", "...", "\n\n", " и", "の", " 中"):
+        n = len(enc.tok.encode(t, add_special_tokens=False).ids)
+        assert (t in texts) == (n == 1), t
+        assert enc.counts(t) == ((1, 0) if n == 1 else enc.counts(t)) and sum(enc.counts(t)) == n
+    assert enc.counts("the same 中, and the same の.  \n\nthe end")[0] >= 9  # two spaces and other scripts
+    rows = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null and lang is not null").select("lang", "text")
+    share = {}
+    for r in rows.collect():
+        d, m = enc.counts(r["text"])
+        a, b = share.get(r["lang"], (0, 0))
+        share[r["lang"]] = a + d, b + m
+    assert len(share) >= 4 and all(d > 0.1 * (d + m) for d, m in share.values()), share
 
 
 # 5 ------------------------------------------------------------------------------------------
