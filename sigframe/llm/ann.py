@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigframe.llm.common import written
+from sigframe.session import ship_package
 
 LEAF = 64
 
@@ -125,28 +126,32 @@ def search(points: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1
 
     Null or zero vectors and vectors with null, NaN or infinite components take
     no part, on either side, nor do null ids; vectors only meet others of their
-    own length.  Repeated rows are candidates of their own.  Queries with fewer
+    own length.  Repeated rows are candidates of their own.  Query rows repeated
+    with the same vector are one query; an id with several vectors is several
+    queries, told apart by ``query_key``, a hash of id and vector.  Queries with fewer
     than k candidates have fewer rows, with none no row; empty tables give none.
     Other columns are not read.
 
-    Returns ``(query_id, rank, <id_col>, score)``.
+    Returns ``(query_id, rank, <id_col>, score, query_key)``.
     """
+    ship_package(points.sparkSession)
+
     def clean(df: DataFrame) -> DataFrame:
         return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(
-            usable("v") & F.col("id").isNotNull()).withColumn("dim", F.size("v"))
+            usable("v") & F.col("id").isNotNull()).withColumn("dim", F.size("v")).withColumn("key", F.xxhash64("id", "v"))
 
-    p, q = clean(points), clean(queries)
+    p, q = clean(points), clean(queries).dropDuplicates(["id", "v"])
     shards = max(1, math.ceil(p.count() / shard_rows))
     blocks = max(1, math.ceil(q.count() / query_rows))
 
     def gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x = np.array(rows["v"].tolist(), dtype=np.float64)
         return pd.DataFrame({"dim": [key[0]], "part": [key[1]], "ids": [rows["id"].to_numpy(np.int64).tobytes()],
-                             "x": [x.tobytes()]})
+                             "keys": [rows["key"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()]})
 
     def packed(df: DataFrame, n: int) -> DataFrame:
-        return df.groupBy("dim", F.pmod(F.xxhash64("id"), F.lit(n)).alias("part")).applyInPandas(
-            gather, "dim int, part long, ids binary, x binary")
+        return df.groupBy("dim", F.pmod("key", F.lit(n)).alias("part")).applyInPandas(
+            gather, "dim int, part long, ids binary, keys binary, x binary")
 
     def nearest(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, tree, ids = None, None, None
@@ -158,14 +163,15 @@ def search(points: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1
                 q_ids = np.frombuffer(r.q_ids, np.int64)
                 s = Search(tree, ids, np.frombuffer(r.q_x).reshape(-1, r.dim), q_ids, k, factor)
                 found = np.isfinite(s.d)
-                yield pd.DataFrame({"query_id": np.repeat(q_ids, found.sum(axis=1)), "id": s.i[found],
-                                    "score": s.d[found]})
+                n = found.sum(axis=1)
+                yield pd.DataFrame({"query_id": np.repeat(q_ids, n), "key": np.repeat(np.frombuffer(r.q_keys, np.int64), n),
+                                    "id": s.i[found], "score": s.d[found]})
 
-    asked = packed(q, blocks).select("dim", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"),
+    asked = packed(q, blocks).select("dim", F.col("ids").alias("q_ids"), F.col("keys").alias("q_keys"), F.col("x").alias("q_x"),
                                      F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("part"))
     held = written(packed(p, shards))
-    pairs = held.join(asked, ["dim", "part"]).select("dim", "part", "ids", "x", "q_ids", "q_x")
-    found = pairs.mapInPandas(nearest, "query_id long, id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "id")
+    pairs = held.join(asked, ["dim", "part"]).select("dim", "part", "ids", "x", "q_ids", "q_keys", "q_x")
+    found = pairs.mapInPandas(nearest, "query_id long, key long, id long, score double")
+    order = Window.partitionBy("query_id", "key").orderBy("score", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "query_id", "rank", F.col("id").alias(id_col), "score")
+        "query_id", "rank", F.col("id").alias(id_col), "score", F.col("key").alias("query_key"))

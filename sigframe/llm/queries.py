@@ -17,7 +17,7 @@ TOKENIZER = "byte_bpe_50k.json"
 
 def op1_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return ann.search(e, e.where(F.col("vec_id") % 100 == 0), k=10, factor=1.0)
+    return ann.search(e, e.where(F.col("vec_id") % 100 == 0), k=10, factor=1.0).drop("query_key")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,8 +151,9 @@ SQL: dict[str, str] = {
 WITH v AS ({_FINITE}),
 d AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
         sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS score
-      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank FROM d)
+        , a.e FROM (SELECT DISTINCT vec_id, e FROM v) a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+        AND len(a.e) = len(b.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, e ORDER BY score, vec_id)::INTEGER AS rank FROM d)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op5_warc_transactions": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,

@@ -101,6 +101,17 @@ def test_search_without_rows(spark):
     assert ann.search(df, df.where("vec_id = 6")).count() == 0
 
 
+def test_repeated_queries_are_one_and_vectors_of_one_id_are_several(spark):
+    rows = [(k, [float(k), 1.0]) for k in range(1, 30)]
+    points = spark.createDataFrame([*rows, (3, [3.0, 1.0])], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(100, [0.0, 1.0])] * 10 + [(100, [20.2, 1.0])], "vec_id long, embedding array<double>")
+    got = ann.search(points, asked.withColumn("key", F.lit(1)).withColumn("dim", F.lit(2)), k=5, shard_rows=8).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r["query_key"], r["rank"])):
+        by.setdefault(r["query_key"], []).append(r["vec_id"])
+    assert sorted(by.values()) == [[1, 2, 3, 3, 4], [20, 21, 19, 22, 18]]
+
+
 # 2 ------------------------------------------------------------------------------------------
 
 def _words(text):
