@@ -33,7 +33,7 @@ from sigframe.llm.segments import signatures
 from sigframe.llm.shingles import shingle_sets
 
 #: Signatures that a map task gathers before it deals them out, and that a bucket holds, about.
-FLUSH = BUCKET = 1 << 20
+FLUSH, BUCKET = 1 << 18, 1 << 20
 #: Members of one signature in one flush from which they pass by the buckets.
 FREQUENT = 64
 #: Members and bytes of token hashes of one block of classes; a cell holds two at most.

@@ -9,7 +9,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
