@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +152,21 @@ def test_nearest_ranks_ties_by_id_and_survives_few_rows(spark):
             assert sorted(got[i]) == [(n + 1, d, j) for n, (d, j) in enumerate(cands)]
     assert len(nearest(df, df.limit(1), 4).collect()) == 12 - sum(1 for r in rows if r[2] == 0)
     assert nearest(df, df.limit(0), 4).collect() == [] and nearest(df.limit(0), df, 4).collect() == []
+
+
+def test_nearest_holds_one_tile_at_a_time(spark):
+    """150 rows in blocks of 2 are tiles of 4 blocks; pairs of blocks never stand in rows of one batch."""
+    from sigframe.operators.neighbours import nearest
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 6, (150, 3)).astype(float)
+    rows = [(i, i % 4, i % 3 if i % 10 else None, [float(v) for v in x[i]]) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, y long, grp long, features array<double>")
+    found = nearest(df, df, 5, 2)
+    want = set()
+    for i, _, g, _ in rows:
+        other = sorted((float(np.sqrt(((x[i] - x[j]) ** 2).sum())), j) for j in range(150) if rows[j][2] != g)[:5]
+        want |= {(i, n + 1, j, round(d, 9)) for n, (d, j) in enumerate(other)}
+    assert {(r["id"], r["rank"], r["tid"], round(r["dist"], 9)) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "MapInPandas" not in plan
