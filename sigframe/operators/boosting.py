@@ -7,14 +7,15 @@ F.  A leaf's value is ``-G / (H + l2)``, a split's gain is the rise of
 
 Features are binned once, at quantiles, and a row lives in the partition it was
 written to: its bins, class, fold and scores are one block of arrays.  A level of
-all trees of a round is one pass over the blocks, which returns sums of gradient
-and hessian by (class, node, feature, bin); Spark adds the blocks' sums, and the
-driver, which holds one histogram of ``classes * nodes * features * bins``
-numbers, picks the splits; children take their sums from the split, so ``depth``
-passes make a round.  Cross-validation grows the models of all folds in the same
-passes: a fold's rows have no part in its own model's sums.  Scores are recomputed from the trees of the rounds
-since they were last written, ``checkpoint_every`` rounds at most, so the table
-is rewritten rarely and a lost executor costs a few rounds.
+all trees of a round is one pass over the blocks, which makes sums of gradient
+and hessian by (class, node, feature, bin).  A tree's sums are added and its splits
+picked in one task per tree, so the driver gets a few numbers a node and no
+histogram; children take their sums from the split, so ``depth`` passes make a
+round.  Cross-validation grows the models of all folds in the same passes: a
+fold's rows have no part in its own model's sums.  A round's trees are added to
+the rows' scores once, in the pass that follows; the scored blocks are kept by
+Spark and checkpointed every ``checkpoint_every`` rounds, so a lost executor costs
+a few rounds.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +51,11 @@ PRESET_B = Settings(rounds=80, rate=0.1, depth=4, l2=0.1, min_child_weight=1.0)
 #: Relative difference under which two gains are equal.
 TIE = 1e-10
 
-#: Cells of the histogram that the driver may hold, and rows of a block.
+#: Cells of the histogram that a task may hold, and rows of a block.
 MOST_CELLS = 1 << 24
 BLOCK_ROWS = 16384
+#: Rows a task should have at least, and at most if there are more tasks than cores.
+FEW_ROWS, MANY_ROWS = 2048, 65536
 
 
 @dataclass
@@ -166,22 +170,20 @@ def best_split(g: np.ndarray, h: np.ndarray, s: Settings):
     return int(j), int(b), (gl[j, b], hl[j, b]), (gr[j, b], hr[j, b])
 
 
-def grow(add, width: int, s: Settings) -> list[Tree]:
-    """One round: ``add(trees, nodes)`` gives the histogram of a level's open nodes."""
+def grow(ask, width: int, s: Settings) -> list[Tree]:
+    """One round: ``ask(trees, nodes)`` gives, by tree, for each of a level's open nodes its sums and split."""
     size = 2 ** (s.depth + 1) - 1
     trees = [Tree(np.full(size, -1), np.zeros(size, int), np.zeros(size)) for _ in range(width)]
     nodes = [[0] for _ in range(width)]
     for level in range(max(1, s.depth)):
         if not any(nodes):
             break
-        sums = add(trees, nodes)
+        found = ask(trees, nodes)
         below: list[list[int]] = [[] for _ in range(width)]
         for c in range(width):
-            for i, node in enumerate(nodes[c]):
-                g, h = sums[0, c, i], sums[1, c, i]
+            for node, (g, h, split) in zip(nodes[c], found[c] if nodes[c] else [], strict=True):
                 if level == 0:
-                    trees[c].value[0] = -g[0].sum() / (h[0].sum() + s.l2)
-                split = best_split(g, h, s) if s.depth else None
+                    trees[c].value[0] = -g / (h + s.l2)
                 if split:
                     trees[c].feature[node], trees[c].cut[node] = split[:2]
                     for child, (gs, hs) in zip((2 * node + 1, 2 * node + 2), split[2:], strict=True):
@@ -253,59 +255,56 @@ def _fit(matrix: DataFrame, s: Settings, models: int, fold, features: str, label
     base = np.log(np.maximum(n / np.maximum(n.sum(axis=1, keepdims=True), 1), 1e-12))  # a class a fold never saw
     cuts = borders(data, dims, s.bins)
     out = [Model(classes, cuts, base[m], s.rate) for m in range(models)]
-    blocks, recent = _blocks(data, out[0], base.ravel()), []
-    for _ in range(s.rounds):
-        if len(recent) >= s.checkpoint_every:
-            blocks, recent = _rescored(blocks, recent, s.rate), []
-
-        def add(trees, nodes, blocks=blocks, recent=recent):
-            return _sums(blocks, recent, s, models, trees, nodes, dims)
-
-        trees = grow(add, width, s)
-        recent.append(trees)
+    tasks = _tasks(sum(counts.values()), matrix.sparkSession.sparkContext.defaultParallelism)
+    now, before = _blocks(data.repartition(tasks), out[0], base.ravel()).rdd.map(_opened).persist(StorageLevel.MEMORY_AND_DISK), None
+    for done in range(1, s.rounds + 1):
+        trees = grow(lambda trees, nodes, now=now: _level(now, s, models, trees, nodes, tasks), width, s)
         for m in range(models):
             out[m].trees.append(trees[m * k:(m + 1) * k])
+        if before is not None:
+            before.unpersist()
+        before, now = now, _rescored(now, trees, s.rate).persist(StorageLevel.MEMORY_AND_DISK)
+        if done % s.checkpoint_every == 0:
+            now.checkpoint()  # written by the next round's first pass
+    if before is not None:
+        before.unpersist()
+    now.unpersist()
     return out
 
 
-#: Partial histograms up to which the driver adds them itself.
-FEW_PARTS = 32
+def _tasks(rows: int, cores: int) -> int:
+    """Tasks of a pass: enough rows in each, all cores used, and no more tasks than memory asks for,
+    since each makes a whole histogram."""
+    return max(1, min(cores, -(-rows // FEW_ROWS)), -(-rows // MANY_ROWS))
 
 
-def _sums(blocks: DataFrame, recent, s: Settings, models: int, trees, nodes, dims: int) -> np.ndarray:
-    width, most = len(trees), max(len(n) for n in nodes)
+def _level(blocks, s: Settings, models: int, trees, nodes, tasks: int) -> dict[int, list]:
+    """By tree: sums of gradient and hessian and the best split of each of its open nodes."""
+    width = len(trees)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(part, rows):
         total = None
-        for f in frames:
-            for p in f.itertuples():
-                bins, y, fold, base = _opened(p)
-                scores = base + tree_scores(recent, bins, s.rate, width)
-                got = histogram(bins, y, fold, scores, models, trees, nodes, s.bins)
-                total = got if total is None else total + got
-        if total is not None:  # a row per tree, so that they are added in parallel
-            yield pd.DataFrame({"at": np.arange(width), "sums": [total[:, t].tobytes() for t in range(width)]})
-
-    def add(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"at": f["at"].iloc[:1], "sums": [sum(np.frombuffer(v) for v in f["sums"].sort_values()).tobytes()]})
-
-    parts = blocks.mapInPandas(run, "at int, sums binary")
-    if blocks.rdd.getNumPartitions() > FEW_PARTS:
-        parts = parts.groupBy("at").applyInPandas(add, "at int, sums binary")
-    out = np.zeros((width, 2 * most * dims * s.bins))
-    for r in parts.collect():
-        out[r["at"]] += np.frombuffer(r["sums"])
-    return out.reshape(width, 2, most, dims, s.bins).transpose(1, 0, 2, 3, 4)
-
-
-def _rescored(blocks: DataFrame, recent, rate: float) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for p in f.itertuples():
-                bins, _, _, base = _opened(p)
-                now = base + tree_scores(recent, bins, rate, base.shape[1])
-                yield pd.DataFrame({"n": [p.n], "bins": [p.bins], "ys": [p.ys], "folds": [p.folds], "base": [now.tobytes()]})
-    return cut_lineage(blocks.mapInPandas(run, BLOCK))
+        for bins, y, fold, scores in rows:
+            got = histogram(bins, y, fold, scores, models, trees, nodes, s.bins)
+            total = got if total is None else total + got
+        if total is not None:
+            for t in range(width):
+                if nodes[t]:
+                    yield t, (part, total[:, t, :len(nodes[t])].copy())
+
+    def choose(parts):
+        sums = sum(v for _, v in sorted(parts, key=lambda p: p[0]))  # in one order, whatever came first
+        return [(float(g[0].sum()), float(h[0].sum()), best_split(g, h, s) if s.depth else None) for g, h in zip(*sums, strict=True)]
+
+    return blocks.mapPartitionsWithIndex(run).groupByKey(min(width, tasks)).mapValues(choose).collectAsMap()
+
+
+def _rescored(blocks, trees: list[Tree], rate: float):
+    """The blocks with a round's trees added to their scores."""
+    def run(p):
+        bins, y, fold, scores = p
+        return bins, y, fold, scores + tree_scores([trees], bins, rate, scores.shape[1])
+    return blocks.map(run)
 
 
 def predict(model: Model, matrix: DataFrame, features: str = "features", kind: str = "int") -> DataFrame:

@@ -103,3 +103,14 @@ def test_stored_models_predict_the_same(spark, tmp_path):
     assert sorted(tuple(r) for r in M.predict(load_model(str(tmp_path / "trees")), df).collect()) == want
     cv = M.ml_cv(M.with_folds(spark.createDataFrame(_data(300), ROWS)), "BoostedTreesA", rounds=4).collect()
     assert len(cv) == 300 and sum(r["y"] == r["yhat"] for r in cv) > 200
+
+
+def test_the_driver_gets_splits_and_no_histogram(spark, monkeypatch):
+    import pickle
+
+    sizes, level = [], B._level
+    monkeypatch.setattr(B, "_level", lambda *a: sizes.append(level(*a)) or sizes[-1])
+    rows = [(*r, r[0] % 3) for r in _data(240)]
+    B.fit_folds(spark.createDataFrame(rows, ROWS + ", fold int").repartition(4), B.Settings(rounds=2, rate=0.3, depth=3, bins=64), 3)
+    # a histogram of this run's last level has 2 * 9 * 4 * 3 * 64 doubles
+    assert len(sizes) == 6 and max(len(pickle.dumps(f)) for f in sizes) < 16384
