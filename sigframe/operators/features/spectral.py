@@ -50,14 +50,22 @@ def cwt_coefficients(series: DataFrame) -> DataFrame:
     length = F.least(F.col("w") * 10, F.col("_n"))
     half = F.floor((length - 1) / 2)
     wid = wid.withColumn("_L", length).withColumn("_h", half).filter(F.col("t") <= CWT_COEFFS - 1 + F.col("_h"))
-    pos = wid.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(CWT_COEFFS - 1).cast("bigint"))).alias("coeff"))
-    m = F.col("coeff") + F.col("_h") - F.col("t")
-    pos = pos.filter((F.col("coeff") < F.col("_n")) & (m >= 0) & (m < F.col("_L")))
+    # one group a width with a sum for each position, not a group and a row a position
     a = F.col("w").cast("double")
     amp = F.lit(2.0) / (F.sqrt(a * 3.0) * F.lit(math.pi ** 0.25))
-    v = m - (F.col("_L") - 1) / 2.0
-    ricker = amp * (1 - v * v / (a * a)) * F.exp(-v * v / (2 * a * a))
-    return pos.groupBy(*KEY, "w", "coeff").agg(F.sum(F.col("x") * ricker).alias("value"))
+    sums, reached = [], F.lit(0)
+    for c in range(CWT_COEFFS):
+        m = F.lit(c).cast("bigint") + F.col("_h") - F.col("t")
+        on = (F.lit(c) < F.col("_n")) & (m >= 0) & (m < F.col("_L"))
+        v = m - (F.col("_L") - 1) / 2.0
+        ricker = amp * (1 - v * v / (a * a)) * F.exp(-v * v / (2 * a * a))
+        sums.append(F.sum(F.when(on, F.col("x") * ricker)).alias(f"_s{c}"))
+        reached = reached.bitwiseOR(F.when(on, 1 << c).otherwise(0))
+    per = wid.groupBy(*KEY, "w").agg(F.bit_or(reached).alias("_on"), *sums)
+    cells = F.array(*[F.when(F.col("_on").bitwiseAND(1 << c) != 0, F.struct(F.lit(c).cast("bigint").alias("coeff"),
+                                                                            F.col(f"_s{c}").alias("value")))
+                      for c in range(CWT_COEFFS)])
+    return per.select(*KEY, "w", F.inline(F.filter(cells, lambda e: e.isNotNull())))
 
 
 # Welch density parameters (segment cap, coefficients).
