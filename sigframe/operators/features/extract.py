@@ -21,6 +21,7 @@ from sigframe.operators.features.reoccurrence import reoccurrence
 from sigframe.operators.features.spectral import CWT_WIDTHS, cwt_coefficients, fft_coefficients, welch_density
 from sigframe.operators.features.spectrum import fft_aggregated
 from sigframe.operators.features.trend import change_quantiles, trend
+from sigframe.session import cut_lineage
 
 WIDE_FAMILIES = {
     "distribution": distribution, "quantiles": quantiles, "changes": changes, "autocorrelation": autocorrelation,
@@ -48,9 +49,12 @@ def cwt_long(series: DataFrame) -> DataFrame:
                                            "value")
 
 
-def extract(series: DataFrame, families=COMPREHENSIVE) -> DataFrame:
-    """Long feature table for the chosen families (default: all)."""
-    parts = [to_long(WIDE_FAMILIES[f](series)) for f in families if f in WIDE_FAMILIES]
+def extract(series: DataFrame, families=COMPREHENSIVE, stored: bool = False) -> DataFrame:
+    """Long feature table for the chosen families (default: all).  With ``stored``, the wide
+    families are worked out now, one row a series and channel, for readers that pass
+    over the long table several times."""
+    keep = cut_lineage if stored else (lambda wide: wide)
+    parts = [to_long(keep(WIDE_FAMILIES[f](series))) for f in families if f in WIDE_FAMILIES]
     if "fft" in families:
         parts.append(fft_long(series))
     if "cwt" in families:

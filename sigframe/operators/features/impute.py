@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigframe.operators.features.quantiles import quantile_table
+from sigframe.session import cut_lineage
 
 INF = float("inf")
 
@@ -21,7 +22,8 @@ def impute(features: DataFrame) -> DataFrame:
     stats = finite.groupBy("feature").agg(F.max("value").alias("_hi"), F.min("value").alias("_lo"))
     med = quantile_table(finite, [0.5], keys=["feature"], value="value", tie="series_id").select(
         "feature", F.col("value").alias("_med"))
-    j = features.join(stats, "feature", "left").join(med, "feature", "left")
+    fill = cut_lineage(stats.join(med, "feature", "left"))  # a row a feature; readers of the result do not rank the values again
+    j = features.join(fill, "feature", "left")
     filled = (F.when(v.isNull() | F.isnan(v), F.coalesce(F.col("_med"), F.lit(0.0)))
               .when(v == INF, F.coalesce(F.col("_hi"), F.lit(0.0)))
               .when(v == -INF, F.coalesce(F.col("_lo"), F.lit(0.0)))

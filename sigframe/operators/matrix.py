@@ -34,7 +34,7 @@ def name_map(features: DataFrame) -> DataFrame:
 
 def clean_features(features: DataFrame) -> DataFrame:
     """P-9..P-11: sanitised, de-duplicated names and -1 for NULL / NaN values."""
-    kept = name_map(features).filter("kept").select("feature", "clean_feature")
+    kept = cut_lineage(name_map(features).filter("kept").select("feature", "clean_feature"))  # a row a name
     v = F.col("value")
     return features.join(kept, "feature").select(
         "series_id", F.col("clean_feature").alias("feature"),

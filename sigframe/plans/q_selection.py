@@ -71,7 +71,7 @@ rel AS (SELECT th.*, coalesce(rank <= (SELECT max(rank) FROM th WHERE p_value <=
 
 def _features(spark, d, series=None):
     series = series if series is not None else events_series(spark, d)
-    return impute(extract(series, MINIMAL))
+    return impute(extract(series, MINIMAL, stored=True))
 
 
 def _targets(spark, d, series=None):
