@@ -81,3 +81,14 @@ def test_kv_rows_manifest_and_atlas_lookup(spark):
     assert lenient.count() == 0
     with pytest.raises(Exception):
         R.lookup_atlases(spark.createDataFrame([("nope",)], "atlas string"), cat).collect()
+
+
+def test_runs_are_one_file_a_folder(spark, tmp_path):
+    from sigframe.sources.tables import Catalog, write_runs
+
+    df = spark.range(400).selectExpr("id % 5 as subject", "if(id % 2 = 0, 'LR', 'RL') as run", "id as t", "id * 1.0D as x")
+    cat = Catalog(spark, str(tmp_path))
+    write_runs(cat, "runs", df.repartition(8))
+    folders = list((tmp_path / "runs").glob("subject=*/run=*"))
+    assert len(folders) == 10 and all(len(list(f.glob("*.parquet"))) == 1 for f in folders)
+    assert cat.read_table("runs").count() == 400
