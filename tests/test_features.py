@@ -169,3 +169,42 @@ def test_partial_autocorrelation_divides_by_zero_as_ieee(spark):
     assert got[1]["partial_autocorrelation__lag_1"] == -1.0
     assert got[1]["partial_autocorrelation__lag_2"] == -math.inf
     assert math.isfinite(got[2]["ar_coefficient__coeff_10__k_10"])
+
+
+def test_cwt_makes_one_group_a_width(spark):
+    """Sums against the definition, with a null point and short series; no row a position before the sums."""
+    from sigframe.operators.features.spectral import CWT_COEFFS, CWT_WIDTHS, cwt_coefficients
+
+    rng = np.random.default_rng(3)
+    points = {1: [float(v) for v in rng.normal(size=33)], 2: [3.0, -1.0], 3: [1.0, None, 2.0, 5.0]}
+    df = spark.createDataFrame([(s, "x_0", t, v) for s, p in points.items() for t, v in enumerate(p)], SCHEMA)
+    out = cwt_coefficients(df)
+    want = {}
+    for s, p in points.items():
+        n = sum(v is not None for v in p)
+        for w in CWT_WIDTHS:
+            length = min(10 * w, n)
+            for c in range(min(CWT_COEFFS, n)):
+                cells = [(t, c + (length - 1) // 2 - t) for t in range(len(p))]
+                on = [(p[t], m - (length - 1) / 2) for t, m in cells if 0 <= m < length]
+                have = [x * 2 / (math.sqrt(3 * w) * math.pi ** 0.25) * (1 - v * v / w ** 2) * math.exp(-v * v / (2 * w * w))
+                        for x, v in on if x is not None]
+                if on:
+                    want[(s, w, c)] = sum(have) if have else None
+    got = {(r["series_id"], r["w"], r["coeff"]): r["value"] for r in out.collect()}
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(v, abs=1e-12) if v is not None else got[k] is None for k, v in want.items())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate" in line and "coeff" in line.split("], [")[0] for line in plan.splitlines())
+
+
+def test_impute_ranks_values_once(spark):
+    """The fills are worked out when they are asked for; readers of the table do not rank its values again."""
+    from sigframe.operators.features.impute import impute
+
+    rows = [(i, "f", None if i == 4 else float(i)) for i in range(8)] + [(1, "g", float("inf")), (2, "g", None)]
+    out = impute(spark.createDataFrame(rows, "series_id long, feature string, value double"))
+    assert {r["value"] for r in out.where("feature = 'f' and series_id = 4").collect()} == {3.0}
+    assert [r["value"] for r in out.where("feature = 'g'").collect()] == [0.0, 0.0]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
