@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sigframe.llm import jaccard, langid, mixing, packing, toxicity
 from sigframe.llm.common import table, written
 from sigframe.llm.queries import TOKENIZER, language_model, toxicity_model
+from sigframe.session import text_batches
 
 #: SQL has no compressor, no tokenizer and no regression: see tests/llm for the brute-force versions.
 ORACLE_SQL = None
@@ -23,6 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents without a letter, or whose two best languages are
     all but equal, go.  Where no label is there to learn from, all stay that
     have a letter."""
+    text_batches(spark)
     model = language_model(docs)
     if not model.dictionaries:
         return docs.where(F.regexp_like(F.col("text"), F.lit(r"\p{L}")))
@@ -32,12 +34,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents of severity grade 1 or more, more likely than not, go."""
+    text_batches(spark)
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where("not toxic").select(*docs.columns)
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: one document of each group of linked ones stays."""
+    text_batches(spark)
     return jaccard.keep_one(docs, k=5, percent=80)
 
 
@@ -60,6 +64,7 @@ def in_order(docs: DataFrame) -> DataFrame:
 def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: pieces of sequences of 2048 ids, documents in the order in
     which the stage before wrote them, which is training order."""
+    text_batches(spark)
     return packing.pack(in_order(docs), public_tokenizers.path(TOKENIZER), order_by=["_part", "_file", "_row"],
                         with_ids=False).drop("ids")
 

@@ -101,3 +101,26 @@ def test_every_operator_is_registered_once(name):
     import __spark_entry__ as entry
 
     assert sum(q.startswith(name) for q in entry.queries()) == 1 and np.isin("pipeline", list(entry.queries()))
+
+
+def test_stages_send_few_rows_at_a_time(spark):
+    """Whole texts go to a Python worker in short batches, unless the session names their length."""
+    from sigframe.session import BATCH_SETTING, TEXT_ROWS
+
+    docs = spark.createDataFrame([(i, f"plain words of number {i}", None, "s", 9) for i in range(30)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+
+    def longest():
+        rows = spark.range(3 * TEXT_ROWS + 1).coalesce(1).mapInPandas(lambda fs: (f.head(1).assign(id=len(f)) for f in fs), "id long")
+        return max(r["id"] for r in rows.collect())
+
+    had = spark.conf.get(BATCH_SETTING, None)
+    try:
+        for stage in (corpus_pipeline.language, corpus_pipeline.toxic, corpus_pipeline.duplicates, corpus_pipeline.packs):
+            spark.conf.unset(BATCH_SETTING)
+            assert stage(spark, docs, SF).count() > 0 and longest() == TEXT_ROWS
+        spark.conf.set(BATCH_SETTING, "70")
+        corpus_pipeline.language(spark, docs, SF)
+        assert longest() == 70
+    finally:
+        spark.conf.unset(BATCH_SETTING) if had is None else spark.conf.set(BATCH_SETTING, had)
