@@ -82,3 +82,18 @@ def test_a_factory_is_a_classifier(spark):
     M.register_classifier("seven", lambda seed: NearestNeighbours(k=7))
     assert by_value == M.cv_predictions(matrix, "seven").orderBy("id").collect()
     assert by_value == M.knn_cv(matrix).orderBy("id").collect()
+
+
+def test_folds_are_fitted_at_the_same_time(spark):
+    """Each fit waits for the other two; one after the other they would break the barrier."""
+    from threading import Barrier
+
+    all_three = Barrier(3, timeout=30)
+
+    class Waits(NearestNeighbours):
+        def _fit(self, dataset):
+            all_three.wait()
+            return super()._fit(dataset)
+
+    matrix = _matrix(spark)
+    assert M.ml_cv(matrix, lambda seed: Waits(k=7)).orderBy("id").collect() == M.knn_cv(matrix).orderBy("id").collect()
