@@ -286,6 +286,28 @@ def binned(cuts: list[np.ndarray], x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sliced(f, rows: np.ndarray) -> np.ndarray:
+    return np.concatenate([f(rows[a:a + 4096]) for a in range(0, max(1, len(rows)), 4096)])
+
+
+def squeezed(bins: np.ndarray, most: int) -> np.ndarray:
+    """Rows of bins below ``most`` in as few bits as they need: each row is sent once a tree."""
+    bits = (most - 1).bit_length()
+    return _sliced(lambda r: np.packbits(np.unpackbits(r[:, :, None], axis=2)[:, :, 8 - bits:].reshape(len(r), -1), axis=1), bins)
+
+
+def spread(packed: np.ndarray, dims: int, most: int) -> np.ndarray:
+    """The bins again."""
+    bits = (most - 1).bit_length()
+
+    def wide(r):
+        out = np.zeros((len(r), dims, 8), np.uint8)
+        out[:, :, 8 - bits:] = np.unpackbits(r, axis=1, count=dims * bits).reshape(len(r), dims, bits)
+        return np.packbits(out, axis=2)[:, :, 0]
+
+    return _sliced(wide, packed)
+
+
 def _blocks(data: DataFrame, cuts: list[np.ndarray], rows: int) -> RDD:
     """``data(key, y, features)`` as (block, (keys, classes, bins)), a block a partition; block numbers and rows are kept in files."""
     cores = data.sparkSession.sparkContext.defaultParallelism
@@ -446,8 +468,8 @@ class Forest(Estimator, _ForestParams, DefaultParamsReadable, DefaultParamsWrita
         return top
 
 
-def _dealt(rows: float, branches: int, cores: int) -> int:
-    """Tasks that branches are dealt to."""
+def _dealt(rows: float, branches: float, cores: int) -> int:
+    """Tasks that rows of ``branches`` are dealt to."""
     return max(1, min(branches, max(cores, math.ceil(rows / DEALT_ROWS))))
 
 
@@ -467,10 +489,11 @@ def _branches(blocks: RDD, top: Top, s: Settings, rows: int) -> DataFrame:
 
     def deal(block):
         keys, ys, bins = block[1]
+        sent = squeezed(bins, s.bins)
         for t in trees:
             ws, branch = s.weights(keys.view(np.uint64), int(t)), top.branch[top.ends(bins, int(t))]
             for b, r in _runs(branch, np.flatnonzero((branch >= 0) & (ws > 0))):
-                yield b, (bins[r], ys[r], ws[r].astype(np.int8))
+                yield b, (sent[r], ys[r].astype(np.int8), ws[r].astype(np.int8))
 
     def all_grown(parts):
         held = defaultdict(list)
@@ -478,9 +501,9 @@ def _branches(blocks: RDD, top: Top, s: Settings, rows: int) -> DataFrame:
             held[b].append(part)
         while held:
             b, own = held.popitem()
-            bins, ys, ws = (np.concatenate(p) for p in zip(*own, strict=True))
-            n = heads[b]
-            yield b, *grow(bins, ys, ws.astype(np.float64), int(top.tree[n]), int(top.path[n]), int(top.depth[n]), s).packed()
+            sent, ys, ws = (np.concatenate(p) for p in zip(*own, strict=True))
+            n, bins = heads[b], spread(sent, s.dims, s.bins)
+            yield b, *grow(bins, ys.astype(np.int64), ws.astype(np.float64), int(top.tree[n]), int(top.path[n]), int(top.depth[n]), s).packed()
 
     grown = blocks.flatMap(deal).partitionBy(tasks, _same).mapPartitions(all_grown)
     return cut_lineage(grown.toDF("branch long, feature binary, cut binary, ref binary, shares binary"))
@@ -516,55 +539,56 @@ class ForestModel(Model, _ForestParams, MLReadable, MLWritable):
 
     def _votes(self, asked: DataFrame, own: str, rows: int) -> DataFrame:
         """``(own, raw)``: each row's sums of the trees' class shares."""
-        top, k, size = self.top, self.settings.classes, int(self.top.tree.max()) + 1
+        top, s, size = self.top, self.settings, int(self.top.tree.max()) + 1
+        k, heads = s.classes, max(1, int(top.branch.max()) + 1)
         blocks = _blocks(asked, self.cuts, rows)
-        heads = int(top.branch.max()) + 1
-        tasks = _dealt(float(rows) * float(size), max(1, heads), blocks.ctx.defaultParallelism)
+        tasks = _dealt(float(rows) * size, float("inf"), blocks.ctx.defaultParallelism)
+        copies = math.ceil(max(1.0, float(rows) * size / heads / DEALT_ROWS))  # of each branch, if many more rows come than it grew on
         leaf_votes = shares(top.counts)
 
         def deal(block):
             number, (_, _, bins) = block
+            sent = squeezed(bins, s.bins)
             for t in range(size):
-                at = top.ends(bins, t)
-                branch = top.branch[at]
+                branch = top.branch[top.ends(bins, t)]
                 for b, r in _runs(branch, np.flatnonzero(branch >= 0)):
-                    yield b, (number, r.astype(np.int32), bins[r])
+                    yield b * copies + number % copies, (number, len(bins), r.astype(np.int32), sent[r])
 
         def vote(parts):
             trees, waiting = {}, defaultdict(list)
             for b, part in parts:
-                if len(part) == 4:
-                    trees[b] = Branch.opened(*part, k)
+                if isinstance(part, Branch):
+                    trees[b] = part
                 else:
                     waiting[b].append(part)
             while waiting:
-                b, own_rows = waiting.popitem()
+                b, dealt = waiting.popitem()
                 if b not in trees:  # a tree that no row was drawn for
                     continue
-                for number, r, bins in own_rows:
-                    ref = trees[b].ref[reached(trees[b].feature, trees[b].cut, trees[b].ref, bins)]
+                tree = trees[b]
+                for number, n, r, sent in dealt:
+                    ref = tree.ref[reached(tree.feature, tree.cut, tree.ref, spread(sent, s.dims, s.bins))]
                     one = ref < k
-                    yield number, (r[one], ref[one].astype(np.uint8), r[~one], trees[b].shares[ref[~one] - k])
+                    yield number, (n, r[one], ref[one].astype(np.uint8), r[~one], tree.shares[ref[~one] - k])
 
         def total(parts):
-            held, came = {}, defaultdict(list)
+            ids, sums = {}, {}
             for number, part in parts:
+                n = len(part[0]) if len(part) == 3 else part[0]
+                out = sums.setdefault(number, np.zeros((n, k), np.int64))
                 if len(part) == 3:
-                    keys, _, bins = part
-                    out = np.zeros((len(keys), k), np.int64)
+                    ids[number], _, bins = part
                     for t in range(size):
                         at = top.ends(bins, t)
                         out += np.where((top.branch[at] < 0)[:, None], leaf_votes[at], 0)
-                    held[number] = keys, out
-                else:
-                    came[number].append(part)
-            for number, (keys, out) in held.items():
-                for r, cls, several, part in came.pop(number, []):
-                    out[r, cls] += VOTE  # a row comes once a branch
-                    out[several] += part
-                yield from zip(keys.tolist(), (out / VOTE).tolist(), strict=True)
-
-        trees = self.branches.rdd.map(lambda r: (r.branch, (r.feature, r.cut, r.ref, r.shares)))
+                else:  # a row comes once a branch
+                    out[part[1], part[2]] += VOTE
+                    out[part[3]] += part[4]
+            for number, out in sums.items():
+                yield from zip(ids[number].tolist(), (out / VOTE).tolist(), strict=True)
+
+        trees = self.branches.rdd.flatMap(lambda r: [(r.branch * copies + c, Branch.opened(r.feature, r.cut, r.ref, r.shares, k))
+                                                     for c in range(copies)])
         votes = trees.union(blocks.flatMap(deal)).partitionBy(tasks, _same).mapPartitions(vote)
         sums = votes.union(blocks).partitionBy(blocks.getNumPartitions(), _same).mapPartitions(total)
         return cut_lineage(sums.toDF(f"`{own}` long, raw array<double>"))

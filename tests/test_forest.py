@@ -117,6 +117,23 @@ def test_preset_keeps_all_trees_and_is_stored(spark, tmp_path):
     assert all(r[0].toArray().sum() == pytest.approx(240) for r in raw)
 
 
+def test_more_rows_than_the_branches_grew_on(spark, monkeypatch):
+    df = spark.createDataFrame(_data(300), ROWS)
+    model = Forest(numTrees=4, maxDepth=20, taskRows=20).fit(df.where("id < 90"))
+    want = _raw(model, df.repartition(2))
+    monkeypatch.setattr(T, "DEALT_ROWS", 10)  # branches are copied to several tasks
+    monkeypatch.setattr(T, "MANY_ROWS", 50)
+    got = _raw(model, df)
+    assert len(got) == 300 and all((got[k] == want[k]).all() for k in want)
+
+
+@pytest.mark.parametrize(("dims", "most"), [(1, 2), (5, 32), (64, 32), (3, 256), (7, 17)])
+def test_bins_are_sent_whole(dims, most):
+    bins = np.random.default_rng(1).integers(0, most, (5000, dims)).astype(np.uint8)
+    sent = T.squeezed(bins, most)
+    assert sent.shape[1] == -(-dims * (most - 1).bit_length() // 8) and (T.spread(sent, dims, most) == bins).all()
+
+
 def test_edges(spark):
     same = spark.createDataFrame([(None, 1, [1.0, 2.0])] * 30 + [(2, 0, [1.0, 2.0])] * 9, ROWS)  # no feature tells them apart
     out = Forest(numTrees=40, taskRows=8).fit(same).transform(same.withColumn("_forest_row", F.lit("kept")))
