@@ -10,7 +10,6 @@ far: factor 1 is exact search, larger factors skip more and may miss.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,6 +20,10 @@ from sigframe.llm.common import written
 from sigframe.session import ship_package
 
 LEAF = 64
+#: Most shards and most blocks of queries in a tile.  Where there are few tiles, they are smaller.
+TILE_SHARDS = 4
+TILE_BLOCKS = 16
+FEW_TILES = 64
 
 
 def usable(vector: str) -> Column:
@@ -63,11 +66,21 @@ class Tree:
             todo += [(begin, begin + half, me, 0), (begin + half, end, me, 1)]
         self.nodes, self.ranges = np.array(nodes), np.array(ranges)
         self.leaf_x = x[self.order]
+        self.size = squares(self.leaf_x)
+
+
+def squares(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (x * x).sum(axis=-1)
+
+
+def lengths(gaps: np.ndarray) -> np.ndarray:
+    return np.sqrt(squares(gaps))
 
 
 def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Euclidean distances, every one from the differences themselves."""
-    return np.sqrt(((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    return lengths(q[:, None, :] - x[None, :, :])
 
 
 class Search:
@@ -75,41 +88,81 @@ class Search:
 
     def __init__(self, tree: Tree, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, factor: float):
         self.tree, self.ids, self.q, self.q_ids, self.k, self.factor = tree, ids[tree.order], q, q_ids, k, factor
+        self.size = squares(q)
         self.d = np.full((len(q), k), np.inf)
         self.i = np.full((len(q), k), np.iinfo(np.int64).max)
-        self.visit(0, np.arange(len(q)))
-
-    def visit(self, node: int, who: np.ndarray) -> None:
-        """Go down for the queries ``who``, nearer half first."""
-        if not len(who):
-            return
-        begin, end, vantage, inside, outside = self.tree.nodes[node].tolist()
-        if vantage < 0:
-            self.scan(begin, end, who)
-            return
+        self.home = np.zeros(len(q), np.int64)
+        self.descend()
+        self.visit()
+
+    def gaps(self, node: int, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the queries ``who`` the distance to the vantage point, and how far each half is at least."""
+        vantage = self.tree.nodes[node][2]
         d = distances(self.q[who], self.tree.x[vantage:vantage + 1])[:, 0]
         lo0, hi0, lo1, hi1 = self.tree.ranges[node].tolist()
-        gaps = {inside: np.maximum(lo0 - d, d - hi0), outside: np.maximum(lo1 - d, d - hi1)}
-        first_in = gaps[inside] <= gaps[outside]
-        for half, near, far in ((first_in, inside, outside), (~first_in, outside, inside)):
-            for child in (near, far):
-                open_ = gaps[child][half] * self.factor <= self.d[who[half], -1] + 1e-9 * (1 + d[half])
-                self.visit(child, who[half][open_])
+        with np.errstate(invalid="ignore"):
+            return d, np.maximum(lo0 - d, d - hi0), np.maximum(lo1 - d, d - hi1)
+
+    def descend(self) -> None:
+        """Every query to the leaf in its nearer halves, for a first k-th distance."""
+        todo = [(0, np.arange(len(self.q)))]
+        while todo:
+            node, who = todo.pop()
+            if not len(who):
+                continue
+            begin, end, vantage, inside, outside = self.tree.nodes[node].tolist()
+            if vantage < 0:
+                self.home[who] = node
+                self.scan(begin, end, who)
+                continue
+            _, near, far = self.gaps(node, who)
+            todo += [(inside, who[near <= far]), (outside, who[near > far])]
+
+    def visit(self) -> None:
+        """All other leaves that may hold nearer points, with all their queries at once."""
+        everyone = np.arange(len(self.q))
+        todo = [(0, everyone, np.full(len(everyone), -np.inf))]
+        while todo:
+            node, who, gap = todo.pop()
+            who = who[~(gap > self.d[who, -1])]  # a gap beyond the range of doubles leaves the half open
+            begin, end, vantage, inside, outside = self.tree.nodes[node].tolist()
+            if vantage < 0:
+                self.scan(begin, end, who[self.home[who] != node])
+            elif len(who):
+                d, *both = self.gaps(node, who)
+                with np.errstate(invalid="ignore"):
+                    bounds = [g * self.factor - 1e-9 * (1 + d) for g in both]
+                todo += [(outside, who, bounds[1]), (inside, who, bounds[0])]
 
     def scan(self, begin: int, end: int, who: np.ndarray) -> None:
-        for at in range(begin, end, 4 * LEAF):
+        """Product distances, right to rounding, choose who is measured: all but those that
+        are over the k-th distance by more than their error."""
+        for at in range(begin, end if len(who) else begin, 4 * LEAF):
             stop = min(end, at + 4 * LEAF)
-            ids = self.ids[at:stop]
-            d = distances(self.q[who], self.tree.leaf_x[at:stop])
-            d[ids[None, :] == self.q_ids[who][:, None]] = np.inf
-            better = d.min(axis=1) <= self.d[who, -1]
-            rows = who[better]
-            if not len(rows):
+            ids, x, size = self.ids[at:stop], self.tree.leaf_x[at:stop], self.tree.size[at:stop]
+            with np.errstate(over="ignore", invalid="ignore"):  # beyond the range of doubles: measured
+                own = self.size[who]
+                rough = own[:, None] + size[None, :] - 2.0 * (self.q[who] @ x.T)
+                same = ids[None, :] == self.q_ids[who][:, None]
+                rough[same] = np.inf
+                slack = 1e-12 * (x.shape[1] + 8) * (own + size.max()) + 1e-300
+                most = self.d[who, -1] ** 2
+                if len(ids) > self.k and np.isinf(most).any():
+                    most = np.minimum(most, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1] + slack)
+                r, c = np.nonzero(~(rough > (most + slack)[:, None]) & ~same)
+            if not len(r):
+                continue
+            d = lengths(self.q[who[r]] - x[c])
+            better = d <= self.d[who[r], -1]
+            if not better.any():
                 continue
-            d = np.concatenate([self.d[rows], d[better]], axis=1)
-            i = np.concatenate([self.i[rows], np.broadcast_to(ids, (len(rows), len(ids)))], axis=1)
-            best = np.lexsort((i, d), axis=1)[:, :self.k]
-            self.d[rows], self.i[rows] = np.take_along_axis(d, best, 1), np.take_along_axis(i, best, 1)
+            rows, r = np.unique(who[r[better]], return_inverse=True)
+            r = np.concatenate([np.repeat(np.arange(len(rows)), self.k), r])
+            d = np.concatenate([self.d[rows].ravel(), d[better]])
+            i = np.concatenate([self.i[rows].ravel(), ids[c[better]]])
+            by = np.lexsort((i, d, r))
+            best = by[np.searchsorted(r[by], np.arange(len(rows)))[:, None] + np.arange(self.k)]
+            self.d[rows], self.i[rows] = d[best], i[best]
 
 
 def search(points: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1.0, id_col: str = "vec_id",
@@ -121,8 +174,9 @@ def search(points: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1
     points, or a vector that a third of them share, so never meets in one task),
     a tree is built per shard, and blocks of ``query_rows`` queries go to every
     shard; each pair of block and shard returns k rows a query, and the best k of
-    all are kept (Spark cuts them down before the shuffle too).  Tasks hold a
-    shard and a block.
+    all are kept (Spark cuts them down before the shuffle too).  A few blocks and a
+    few shards are one group, a tile: tasks hold one tile at a time, whatever the
+    number of rows.
 
     Null or zero vectors and vectors with null, NaN or infinite components take
     no part, on either side, nor do null ids; vectors only meet others of their
@@ -153,25 +207,34 @@ def search(points: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1
         return df.groupBy("dim", F.pmod("key", F.lit(n)).alias("part")).applyInPandas(
             gather, "dim int, part long, ids binary, keys binary, x binary")
 
-    def nearest(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, tree, ids = None, None, None
-        for b in rows:
-            for r in b.itertuples(index=False):
-                if (r.dim, r.part) != last:
-                    x = np.frombuffer(r.x).reshape(-1, r.dim)
-                    last, ids, tree = (r.dim, r.part), np.frombuffer(r.ids, np.int64), Tree(x, int(r.part))
-                q_ids = np.frombuffer(r.q_ids, np.int64)
-                s = Search(tree, ids, np.frombuffer(r.q_x).reshape(-1, r.dim), q_ids, k, factor)
+    per_tile = min(TILE_SHARDS, max(1, shards * blocks // FEW_TILES))
+    wide = [min(TILE_BLOCKS, max(1, blocks * math.ceil(shards / per_tile) // FEW_TILES)), per_tile]
+    tiles = [math.ceil(n / w) for n, w in zip((blocks, shards), wide, strict=True)]
+
+    def dealt(df: DataFrame, mine: int) -> DataFrame:
+        """A copy of each row for every tile that it is part of."""
+        at = F.floor(F.col("part") / wide[mine]).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.lit(tiles[1 - mine] - 1)))
+        return df.select("*", *[(at if i == mine else each).alias(c) for i, c in enumerate(("q_tile", "tile"))]).groupBy(
+            "dim", "q_tile", "tile")
+
+    def nearest(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "key": np.zeros(0, np.int64), "id": np.zeros(0, np.int64),
+                             "score": np.zeros(0)})]
+        for p in held.itertuples(index=False) if len(asked) else ():
+            ids, tree = np.frombuffer(p.ids, np.int64), Tree(np.frombuffer(p.x).reshape(-1, p.dim), int(p.part))
+            for r in asked.itertuples(index=False):
+                q_ids = np.frombuffer(r.ids, np.int64)
+                s = Search(tree, ids, np.frombuffer(r.x).reshape(-1, r.dim), q_ids, k, factor)
                 found = np.isfinite(s.d)
                 n = found.sum(axis=1)
-                yield pd.DataFrame({"query_id": np.repeat(q_ids, n), "key": np.repeat(np.frombuffer(r.q_keys, np.int64), n),
-                                    "id": s.i[found], "score": s.d[found]})
+                out.append(pd.DataFrame({"query_id": np.repeat(q_ids, n), "key": np.repeat(np.frombuffer(r.keys, np.int64), n),
+                                         "id": s.i[found], "score": s.d[found]}))
+        return pd.concat(out[1:] or out)
 
-    asked = packed(q, blocks).select("dim", F.col("ids").alias("q_ids"), F.col("keys").alias("q_keys"), F.col("x").alias("q_x"),
-                                     F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("part"))
     held = written(packed(p, shards))
-    pairs = held.join(asked, ["dim", "part"]).select("dim", "part", "ids", "x", "q_ids", "q_keys", "q_x")
-    found = pairs.mapInPandas(nearest, "query_id long, key long, id long, score double")
+    found = dealt(packed(q, blocks), 0).cogroup(dealt(held, 1)).applyInPandas(
+        nearest, "query_id long, key long, id long, score double")
     order = Window.partitionBy("query_id", "key").orderBy("score", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", F.col("id").alias(id_col), "score", F.col("key").alias("query_key"))

@@ -112,6 +112,41 @@ def test_repeated_queries_are_one_and_vectors_of_one_id_are_several(spark):
     assert sorted(by.values()) == [[1, 2, 3, 3, 4], [20, 21, 19, 22, 18]]
 
 
+def test_search_scans_a_leaf_at_most_twice_and_measures_what_product_distances_cannot_tell(monkeypatch):
+    rng = np.random.default_rng(3)
+    calls = []
+    scan = ann.Search.scan
+    monkeypatch.setattr(ann.Search, "scan", lambda self, begin, end, who: calls.append(len(who)) or scan(self, begin, end, who))
+    for x in (rng.normal(size=(1500, 40)), 1e3 + 1e-6 * rng.normal(size=(300, 5)), rng.integers(0, 3, (400, 4)).astype(float),
+              rng.normal(size=(300, 6)) * 10.0 ** rng.integers(-160, 160, (300, 1))):
+        ids, q = rng.permutation(len(x)), np.concatenate([x[:100], rng.normal(size=(20, x.shape[1]))])
+        q_ids = np.concatenate([ids[:100], -np.arange(1, 21)])
+        tree = ann.Tree(x)
+        calls.clear()
+        s = ann.Search(tree, ids, q, q_ids, 7, 1.0)
+        leaves = (tree.nodes[:, 2] < 0).sum()
+        assert len(calls) <= 2 * leaves and sum(calls) <= len(q) * leaves
+        d = ann.distances(q, x)
+        d[ids[None] == q_ids[:, None]] = np.inf
+        want = np.array([np.lexsort((ids, row))[:7] for row in d])
+        there = np.isfinite(s.d)
+        assert (s.d == np.take_along_axis(d, want, 1)).all() and (s.i == ids[want])[there].all()
+
+
+def test_search_sends_tiles_of_bounded_size(spark):
+    rows = [(k, [float(k % 97), float(k % 89 + 1)]) for k in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.search(df, df, k=3, shard_rows=8, query_rows=16)
+    assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    good = {k: np.array(v) for k, v in rows}
+    for q in range(0, 1200, 100):
+        assert [i for _, i in sorted(got[q])] == [i for _, i in _nearest(good, q, 3)]
+    assert len(got) == 1200
+
+
 # 2 ------------------------------------------------------------------------------------------
 
 def _words(text):
