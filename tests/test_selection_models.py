@@ -170,3 +170,27 @@ def test_nearest_holds_one_tile_at_a_time(spark):
     assert {(r["id"], r["rank"], r["tid"], round(r["dist"], 9)) for r in found.collect()} == want
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "FlatMapCoGroupsInPandas" in plan and "MapInPandas" not in plan
+
+
+def test_nearest_passes_over_blocks_that_are_too_far(spark):
+    """Points along a line and one far away: a block meets its neighbours, and what it leaves out does not matter."""
+    from sigframe.operators import neighbours as N
+
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.sort(rng.uniform(0, 1000, 799)), [1e6]])
+    x[100:140] = x[100]
+    rows = [(i, i % 2, i % 3, [float(v), float(np.sin(v))]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, y long, grp long, features array<double>")
+    base = df.select("id", "y", "grp", "features")
+    own, n = N._packed(base, N._cells(base, 800, 32), 32)
+    asked = own.select(*[F.col(c).alias(c) for c in own.columns])
+    visits = N._visits(asked, own, 3).select(F.size("visit").alias("n")).collect()
+    assert len(visits) == n >= 25 and sum(r["n"] for r in visits) < n * n / 3
+    pts = np.array([r[3] for r in rows])
+    got = {}
+    for r in N.nearest(df, df, 3, 32).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["tid"]))
+    for i in range(800):
+        d = np.sqrt(((pts[i] - pts) ** 2).sum(axis=1))
+        want = sorted((d[j], j) for j in range(800) if j % 3 != i % 3)[:3]
+        assert [j for _, j in sorted(got[i])] == [j for _, j in want]
