@@ -13,6 +13,9 @@ so the matches of all are counted, not listed:
   matrix counts the third.  That is n log^2 n for blocks of n templates.
 
 Counts of a template are added over the blocks it has met before any logarithm is taken.
+
+Series of fewer than ``SHORT`` points take no part in that: many of them go to a task as rows, and
+those of one length are counted together, template by template.
 """
 
 from __future__ import annotations
@@ -37,6 +40,10 @@ SAMPLE_R = 0.2
 #: Comparisons that take less time than a tree.
 FEW = 1 << 11
 
+#: Points from which on a series is cut into blocks, and distances held at a time for shorter ones.
+SHORT = 1 << 9
+HELD = 1 << 20
+
 #: Templates of a block.
 BLOCK_ROWS = 1 << 14
 
@@ -202,24 +209,77 @@ def template_counts(series: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFram
         *KEY, F.get(case, F.col("which"))["m"].alias("m"), F.get(case, F.col("which"))["r"].alias("r"), "n", "logs", "pairs")
 
 
-def entropy(series: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """F-36, a column per feature, for ``series(series_id, channel, t, x)``, t dense from 0.
+def count_together(x: np.ndarray, null: np.ndarray, std: np.ndarray) -> dict[str, np.ndarray]:
+    """The columns of :func:`short_counts` for series ``x`` of one length, a row each."""
+    a, b, c = (np.pad(x, ((0, 0), (0, j)), constant_values=np.nan)[:, j:] for j in range(M + 1))
+    gone = np.pad(null, ((0, 0), (0, M)), constant_values=True)
+    valid = ~(gone[:, :-M] | gone[:, 1:-M + 1]) & ~np.isnan(b) & ~np.isnan(std)[:, None]  # no deviation, no tolerance
+    with np.errstate(invalid="ignore"):
+        near = {M: np.maximum(*(np.abs(np.where(valid, v, np.nan)[:, :, None] - v[:, None]) for v in (a, np.where(valid, b, np.nan))))}
+        near[M + 1] = np.maximum(near[M], np.abs(c[:, :, None] - c[:, None]))
+        n = {M: valid.sum(axis=1), M + 1: (valid & ~np.isnan(c)).sum(axis=1)}
+        counts = {(m, r): (near[m] <= (r * std)[:, None, None]).sum(axis=2) for m, r in CASES}
 
-    Approximate entropy is |phi(2) - phi(3)|, phi(m) the mean logarithm of the share of templates
-    of length m that match one (itself included), 0 for up to 3 points.  Sample entropy is -ln(A / B), A and B the
-    ordered pairs of different templates of length 3 and 2 that match; null without any of either."""
+    def phi(m: int, r: float) -> np.ndarray:
+        logs = np.log(np.maximum(counts[m, r], 1)).sum(axis=1)
+        return np.where(n[m] > 0, logs / np.maximum(n[m], 1) - np.log(np.maximum(n[m], 1)), np.nan)
+
+    def others(m: int) -> np.ndarray:
+        return np.where(n[m] > 0, counts[m, SAMPLE_R].sum(axis=1) - n[m], np.nan)
+
+    return {**{f"_ap{i}": np.abs(phi(M, r) - phi(M + 1, r)) for i, r in enumerate(APPROXIMATE_R)}, "_b": others(M), "_a": others(M + 1)}
+
+
+def short_counts(series: DataFrame) -> DataFrame:
+    """``(keys..., _len, _ap0.., _b, _a)`` of the series of fewer than ``SHORT`` points, one row each."""
+    ship_package(series.sparkSession)
+    rows = series.where(F.col("t") < SHORT).groupBy(*KEY).agg(
+        F.array_sort(F.collect_list(F.struct("t", "x"))).alias("p"), F.stddev_pop("x").alias("std"), F.max("t").alias("_last"),
+        F.count(F.lit(1)).alias("_len")).where(F.col("_last") < SHORT - 1)
+    x = F.transform("p", lambda v: v["x"])
+    rows = rows.select(*KEY, "_len", "std", x.alias("x"), F.when(F.exists(x, lambda v: v.isNull()), F.transform(
+        x, lambda v: v.isNull())).alias("null"))
+    kinds = ", ".join(f"{k} {series.schema[k].dataType.simpleString()}" for k in KEY)
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for n, same in f.groupby("_len"):
+                step = max(1, HELD // (int(n) * int(n)))
+                for at in range(0, len(same), step):
+                    g = same.iloc[at:at + step]
+                    v = np.array(g["x"].tolist(), np.float64).reshape(len(g), -1)
+                    null = np.array([np.zeros(v.shape[1], bool) if m is None else np.asarray(m, bool) for m in g["null"]])
+                    yield g[[*KEY, "_len"]].assign(**count_together(v, null, g["std"].to_numpy(np.float64)))
+
+    return rows.mapInPandas(count, f"{kinds}, _len long, " + ", ".join(
+        f"{c} double" for c in (*[f"_ap{i}" for i in range(len(APPROXIMATE_R))], "_b", "_a")))
+
+
+def _long_counts(series: DataFrame, block_rows: int) -> DataFrame:
+    """The columns of :func:`short_counts` by :func:`template_counts`."""
     c = template_counts(series, block_rows)
 
     def of(m: int, r: float, what):
         return F.max(F.when((F.col("m") == m) & (F.col("r") == r) & (F.col("n") > 0), what))
 
     phi = F.col("logs") / F.col("n") - F.ln(F.col("n").cast("double"))
-    others = F.col("pairs") - F.col("n")
+    others = (F.col("pairs") - F.col("n")).cast("double")
     wide = c.groupBy(*KEY).agg(*[F.abs(of(M, r, phi) - of(M + 1, r, phi)).alias(f"_ap{i}") for i, r in enumerate(APPROXIMATE_R)],
                                of(M, SAMPLE_R, others).alias("_b"), of(M + 1, SAMPLE_R, others).alias("_a"))
-    lengths = series.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_len"))
-    out = lengths.join(wide, KEY, "left")
+    return series.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_len")).join(wide, KEY, "left")
+
+
+def entropy(series: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """F-36, a column per feature, for ``series(series_id, channel, t, x)``, t dense from 0.
+
+    Approximate entropy is |phi(2) - phi(3)|, phi(m) the mean logarithm of the share of templates
+    of length m that match one (itself included), 0 for up to 3 points.  Sample entropy is -ln(A / B), A and B the
+    ordered pairs of different templates of length 3 and 2 that match; null without any of either."""
+    wide = short_counts(series)
+    long = series.where(F.col("t") == SHORT - 1).select(*KEY).distinct()
+    if not long.isEmpty():
+        wide = wide.unionByName(_long_counts(series.join(long, KEY, "left_semi"), block_rows))
     short = F.col("_len") <= M + 1
-    return out.select(*KEY, *[F.when(short, F.lit(0.0)).otherwise(F.col(f"_ap{i}")).alias(column_name("approximate_entropy", m=M, r=r))
+    return wide.select(*KEY, *[F.when(short, F.lit(0.0)).otherwise(F.col(f"_ap{i}")).alias(column_name("approximate_entropy", m=M, r=r))
                               for i, r in enumerate(APPROXIMATE_R)],
                       F.when((F.col("_a") > 0) & (F.col("_b") > 0), -F.ln(F.col("_a") / F.col("_b"))).alias("sample_entropy"))

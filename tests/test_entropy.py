@@ -68,3 +68,32 @@ def test_entropies_equal_their_definitions(spark, block_rows):
 
 def test_no_series(spark):
     assert E.entropy(spark.createDataFrame([], POINTS)).collect() == []
+
+
+def _series():
+    rng = np.random.default_rng(6)
+    data = {i: np.round(rng.normal(size=n), 1).tolist() for i, n in enumerate((1, 2, 3, 4, 5, 5, 5, 19, 20, 21, 40, 64, 65))}
+    data[20] = [1.0, None, 2.0, 3.0, 2.5, 1.0, 2.0, None]
+    data[21] = [None, None, None, None]
+    data[22] = [1.0, 2.0, float("nan"), 2.0, 1.0, 2.0]
+    return data
+
+
+@pytest.mark.parametrize("short", [4, 20])
+def test_short_series_go_together_and_give_what_blocks_give(spark, monkeypatch, short):
+    data = _series()
+    df = spark.createDataFrame([(i, "c", t, v) for i, x in data.items() for t, v in enumerate(x)], POINTS)
+    monkeypatch.setattr(E, "SHORT", 1 << 9)
+    together = {r["series_id"]: r for r in E.entropy(df).collect()}
+    monkeypatch.setattr(E, "SHORT", short)
+    parts = {r["series_id"]: r for r in E.entropy(df).collect()}
+    assert set(together) == set(parts) == set(data)
+    for i in data:
+        for a, b in zip(together[i], parts[i], strict=True):
+            assert a == b or (a is not None and b is not None and a == pytest.approx(b, abs=1e-12)), (i, together[i], parts[i])
+
+
+def test_short_series_are_not_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(E, "template_counts", lambda *a: pytest.fail("short series in blocks"))
+    df = spark.createDataFrame([(i, "c", t, float(t * t % 7)) for i in range(200) for t in range(i % 9 + 1)], POINTS)
+    assert E.entropy(df).count() == 200
