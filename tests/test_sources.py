@@ -92,3 +92,21 @@ def test_runs_are_one_file_a_folder(spark, tmp_path):
     folders = list((tmp_path / "runs").glob("subject=*/run=*"))
     assert len(folders) == 10 and all(len(list(f.glob("*.parquet"))) == 1 for f in folders)
     assert cat.read_table("runs").count() == 400
+
+
+def test_many_runs_are_read_by_few_tasks(spark, tmp_path):
+    from sigframe.sources.tables import Catalog, read_runs, write_runs
+
+    cat = Catalog(spark, str(tmp_path))
+    df = spark.createDataFrame([(i // 3, "LR" if i % 2 else "RL", i % 3, float(i)) for i in range(240)],
+                               "subject long, run string, t long, x double")
+    write_runs(cat, "runs", df)
+    assert len(list(tmp_path.glob("runs/subject=*/run=*/*.parquet"))) == df.select("subject", "run").distinct().count()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")  # a task a file
+    try:
+        back = read_runs(cat, "runs")
+        assert back.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert sorted((r["subject"], r["run"], r["t"], r["x"]) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
